@@ -43,23 +43,56 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+# --- batches of texts --------------------------------------------------------------------------
+
+CHUNK_BYTES = 4 << 20
+
+
+def text_chunks(batches, column: str = "text", most: int = CHUNK_BYTES):
+    """(rows, data, offsets) of Arrow batches, cut so that data holds about ``most`` bytes, or one longer text.
+
+    data: UTF-8 bytes of the texts end to end, null as empty; offsets: one more than rows.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(batch.schema.get_field_index(column))
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            part = texts.slice(at, to - at)
+            offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            values = part.buffers()[2]
+            data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+            yield batch.slice(at, to - at), data, offsets - offsets[0]
+            at = to
+
+
 # --- word and shingle hashes -------------------------------------------------------------------
 
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_P = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)  # bytes of words: 0-9, a-z and all of UTF-8's multi-byte sequences
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_powers = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_P, _PINV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POW[k] = np.multiply.accumulate(p)
-    return _POW[0][:n], _POW[1][:n]
+def powers(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        p = np.full(1 << (n - 1).bit_length(), _P, np.uint64)
+        p[0] = 1
+        _powers = np.multiply.accumulate(p)
+    return _powers[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -73,29 +106,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of word bytes in UTF-8 data that is in lower case."""
-    edge = np.diff(_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal bytes have equal hashes wherever they stand."""
+def words_of(data: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words in lower-case UTF-8 data; no word crosses one of the offsets."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
+    inside = _WORD[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    if offsets is not None:
+        cuts = offsets[offsets < len(data)]
+        first[cuts] = inside[cuts]
+    starts = np.flatnonzero(first)
+    at = np.flatnonzero(inside)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, q = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
-
-
-def lower_bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+        return starts, starts, np.zeros(0, np.uint64)
+    begins = np.searchsorted(at, starts)
+    lengths = np.diff(begins, append=len(at))
+    place = np.arange(len(at)) - np.repeat(begins, lengths)
+    parts = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
+    return starts, starts + lengths, mix64(np.add.reduceat(parts, begins) + lengths.astype(np.uint64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    data = lower_bytes(text)
-    return span_hashes(data, *word_spans(data))
+    return words_of(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8))[2]
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
