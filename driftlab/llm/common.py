@@ -46,12 +46,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 # --- batches of texts --------------------------------------------------------------------------
 
 CHUNK_BYTES = 4 << 20
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 
-def text_chunks(batches, column: str = "text", most: int = CHUNK_BYTES):
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, once its session hands Arrow functions batches of at most ARROW_ROWS rows or about ARROW_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
+def text_chunks(batches, column: str = "text", most: int = CHUNK_BYTES, lower: bool = False):
     """(rows, data, offsets) of Arrow batches, cut so that data holds about ``most`` bytes, or one longer text.
 
-    data: UTF-8 bytes of the texts end to end, null as empty; offsets: one more than rows.
+    data: UTF-8 bytes of the texts (or of their lower case) end to end, null as empty; offsets: one more than rows.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -62,7 +70,7 @@ def text_chunks(batches, column: str = "text", most: int = CHUNK_BYTES):
         texts = batch.column(batch.schema.get_field_index(column))
         if texts.null_count:
             texts = pc.fill_null(texts, "")
-        texts = texts.cast(pa.large_string())
+        texts = pc.utf8_lower(texts.cast(pa.large_string())) if lower else texts.cast(pa.large_string())
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:

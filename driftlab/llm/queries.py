@@ -7,6 +7,8 @@ import importlib
 #: query -> module; each module has query(spark, sf_dir) and may have SQL
 MODULES = {
     "op4_language_id": "langid",
+    "op6_decontamination": "decontaminate",
+    "op7_license_scan": "licenses",
     "op9_transport_streams": "media",
     "op10_mix_sources": "mixing",
 }
