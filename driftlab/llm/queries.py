@@ -10,6 +10,7 @@ MODULES = {
     "op5_warc": "warc",
     "op6_decontamination": "decontaminate",
     "op7_license_scan": "licenses",
+    "op8_chat_format": "chat",
     "op9_transport_streams": "media",
     "op10_mix_sources": "mixing",
 }
