@@ -7,6 +7,7 @@ import importlib
 #: query -> module; each module has query(spark, sf_dir) and may have SQL
 MODULES = {
     "op1_main_text": "extract",
+    "op2_jaccard_join": "jaccard",
     "op4_language_id": "langid",
     "op5_warc": "warc",
     "op6_decontamination": "decontaminate",
