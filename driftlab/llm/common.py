@@ -32,6 +32,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+BROADCAST_IDS = 500_000
+
+
+def only(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A semi or anti join whose ids are sent to all executors if they are few enough, and shuffled with df if not."""
+    return df.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, on, how)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like names that df does not have yet, in any case."""
     have, out = {c.lower() for c in df.columns}, []

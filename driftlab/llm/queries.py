@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_main_text": "extract",
     "op2_jaccard_join": "jaccard",
+    "op3_suffix_dedup": "suffix_dedup",
     "op4_language_id": "langid",
     "op5_warc": "warc",
     "op6_decontamination": "decontaminate",
