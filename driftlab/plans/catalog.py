@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlab.plans import robustness
+from driftlab.plans import corpus, robustness, streams
 
-_PARTS = (robustness,)
+_PARTS = (robustness, corpus, streams)
 
 
 def queries() -> dict:
