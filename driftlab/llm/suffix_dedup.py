@@ -7,16 +7,18 @@ least hash among its 35 (the leftmost of equal ones); consecutive windows mostly
 1. Copies: of equal texts the one with the least id stands for all; the others are covered by it entirely.
 2. Anchors: the documents' anchor hashes are dealt out by hash, 48 bits each, in packed blocks; those that two or more
    documents have come back to their documents. A match of 50 bytes shares its anchor, so none is lost.
-3. Pieces: only windows with such an anchor can be repeated. They are cut out as pieces, keyed by the 32 bytes around
-   the anchor that all windows of a piece hold, and dealt out by key. Equal pieces of a block of documents go once.
+3. Pieces: only windows with such an anchor can be repeated. Those of one anchor are cut out as a piece and dealt out
+   by the anchor's hash. Equal pieces of a block of documents go once.
 4. Suffix arrays: the different pieces of a key are sorted by grouping (see grouping.suffix_order), all keys of a task
    at once; neighbours in that order that agree in 50 bytes form a group, and the group's least id tells for each
    window whether it is a repetition. The verdicts go back to the documents as bit masks.
 
-Frequent anchors, those of ``HOT`` or more documents in a sample of ``SAMPLE`` (part of very common lines, or of very
-large groups of near copies), skip step 2, and their windows are pieces of their own, dealt out by all of their 50
-bytes: so they meet only their equals, of which each block of documents sends the least id. The same holds, within a
-task, for a key of over ``CROWD`` different pieces. The sample only decides which way a window goes, not the result.
+Frequent strings: an anchor that several documents of a block share is sent once for the block, and of equal pieces of
+a block only that with the least id, so large groups of near copies cost each task little. Anchors with ``HOT`` or more
+different surroundings in a sample of ``SAMPLE`` documents (parts of very common lines of less than 50 bytes) skip step
+2, and their windows are pieces of their own, dealt out by all of their 50 bytes, so that they meet only their equals.
+The same holds, within a task, for a key of over ``CROWD`` different pieces. The sample only decides which way a window
+goes, not the result.
 
 Hashes of 64 bits or more stand for bytes when pieces or texts are compared for equality.
 
@@ -39,8 +41,8 @@ from .grouping import suffix_order
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
-SAMPLE, HOT, CROWD = 4_000, 8, 64
-PIECE = 8 << 20  # bytes of a document that are looked at together
+SAMPLE, HOT, CROWD = 4_000, 12, 64
+PIECE = 1 << 20  # bytes that are looked at together; a place among them has 24 bits
 BLOCK_TEXT = 16 << 20  # bytes of documents whose anchors or pieces leave a task together
 BUCKET_TEXT = 32 << 20  # bytes of documents for each bucket
 _LAST = (1 << 63) - 1
@@ -49,11 +51,11 @@ _U = np.uint64
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs of windows with a common anchor: first window, how many, anchor's place and hash; and the hashes of 32 and 50 bytes at each place."""
+    """Runs of windows with a common anchor: first window, how many, anchor's hash; and the hash of 50 bytes at each place."""
     n = len(data)
     if n < LENGTH:
         none = np.zeros(0, np.int64)
-        return {"start": none, "count": none, "place": none, "key": none.view(_U), "h32": none.view(_U), "h50": none.view(_U)}
+        return {"start": none, "count": none, "key": none.view(_U), "h50": none.view(_U)}
     p = powers(64)
     x = data.astype(_U) + _U(1)
     grams = {1: x}
@@ -78,8 +80,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     stop = np.ones(windows, bool)
     stop[:-1] = new[1:] | ~ok[1:]
     count = np.flatnonzero(stop & ok) - start + 1
-    place = place[start]
-    return {"start": start, "count": count, "place": place, "key": h[place], "h32": grams[32], "h50": h50}
+    return {"start": start, "count": count, "key": h[place[start]], "h50": h50}
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -96,7 +97,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, size: int):
 def _blocks(batches, most: int, *columns: str):
     """Lists of (values of the columns, data, offsets) of about ``most`` bytes together."""
     held, size = [], 0
-    for rows, data, offsets in text_chunks(batches):
+    for rows, data, offsets in text_chunks(batches, most=PIECE):
         held.append(([rows.column(rows.schema.get_field_index(c)) for c in columns], data, offsets))
         size += len(data)
         if size >= most:
@@ -107,47 +108,126 @@ def _blocks(batches, most: int, *columns: str):
 
 
 def hot_keys(docs: DataFrame) -> np.ndarray:
-    """Anchors of HOT or more documents of the sample, which is the first SAMPLE documents by a hash of their id."""
+    """Anchors with HOT or more different surroundings in the sample, the first SAMPLE documents by a hash of their id."""
     ids = docs.select("did", F.xxhash64("did", F.lit(3)).alias("draw")).orderBy("draw").limit(SAMPLE).select("did")
 
     def run(batches):
         import pyarrow as pa
 
-        for _, data, offsets in text_chunks(batches):
-            for first, part, cuts, _ in _pieces(data, offsets, PIECE):
+        for _, data, offsets in text_chunks(batches, most=PIECE):
+            for _, part, cuts, _ in _pieces(data, offsets, PIECE):
                 a = _anchors(part, cuts)
-                doc = first + np.searchsorted(cuts, a["start"], "right") - 1
-                pair = np.unique(np.stack([doc.astype(np.int64), a["key"].view(np.int64)], 1), axis=0)[:, 1]
-                k, n = np.unique(pair, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+                around = _content(a["h50"], a["start"], a["count"])
+                yield pa.RecordBatch.from_arrays([pa.array(a["key"].view(np.int64)), pa.array(around.view(np.int64))], ["k", "around"])
 
     few = docs.join(F.broadcast(ids), "did", "left_semi").select("text")
-    found = bounded_batches(few).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    found = bounded_batches(few).mapInArrow(run, "k long, around long").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
     return np.sort(found.select("k").toPandas()["k"].to_numpy(np.int64).view(_U))
 
 
+def _content(h50: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each run of windows: its first and last window overlap or meet, so they hold all of it."""
+    return mix64(h50[start] + _U(7) * mix64(h50[start + count - 1]) + count.astype(_U))
+
+
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), bool)
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
+_PACKED = "home long, dids binary, tids binary, many binary, first binary, second binary"
+
+
+def _pack_by_document(did: np.ndarray, tid: np.ndarray, first: np.ndarray, second: np.ndarray, homes: int):
+    """A batch of rows, one for each of ``homes`` groups of documents: the entries of its documents end to end."""
+    import pyarrow as pa
+
+    if not len(did):
+        return
+    home = (mix64(did.view(_U)) % _U(homes)).astype(np.int64)
+    order = np.lexsort((tid, did, home))
+    home, did, tid, first, second = home[order], did[order], tid[order], first[order], second[order]
+    new = np.append(True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]))
+    heads = np.flatnonzero(new)
+    many = np.diff(np.append(heads, len(did))).astype(np.uint32)
+    at = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+    ends = np.append(at[1:], len(home))
+    group = np.searchsorted(heads, np.append(at, len(home)))
+    own = [(home[s], did[heads[g:h]].tobytes(), tid[heads[g:h]].tobytes(), many[g:h].tobytes(), first[s:e].tobytes(), second[s:e].tobytes()) for s, e, g, h in zip(at, ends, group[:-1], group[1:])]
+    for i in range(0, len(own), 32):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[i : i + 32]), (pa.int64(), *[pa.binary()] * 5))], [x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype) -> DataFrame:
+    """(did, tid, first, second): the entries of each document in one row, from rows packed for groups of documents."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        home, held = None, []
+
+        def done():
+            many = np.concatenate([np.frombuffer(r[2], np.uint32) for r in held])
+            did, tid = (np.repeat(np.concatenate([np.frombuffer(r[k], np.int64) for r in held]), many) for k in (0, 1))
+            x, y = (np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((3, first), (4, second)))
+            order = np.lexsort((tid, did))
+            did, tid, x, y = did[order], tid[order], x[order], y[order]
+            at = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1])))
+            ends = np.append(at[1:], len(did))
+            for i in range(0, len(at), 2_000):
+                s, e = at[i : i + 2_000], ends[i : i + 2_000]
+                yield pa.RecordBatch.from_arrays([pa.array(did[s]), pa.array(tid[s]), *(pa.array([v[a:b].tobytes() for a, b in zip(s, e)], pa.binary()) for v in (x, y))], ["did", "tid", "first", "second"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != home and held:
+                    yield from done()
+                    held = []
+                home = row[0]
+                held.append(row[1:])
+        if held:
+            yield from done()
+
+    return packed.repartition("home").sortWithinPartitions("home").mapInArrow(run, "did long, tid long, first binary, second binary")
+
+
 def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(did, keys): for each document its anchors that other documents have too, 6 bytes each."""
+    """(did, high, low): for each document its anchors that other documents have too, 48 bits each."""
+
+    names = ["bucket", "dids", "many", "high", "low"]
+
+    def emit(did, key):
+        """Rows for documents themselves, with bucket -1; the key -1 only names a document with a frequent anchor."""
+        import pyarrow as pa
+
+        if len(did):
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x], pa.binary()) for x in (did.tobytes(), b"", key.tobytes(), b""))], names)
 
     def pack(batches):
         import pyarrow as pa
 
         for held in _blocks(batches, BLOCK_TEXT, "did"):
-            keys, dids = [], []
+            keys, dids, with_hot = [], [], []
             for (ids,), data, offsets in held:
                 ids = ids.to_numpy()
                 for first, part, cuts, _ in _pieces(data, offsets, PIECE):
                     a = _anchors(part, cuts)
                     cold = ~_among(a["key"], hot)
+                    own = ids[first + np.searchsorted(cuts, a["start"], "right") - 1]
                     keys.append(a["key"][cold] >> _U(16))
-                    dids.append(ids[first + np.searchsorted(cuts, a["start"][cold], "right") - 1])
+                    dids.append(own[cold])
+                    with_hot.append(own[~cold])
             key, did = np.concatenate(keys), np.concatenate(dids)
+            order = np.lexsort((did, key))
+            key, did = key[order], did[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (did[1:] != did[:-1])) if len(key) else np.zeros(0, bool)
+            key, did = key[new], did[new]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            many = np.diff(np.append(at, len(key)))
+            both = np.repeat(many > 1, many)  # shared within the block: all of these know already
+            yield from emit(np.concatenate([did[both], *with_hot]), np.concatenate([key[both].view(np.int64), np.full(sum(map(len, with_hot)), -1)]))
+            key, did = key[at], did[at]  # to its bucket an anchor goes once, with its least id
             bucket = (key % _U(buckets)).astype(np.int64)
             order = np.lexsort((did, bucket))
             key, did, bucket = key[order], did[order], bucket[order]
@@ -157,7 +237,7 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
                 own, many = np.unique(did[s:e], return_counts=True)
                 out.append((int(bucket[s]), own.tobytes(), many.astype(np.uint32).tobytes(), (key[s:e] >> _U(16)).astype(np.uint32).tobytes(), (key[s:e] & _U(0xFFFF)).astype(np.uint16).tobytes()))
             for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "dids", "many", "high", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), (pa.int64(), *[pa.binary()] * 4))], names)
 
     def meet(held):
         did = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(m, np.uint32)) for d, m, _, _ in held])
@@ -169,26 +249,21 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
         last = np.append(at[1:], len(key)) - 1
         shared = np.repeat(did[at] != did[last], last - at + 1)
         did, key = did[shared], key[shared]
-        order = np.argsort(did, kind="stable")
-        did, key = did[order], key[order]
         return did, key
 
     def run(batches):
-        import pyarrow as pa
-
         bucket, held = None, []
 
         def done():
-            did, key = meet(held)
-            at = np.flatnonzero(np.append(True, did[1:] != did[:-1])) if len(did) else np.zeros(0, np.int64)
-            raw = key.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            ends = np.append(at[1:], len(did))
-            for i in range(0, len(at), 5_000):
-                yield pa.RecordBatch.from_arrays([pa.array(did[at[i : i + 5_000]]), pa.array([raw[6 * s : 6 * e] for s, e in zip(at[i : i + 5_000], ends[i : i + 5_000])], pa.binary())], ["did", "keys"])
+            if bucket < 0:
+                did, key = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 2))
+            else:
+                did, key = meet(held)
+            yield from _pack_by_document(did, np.zeros(len(did), np.int64), (key >> 16).astype(np.uint32), (key & 0xFFFF).astype(np.uint16), buckets)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[0] != bucket and held:
+                if held and (row[0] != bucket or bucket < 0):
                     yield from done()
                     held = []
                 bucket = row[0]
@@ -196,30 +271,26 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
         if held:
             yield from done()
 
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("dids", "high")).otherwise(F.col("bucket"))
     packed = bounded_batches(docs.select("did", "text")).mapInArrow(pack, "bucket long, dids binary, many binary, high binary, low binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "did long, keys binary")
+    found = packed.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, _PACKED)
+    return _gathered(found, np.uint32, np.uint16).select("did", F.col("first").alias("high"), F.col("second").alias("low"))
 
 
-_PIECES = "bucket long, keys binary, dids binary, tids binary, starts binary, counts binary, hashes binary, bytes binary"
-_VERDICTS = "did long, tid long, starts binary, masks binary"
+_PIECES = "bucket long, dids binary, tids binary, docs binary, starts binary, counts binary, keys binary, hashes binary, bytes binary"
 
 
 def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Packed pieces by bucket, of rows (did, tid, text, lists); rows with bucket -1 hold verdicts that are known already."""
+    """Packed pieces by bucket, of rows (did, tid, text, high, low); rows with bucket -1 hold verdicts that are known already."""
 
     def run(batches):
         import pyarrow as pa
 
-        for held in _blocks(batches, BLOCK_TEXT, "did", "tid", "lists"):
+        for held in _blocks(batches, BLOCK_TEXT, "did", "tid", "high", "low"):
             cols: dict[str, list] = {k: [] for k in ("key", "did", "tid", "start", "count", "hash", "bytes")}
-            for (ids, tids, lists), data, offsets in held:
+            for (ids, tids, high, low), data, offsets in held:
                 ids, tids = ids.to_numpy(), tids.to_numpy()
-                shared = []
-                for d, x in enumerate(lists.to_pylist()):
-                    raw = np.frombuffer(b"".join(x or ()), np.uint8).reshape(-1, 6)
-                    k = np.zeros((len(raw), 8), np.uint8)
-                    k[:, :6] = raw
-                    shared.append(np.sort(k.view(np.int64).ravel()))
+                shared = [np.sort(np.frombuffer(x, np.uint32).astype(np.int64) << 16 | np.frombuffer(y, np.uint16)) for x, y in zip(high.to_pylist(), low.to_pylist())]
                 for first, part, cuts, shift in _pieces(data, offsets, PIECE):
                     a = _anchors(part, cuts)
                     doc = first + np.searchsorted(cuts, a["start"], "right") - 1
@@ -232,16 +303,7 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                         if e > s and len(shared[first + d]):
                             cold[s:e] = _among(key48[s:e], shared[first + d])
                     cold &= ~is_hot
-                    # windows that hold 17 bytes or more before the anchor, and the others
-                    s, c, at = a["start"][cold], a["count"][cold], a["place"][cold]
-                    n1 = np.clip(at - 16 - s, 0, c)
-                    start = np.concatenate([s, s + n1])
-                    count = np.concatenate([n1, c - n1])
-                    core = np.concatenate([at - 17, at])
-                    side = np.repeat([1, 2], len(s))
-                    some = count > 0
-                    start, count, core, side = start[some], count[some], core[some], side[some]
-                    key = mix64(a["h32"][core] * _U(0xD6E8FEB86659FD93) + side.astype(_U))
+                    start, count, key = a["start"][cold], a["count"][cold], a["key"][cold]
                     # each window of a frequent anchor is a piece of its own
                     hs, hc = a["start"][is_hot], a["count"][is_hot]
                     single = np.arange(hc.sum()) - np.repeat(np.cumsum(hc) - hc - hs, hc)
@@ -253,7 +315,7 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     cols["tid"].append(tids[doc])
                     cols["start"].append(start - cuts[doc - first] + shift)
                     cols["count"].append(count)
-                    cols["hash"].append(mix64(a["h50"][start] + _U(7) * mix64(a["h50"][start + count - 1]) + count.astype(_U)))
+                    cols["hash"].append(_content(a["h50"], start, count))
                     base = len(cols["bytes"])
                     cols["bytes"].append((part, start))
                     cols.setdefault("of", []).append(np.full(len(start), base))
@@ -273,29 +335,31 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             bucket = (key[go] % _U(buckets)).astype(np.int64)
             o = np.lexsort((key[go], bucket))
             go, bucket = go[o], bucket[o]
-            yield from _packed(pa, bucket, *(x[go] for x in (key, did, tid, start, count, hash_)), [(parts, of[go], raw[go])])
+            yield from _packed(pa, bucket, *(x[go] for x in (key, did, tid, start, count, hash_)), (parts, of[go], raw[go]))
 
     return bounded_batches(docs).mapInArrow(run, _PIECES)
 
 
 def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
+    """Rows of pieces of one bucket, each with a list of its documents; without source (verdicts known already) neither keys nor bytes."""
     names = [x.split()[0] for x in _PIECES.split(", ")]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 8))], names)
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     rows, held = [], 0
     for s, e in zip(edges, [*edges[1:], len(bucket)]):
         for s in range(s, e, 50_000):
             t = min(e, s + 50_000)
-            text = b""
-            if source:
-                parts, of, raw = source[0]
-                text = b"".join(parts[k][r : r + c + LENGTH - 1].tobytes() for k, r, c in zip(of[s:t].tolist(), raw[s:t].tolist(), count[s:t].tolist()))
-            rows.append((int(bucket[s]), key[s:t].tobytes(), did[s:t].tobytes(), tid[s:t].tobytes(), start[s:t].astype(np.int64).tobytes(), count[s:t].astype(np.uint8).tobytes(), hash_[s:t].tobytes(), text))
-            held += len(text) + (t - s) * 41
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 7))], names)
+            pair, of = np.unique(np.stack([did[s:t], tid[s:t]], 1), axis=0, return_inverse=True)
+            parts, part, raw = source or ((), (), ())
+            text = b"".join([parts[k][r : r + c + LENGTH - 1].tobytes() for k, r, c in zip(part[s:t].tolist(), raw[s:t].tolist(), count[s:t].tolist())]) if source else b""
+            own = (key[s:t].tobytes(), hash_[s:t].tobytes()) if source else (b"", b"")
+            rows.append((int(bucket[s]), pair[:, 0].tobytes(), pair[:, 1].tobytes(), of.astype(np.uint32).tobytes(), start[s:t].astype(np.uint32).tobytes(), count[s:t].astype(np.uint8).tobytes(), *own, text))
+            held += len(text) + (t - s) * 25
+            if held > 4 << 20:
+                yield batch()
                 rows, held = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 7))], names)
+        yield batch()
 
 
 def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarray, at: np.ndarray, data: np.ndarray, crowded: int) -> np.ndarray:
@@ -318,7 +382,15 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
     crowd = many[group] > crowded
     single = (many[group] > 1) & ~crowd
     if crowd.any():
-        _by_window(np.flatnonzero(crowd), at[heads], size, least, data, window_least)
+        todo = np.flatnonzero(crowd)
+        total = np.cumsum(size[todo])
+        s = 0
+        while s < len(todo):  # whole keys, about 200,000 windows together
+            e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + 200_000, "right")))
+            while e < len(todo) and group[todo[e]] == group[todo[e - 1]]:
+                e += 1
+            _by_window(todo[s:e], at[heads], size, least, data, window_least)
+            s = e
     if single.any():
         todo = np.flatnonzero(single)
         total = np.bincount(group[todo], size[todo] + LENGTH, len(many))
@@ -368,39 +440,29 @@ def _by_window(todo, at, size, least, data, window_least) -> None:
     """The same for keys with too many different pieces: every window is compared as a whole."""
     piece = np.repeat(todo, size[todo])
     w = np.arange(len(piece)) - np.repeat(np.cumsum(size[todo]) - size[todo], size[todo])
-    rows = data[(at[piece] + w)[:, None] + np.arange(LENGTH)]
+    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[piece] + w]
     _, of = np.unique(np.ascontiguousarray(rows).view(f"V{LENGTH}").ravel(), return_inverse=True)
     low = np.full(int(of.max()) + 1, _LAST)
     np.minimum.at(low, of, least[piece])
     window_least[piece, w] = low[of]
 
 
-def _verdicts(pieces: DataFrame) -> DataFrame:
-    """(did, tid, starts, masks) of documents with repeated windows."""
-
-    def emit(did, tid, start, mask):
-        import pyarrow as pa
-
-        some = mask != 0
-        did, tid, start, mask = did[some], tid[some], start[some], mask[some]
-        order = np.lexsort((tid, did))
-        did, tid, start, mask = did[order], tid[order], start[order], mask[order]
-        at = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]))) if len(did) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(did))
-        for i in range(0, len(at), 2_000):
-            s, e = at[i : i + 2_000], ends[i : i + 2_000]
-            yield pa.RecordBatch.from_arrays([pa.array(did[s]), pa.array(tid[s]), pa.array([start[x:y].tobytes() for x, y in zip(s, e)], pa.binary()), pa.array([mask[x:y].tobytes() for x, y in zip(s, e)], pa.binary())], ["did", "tid", "starts", "masks"])
+def _verdicts(pieces: DataFrame, homes: int) -> DataFrame:
+    """(did, tid, first, second) of documents with repeated windows: where these start, and masks of windows from there on."""
 
     def done(bucket, held):
-        key, did, tid, start, count, hash_ = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in ((0, _U), (1, np.int64), (2, np.int64), (3, np.int64), (4, np.uint8), (5, _U)))
-        count = count.astype(np.int64)
+        of = [np.frombuffer(r[2], np.uint32) for r in held]
+        did, tid = (np.concatenate([np.frombuffer(r[k], np.int64)[o] for r, o in zip(held, of)]) for k in (0, 1))
+        start, count = (np.concatenate([np.frombuffer(r[k], t) for r in held]).astype(np.int64) for k, t in ((3, np.uint32), (4, np.uint8)))
         if bucket < 0:
             mask = (np.int64(1) << count) - 1
         else:
-            data = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
+            key, hash_ = (np.concatenate([np.frombuffer(r[k], _U) for r in held]) for k in (5, 6))
+            data = np.frombuffer(b"".join(r[7] for r in held), np.uint8)
             length = count + LENGTH - 1
             mask = _judge(key, did, count, hash_, np.cumsum(length) - length, data, CROWD)
-        yield from emit(did, tid, start, mask)
+        some = mask != 0
+        yield from _pack_by_document(did[some], tid[some], start[some].astype(np.uint32), mask[some], homes)
 
     def run(batches):
         bucket, held = None, []
@@ -415,8 +477,8 @@ def _verdicts(pieces: DataFrame) -> DataFrame:
             yield from done(bucket, held)
 
     # what is known already is spread evenly; it needs no company
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("hashes", "dids")).otherwise(F.col("bucket"))
-    return bounded_batches(pieces.repartition(spread).sortWithinPartitions("bucket")).mapInArrow(run, _VERDICTS)
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("starts", "dids")).otherwise(F.col("bucket"))
+    return _gathered(pieces.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, _PACKED), np.uint32, np.int64)
 
 
 def _covered(n: int, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -433,7 +495,7 @@ _KEPT = "did long, tid long, n_removed long, n_spans long, kept_sha256 string, s
 
 
 def _apply(rows: DataFrame, with_text: bool) -> DataFrame:
-    """Removes from rows (did, tid, text, verdicts) what their verdicts cover."""
+    """Removes from rows (did, tid, text, first, second) what their verdicts cover."""
 
     def run(batches):
         import pyarrow as pa
@@ -441,9 +503,9 @@ def _apply(rows: DataFrame, with_text: bool) -> DataFrame:
         names = [x.split()[0] for x in _KEPT.split(", ")[:5]] + ["spans", "kept"]
         for rows, data, offsets in text_chunks(batches):
             out = []
-            for d, v in enumerate(rows.column(3).to_pylist()):
+            for d, (starts, masks) in enumerate(zip(rows.column(3).to_pylist(), rows.column(4).to_pylist())):
                 own = data[offsets[d] : offsets[d + 1]]
-                gone = _covered(len(own), np.concatenate([np.frombuffer(x["starts"], np.int64) for x in v]), np.concatenate([np.frombuffer(x["masks"], np.int64) for x in v]))
+                gone = _covered(len(own), np.frombuffer(starts, np.uint32).astype(np.int64), np.frombuffer(masks, np.int64))
                 edge = np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))
                 spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
                 kept = own[~gone].tobytes()
@@ -468,15 +530,11 @@ def _repeated(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
     texts = docs.withColumn("tid", F.xxhash64("text", F.lit(1)))
     texts = only(texts, copies, ["did", "tid"], "left_anti")  # one row for each text, but for rows that repeat id and text
     hot = hot_keys(texts)
-    shared = cut(_shared_anchors(texts, hot, buckets).groupBy("did").agg(F.collect_list("keys").alias("lists")), "dedup-anchors")
-    if len(hot):  # texts with a frequent anchor alone are affected as well
-        affected = texts.join(shared, "did", "left")
-    else:
-        affected = only(texts, shared.select("did"), "did", "left_semi").join(shared, "did")
-    verdicts = _verdicts(_cut_pieces(affected.select("did", "tid", "text", "lists"), hot, buckets))
-    verdicts = cut(verdicts.groupBy("did", "tid").agg(F.collect_list(F.struct("starts", "masks")).alias("verdicts")), "dedup-verdicts")
+    shared = cut(_shared_anchors(texts, hot, buckets), "dedup-anchors")
+    affected = only(texts, shared.select("did"), "did", "left_semi").join(shared, "did")
+    verdicts = cut(_verdicts(_cut_pieces(affected.select("did", "tid", "text", "high", "low"), hot, buckets), buckets), "dedup-verdicts")
     losing = only(texts, verdicts.select("did", "tid"), ["did", "tid"], "left_semi").join(verdicts, ["did", "tid"])
-    return base, _apply(losing.select("did", "tid", "text", "verdicts"), with_text)
+    return base, _apply(losing.select("did", "tid", "text", "first", "second"), with_text)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
