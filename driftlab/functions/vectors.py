@@ -75,7 +75,7 @@ def gain(x: Column, strength: float, seed: Column) -> Column:
 
 
 def crop(x: Column, fraction: float) -> Column:
-    edge = (1 - fraction) / 2
+    edge = round((1 - fraction) / 2, 6)
     return let(x, lambda a: F.transform(a, lambda v, i: F.when((i >= F.floor(F.size(a) * F.lit(edge))) & (i < F.size(a) - F.floor(F.size(a) * F.lit(edge))), v).otherwise(F.lit(0.0))))
 
 

@@ -29,7 +29,7 @@ def _op(op: str, p, seed: str) -> str:
     if op == "jitter":
         lo, span = 1 - views.JITTER_STRENGTH, 2 * views.JITTER_STRENGTH
         return f"list_transform(x, lambda v: v * ({lo!r}::DOUBLE + {span!r}::DOUBLE * ({seed} / {float(M32)}::DOUBLE)))"
-    edge = (1 - views.CROP_FRACTION) / 2
+    edge = round((1 - views.CROP_FRACTION) / 2, 6)
     return f"list_transform(range(1, 65), lambda i: CASE WHEN i - 1 >= floor(64 * {edge!r}::DOUBLE) AND i - 1 < 64 - floor(64 * {edge!r}::DOUBLE) THEN x[i] ELSE 0.0::DOUBLE END)"
 
 
