@@ -42,7 +42,7 @@ from .grouping import suffix_order
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 SAMPLE, HOT, CROWD = 4_000, 12, 64
-PIECE = 1 << 20  # bytes that are looked at together; a place among them has 24 bits
+PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24 bits
 BLOCK_TEXT = 16 << 20  # bytes of documents whose anchors or pieces leave a task together
 BUCKET_TEXT = 32 << 20  # bytes of documents for each bucket
 _LAST = (1 << 63) - 1
@@ -63,7 +63,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         y = grams[s]
         grams[2 * s] = y[:-s] * p[s] + y[s:]
     h50 = (grams[32][: n - 49] * p[16] + grams[16][32 : 32 + n - 49]) * p[2] + grams[2][48 : 48 + n - 49]
-    h = mix64(grams[16])
+    h = grams[16] * _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(32)
     m = (h & ~_PLACE) | np.arange(len(h), dtype=_U)
     for s in (1, 2, 4, 8, 16):
         m = np.minimum(m[:-s], m[s:])
@@ -399,7 +400,7 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
         ends = np.cumsum(size[todo] + LENGTH)
         s = 0
         while s < len(todo):
-            e = int(np.searchsorted(ends, (ends[s - 1] if s else 0) + (1 << 20), "right"))
+            e = int(np.searchsorted(ends, (ends[s - 1] if s else 0) + (1 << 18), "right"))
             e = max(e, s + 1)
             while e < len(todo) and group[todo[e]] == group[todo[e - 1]]:
                 e += 1
