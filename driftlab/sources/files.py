@@ -88,3 +88,31 @@ def append_status(spark: SparkSession, path: str, row: dict) -> None:
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Status rows; lines that are damaged are skipped."""
     return spark.read.schema("stage string, state string, seconds double, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad IS NULL").drop("_bad")
+
+
+def archive_members(spark: SparkSession, path: str, prefix: str = "", suffixes: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:
+    """(archive, member, content) of the members of zip archives whose names start with prefix; an archive that is damaged raises."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for m in z.namelist():  # one member at a time
+                        if m.startswith(prefix) and m.rsplit(".", 1)[-1].lower() in suffixes:
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m]), pa.array([z.read(m)], pa.binary())], ["archive", "member", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, member string, content binary")
+
+
+def first_column(df: DataFrame, candidates: Sequence[str] = ("image", "img", "jpg", "png", "photo")) -> Column:
+    """The first of the candidate columns that a row has a value in; raises if df has none of them."""
+    have = [c for c in candidates if c in df.columns]
+    if not have:
+        raise ValueError(f"none of {list(candidates)} in {df.columns}")
+    return F.coalesce(*[F.col(c)["bytes"] if df.schema[c].dataType.typeName() == "struct" else F.col(c) for c in have])
