@@ -75,6 +75,18 @@ def best_balanced_threshold(df: DataFrame, by: By = ()) -> DataFrame:
     return out.select(*by, F.round((F.col("upper") + F.coalesce("below", F.least("least", "upper"))) / 2, 9).alias("threshold"))
 
 
+def quantile(df: DataFrame, q: float, by: By = (), name: str = "value", p: str = "p") -> DataFrame:
+    """(by, name): the exact quantile of p with linear interpolation, from counts of equal values and their running sums."""
+    d = cumulative(df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("neg")), by, p=p)
+    n = d.groupBy(*by).agg(F.sum("neg").alias("_n"))
+    d = d.join(F.broadcast(n), [*by]) if by else d.crossJoin(F.broadcast(n))  # one row a group
+    at = F.lit(q) * (F.col("_n") - 1)
+    holds = lambda k: (F.col("neg_before") <= k) & (k < F.col("neg_before") + F.col("neg"))
+    k = F.floor(at)
+    out = d.groupBy(*by).agg(F.max(F.when(holds(k), F.col(p))).alias("_lo"), F.max(F.when(holds(F.least(k + 1, F.col("_n") - 1)), F.col(p))).alias("_hi"), F.max(at - k).alias("_f"))
+    return out.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
+
+
 def sweep(df: DataFrame, thresholds: Sequence[float], by: By = ()) -> DataFrame:
     """(by, threshold, tp, fp, fn, fpr, tpr, f1) for each threshold.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlab.plans import corpus, robustness, streams
+from driftlab.plans import corpus, reports, robustness, streams
 
-_PARTS = (robustness, corpus, streams)
+_PARTS = (robustness, corpus, streams, reports)
 
 
 def queries() -> dict:

@@ -135,8 +135,8 @@ def derived_threshold(spark, sf_dir):
 
 @query(_ALL + f"SELECT view, round(quantile_cont(p, {1 - MATCHED_FPR}) FILTER (y = 0), 9) AS threshold FROM scores GROUP BY view")
 def matched_fpr_threshold(spark, sf_dir):
-    s = data.scores(spark, sf_dir).filter("y = 0")
-    return s.groupBy("view").agg(F.round(F.percentile("p", F.lit(1 - MATCHED_FPR)), 9).alias("threshold"))
+    q = M.quantile(data.scores(spark, sf_dir).filter("y = 0"), 1 - MATCHED_FPR, ("view",), "threshold")
+    return q.withColumn("threshold", F.round("threshold", 9))
 
 
 _ARMS = "t AS (SELECT view, quantile_cont(p, 0.975) FILTER (y = 0) AS thr FROM scores WHERE tier = 'wildrf' GROUP BY view)"
@@ -146,7 +146,7 @@ _ARMS = "t AS (SELECT view, quantile_cont(p, 0.975) FILTER (y = 0) AS thr FROM s
 def recall_at_matched_fpr(spark, sf_dir):
     """Each view's threshold for the same FPR on one tier's reals, applied to the others."""
     s = data.scores(spark, sf_dir)
-    t = s.filter("tier = 'wildrf' AND y = 0").groupBy("view").agg(F.percentile("p", F.lit(0.975)).alias("thr"))
+    t = M.quantile(s.filter("tier = 'wildrf' AND y = 0"), 1 - MATCHED_FPR, ("view",), "thr")
     return s.filter("y = 1").join(F.broadcast(t), "view").groupBy("view", "tier").agg(F.round(F.avg((F.col("p") >= F.col("thr")).cast("double")), 6).alias("recall"))
 
 
@@ -154,7 +154,7 @@ def recall_at_matched_fpr(spark, sf_dir):
 def ablation_arms(spark, sf_dir):
     """Long table of arms (here: views): threshold, recall by tier, and the mean of those."""
     s = data.scores(spark, sf_dir)
-    t = s.filter("tier = 'wildrf' AND y = 0").groupBy("view").agg(F.percentile("p", F.lit(0.975)).alias("thr"))
+    t = M.quantile(s.filter("tier = 'wildrf' AND y = 0"), 1 - MATCHED_FPR, ("view",), "thr")
     r = s.filter("y = 1").join(F.broadcast(t), "view").groupBy("view", "tier").agg(F.avg((F.col("p") >= F.col("thr")).cast("double")).alias("recall"))
     row = lambda df, metric, tier, v: df.select(F.col("view").alias("arm"), F.lit(metric).alias("metric"), tier.alias("tier"), F.round(v, 6).alias("value"))
     mean = r.groupBy("view").agg(F.avg("recall").alias("recall"))

@@ -73,3 +73,13 @@ def test_each_group_against_all_reals(spark):
 def test_empty(spark):
     e = frame(spark, [])
     assert M.auc(e, ("g",)).count() == 0 and M.roc_vertices(e).count() == 0
+
+
+def test_quantile_matches_numpy(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(round(r.random(), 2), 0, r.choice("ab")) for _ in range(200)]
+    for q in (0.0, 0.1, 0.975, 1.0):
+        for x in M.quantile(frame(spark, rows), q, ("g",)).collect():
+            assert x.value == pytest.approx(np.quantile([p for p, _, g in rows if g == x.g], q))
