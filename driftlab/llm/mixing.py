@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 #: For each weight in turn, knots (time, multiplier): what weighs most is shown early, what weighs least late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 BUCKET_ROWS = 4096
+BROADCAST_SOURCES = 100_000
 
 
 def _pieces(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
@@ -87,6 +88,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules:
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeat)
     targets = targets.select(*named, "source_size", "target", "rank", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("buckets"), F.round("target").cast("long").alias("words"))
 
+    # one row a source: sent to all executors if they are few enough, so that a large source is not shuffled to one task
+    targets = cut(targets, "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
+
     # a running sum in two steps, so that no task sorts a whole source: first over ranges of the hash, then within each range
     hashed = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     ranged = base.select(*named, "doc_id", "source", "size", "key").join(targets, ["no_source", "name"]).withColumn("bucket", F.shiftright(hashed * F.col("buckets"), 32))
