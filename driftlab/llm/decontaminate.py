@@ -8,8 +8,8 @@ items of that length are indexed in eight blocks of eight bits; probing each blo
 every fingerprint within 23 bits (three differing bits in each of eight blocks make 24). Those within ``RADIUS`` bits
 are verified by the exact weighted Jaccard similarity of the shingle multisets, ``THRESHOLD`` or more.
 
-The benchmark is held in memory on each executor in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark is
-compared block after block, each in a pass of its own over the documents.
+The benchmark is held in memory in blocks of about ``BLOCK_BYTES`` of text, at most ``BLOCKS_AT_ONCE`` of them on the
+driver and in a job; with a larger benchmark what is found so far is written and read again before the next blocks.
 
 Defined results: a null text, and one of fewer than five words, is clean; items that are null or have fewer than five
 words match nothing; repeated items and items with the same id count once; null ids of documents, repeated rows and
@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, powers, table, text_chunks, words_of
+from .common import bounded_batches, cut, mix64, powers, table, text_chunks, words_of
 
 K, THRESHOLD, RADIUS = 5, 0.8, 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BLOCKS_AT_ONCE = 16 << 20, 4
 _BITS = np.arange(64, dtype=np.uint64)
 _NEAR = np.array([v for v in range(256) if v.bit_count() <= 2], np.int64)  # flips of up to two of eight bits
 _FILTER_BITS = 20
@@ -163,11 +163,14 @@ def _find(items: Items, rows, data: np.ndarray, offsets: np.ndarray) -> list[dic
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
-    """The benchmark as Items of a checked size, one after another."""
+def count_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> int:
+    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return math.ceil(2 * size / block_bytes) if size > block_bytes else 1
+
+
+def item_blocks(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text"):
+    """The benchmark as n Items, one after another."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else rows
         yield Items([tuple(r) for r in part.collect()])
@@ -194,10 +197,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     kind = dict(docs.dtypes)[id_col]
     found = bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(HITS).alias("hits")))
-    blocks = list(item_blocks(benchmark, block_bytes=block_bytes))
-    for k, items in enumerate(blocks):  # one after another within a task: no shuffle, one block's index at a time
-        last = k == len(blocks) - 1
-        found = found.mapInArrow(finder(items, last), f"doc_id {kind}, hits {HITS}" if last else f"doc_id {kind}, text string, hits {HITS}")
+    n, made = count_blocks(benchmark, block_bytes), f"doc_id {kind}, text string, hits {HITS}"
+    for k, items in enumerate(item_blocks(benchmark, n)):  # one after another within a task: no shuffle, one block's index at a time
+        last = k == n - 1
+        found = found.mapInArrow(finder(items, last), f"doc_id {kind}, hits {HITS}" if last else made)
+        if not last and k % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
+            found = bounded_batches(cut(found, "decontaminate"))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"])))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"), F.coalesce(F.array_max(F.transform("hits", lambda x: x["similarity"])), F.lit(0.0)).alias("similarity"), "hits")
 
@@ -214,9 +219,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
 
         return run
 
-    out = bounded_batches(docs)
-    for items in item_blocks(benchmark, block_bytes=block_bytes):
+    out, n = bounded_batches(docs), count_blocks(benchmark, block_bytes)
+    for k, items in enumerate(item_blocks(benchmark, n)):
         out = out.mapInArrow(keeper(items), docs.schema)
+        if k < n - 1 and k % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
+            out = bounded_batches(cut(out, "decontaminate"))
     return out
 
 

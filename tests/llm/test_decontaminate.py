@@ -77,6 +77,8 @@ def test_blocks_of_items_find_the_same(case):
     a = D.find_contamination(docs, bench).select("doc_id", "item_ids", "similarity").collect()
     b = D.find_contamination(docs, bench, block_bytes=2_000).select("doc_id", "item_ids", "similarity").collect()
     assert Counter(map(str, a)) == Counter(map(str, b))
+    assert D.count_blocks(bench, 2_000) > D.BLOCKS_AT_ONCE
+    assert D.remove_contaminated(docs, bench, block_bytes=2_000).count() == D.remove_contaminated(docs, bench).count()
 
 
 def test_filter_and_empty_tables(case):
