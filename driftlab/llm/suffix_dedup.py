@@ -16,7 +16,7 @@ least hash among its 35 (the leftmost of equal ones); consecutive windows mostly
 Frequent strings: an anchor that several documents of a block share is sent once for the block, and of equal pieces of
 a block only that with the least id, so large groups of near copies cost each task little. Anchors with ``HOT`` or more
 different surroundings in a sample of ``SAMPLE`` documents (parts of very common lines of less than 50 bytes) skip step
-2, and their windows are pieces of their own, dealt out by all of their 50 bytes, so that they meet only their equals.
+2, and their windows are pieces of their own, dealt out by the hash of their 50 bytes, so that they meet only their equals.
 The same holds, within a task, for a key of over ``CROWD`` different pieces. The sample only decides which way a window
 goes, not the result.
 
@@ -45,6 +45,7 @@ SAMPLE, HOT, CROWD = 4_000, 12, 64
 PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24 bits
 BLOCK_TEXT = 16 << 20  # bytes of documents whose anchors or pieces leave a task together
 BUCKET_TEXT = 32 << 20  # bytes of documents for each bucket
+BARE = 255  # in place of a piece's number of windows: one window, named by its hash, without its bytes
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 _U = np.uint64
@@ -315,8 +316,9 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     cols["did"].append(ids[doc])
                     cols["tid"].append(tids[doc])
                     cols["start"].append(start - cuts[doc - first] + shift)
-                    cols["count"].append(count)
                     cols["hash"].append(_content(a["h50"], start, count))
+                    count[len(count) - len(single) :] = BARE
+                    cols["count"].append(count)
                     base = len(cols["bytes"])
                     cols["bytes"].append((part, start))
                     cols.setdefault("of", []).append(np.full(len(start), base))
@@ -352,8 +354,9 @@ def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
             t = min(e, s + 50_000)
             pair, of = np.unique(np.stack([did[s:t], tid[s:t]], 1), axis=0, return_inverse=True)
             parts, part, raw = source or ((), (), ())
-            text = b"".join([parts[k][r : r + c + LENGTH - 1].tobytes() for k, r, c in zip(part[s:t].tolist(), raw[s:t].tolist(), count[s:t].tolist())]) if source else b""
-            own = (key[s:t].tobytes(), hash_[s:t].tobytes()) if source else (b"", b"")
+            full = count[s:t] != BARE
+            text = b"".join([parts[k][r : r + c + LENGTH - 1].tobytes() for k, r, c in zip(part[s:t][full].tolist(), raw[s:t][full].tolist(), count[s:t][full].tolist())]) if source else b""
+            own = (key[s:t].tobytes(), hash_[s:t][full].tobytes()) if source else (b"", b"")
             rows.append((int(bucket[s]), pair[:, 0].tobytes(), pair[:, 1].tobytes(), of.astype(np.uint32).tobytes(), start[s:t].astype(np.uint32).tobytes(), count[s:t].astype(np.uint8).tobytes(), *own, text))
             held += len(text) + (t - s) * 25
             if held > 4 << 20:
@@ -373,8 +376,7 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     hk, least = key[heads], did[heads]
-    size = np.full(len(heads), 0)
-    size[:] = count[heads]
+    size = count[heads]
     group = np.cumsum(np.append(True, hk[1:] != hk[:-1])) - 1
     many = np.bincount(group)
     # least id by window of each different piece: its own, unless other pieces of the key hold the window too
@@ -455,13 +457,21 @@ def _verdicts(pieces: DataFrame, homes: int) -> DataFrame:
         of = [np.frombuffer(r[2], np.uint32) for r in held]
         did, tid = (np.concatenate([np.frombuffer(r[k], np.int64)[o] for r, o in zip(held, of)]) for k in (0, 1))
         start, count = (np.concatenate([np.frombuffer(r[k], t) for r in held]).astype(np.int64) for k, t in ((3, np.uint32), (4, np.uint8)))
-        if bucket < 0:
-            mask = (np.int64(1) << count) - 1
-        else:
+        full = count != BARE
+        mask = (np.int64(1) << np.where(full, count, 1)) - 1
+        if bucket >= 0:
             key, hash_ = (np.concatenate([np.frombuffer(r[k], _U) for r in held]) for k in (5, 6))
-            data = np.frombuffer(b"".join(r[7] for r in held), np.uint8)
-            length = count + LENGTH - 1
-            mask = _judge(key, did, count, hash_, np.cumsum(length) - length, data, CROWD)
+            # single windows: their hash is all there is to compare
+            k, d = key[~full], did[~full]
+            order = np.lexsort((d, k))
+            new = np.append(True, k[order][1:] != k[order][:-1]) if len(k) else np.zeros(0, bool)
+            least = np.empty(len(k), np.int64)
+            least[order] = d[order][new][np.cumsum(new) - 1]
+            mask[~full] = least < d
+            if full.any():
+                data = np.frombuffer(b"".join(r[7] for r in held), np.uint8)
+                length = count[full] + LENGTH - 1
+                mask[full] = _judge(key[full], did[full], count[full], hash_, np.cumsum(length) - length, data, CROWD)
         some = mask != 0
         yield from _pack_by_document(did[some], tid[some], start[some].astype(np.uint32), mask[some], homes)
 
