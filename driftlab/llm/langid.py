@@ -146,15 +146,19 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
-    fold = docs.filter((crc32_fold(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = fold.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("draw"))
-    # the rank filter is pushed below the shuffle, so no task gets more than per_language rows of a language from each other task
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("rank") <= per_language)
-    drawn = ranked.orderBy("rank", "draw", "lang").limit(sample).select("text", "lang").collect()
+    fold = docs.filter((crc32_fold(id_col) != 2) & F.col(lang_col).isNotNull())
+    draw = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("draw")
+    lang = F.col(lang_col).cast("string").alias("lang")
+    # which rows, without their texts; the rank filter is pushed below the shuffle, so a task sends at most per_language short rows of a language
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = fold.select(lang, draw).withColumn("rank", first).filter(F.col("rank") <= per_language).orderBy("rank", "draw", "lang").limit(sample)
+    chosen = chosen.groupBy("lang", "draw").agg(F.min("rank").alias("rank"))
+    rows = fold.select(F.col(text_col).alias("text"), lang, draw).join(F.broadcast(chosen), ["lang", "draw"])  # at most ``sample`` rows are sent
+    drawn = rows.filter("text IS NOT NULL").orderBy("rank", "draw", "lang", "text").limit(sample).select("text", "lang").collect()
     pairs = [(r.text, r.lang) for r in drawn if has_letter(r.text)]
     if not pairs:
         return None
-    df, total = document_frequencies(fold, text_col)
+    df, total = document_frequencies(fold.filter(F.col(text_col).isNotNull()), text_col)
     return train(pairs, np.log((1 + total) / (1 + df)) + 1)
 
 
