@@ -9,7 +9,7 @@ from driftlab.operators import scoring, views
 
 # The dimension of generators. g9 is unknown to it on purpose.
 GENERATORS = [("g0", "real", 2019, True), ("g1", "real", 2020, True), ("g2", "real", 2021, False), ("g3", "real", 2022, False), ("g4", "real", 2023, False), ("g5", "diffusion", 2021, True), ("g6", "diffusion", 2022, True), ("g7", "diffusion", 2023, False), ("g8", "gan", 2019, True)]
-TIERS = ("val", "ood", "demo_val", "wildrf")
+TIERS = ("val", "ood", "demo_val", "social")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

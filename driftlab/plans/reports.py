@@ -90,10 +90,10 @@ def focus_views(spark, sf_dir):
     return fixed.unionByName(worst).groupBy("view").agg(F.min("place").alias("place"))
 
 
-@query(_ALL + f", a AS ({auc_sql('tier')}), o(tier, place) AS (VALUES ('wildrf', 0), ('ood', 1), ('absent', 2), ('val', 3)) SELECT o.tier, place, auc FROM o LEFT JOIN a ON a.tier = o.tier")
+@query(_ALL + f", a AS ({auc_sql('tier')}), o(tier, place) AS (VALUES ('social', 0), ('ood', 1), ('absent', 2), ('val', 3)) SELECT o.tier, place, auc FROM o LEFT JOIN a ON a.tier = o.tier")
 def reindexed_tiers(spark, sf_dir):
     """Figures in the order asked for, with a row for what is missing."""
-    o = spark.createDataFrame([("wildrf", 0), ("ood", 1), ("absent", 2), ("val", 3)], "tier string, place int")
+    o = spark.createDataFrame([("social", 0), ("ood", 1), ("absent", 2), ("val", 3)], "tier string, place int")
     return o.join(M.auc(data.scores(spark, sf_dir), ("tier",)).select("tier", "auc"), "tier", "left").select("tier", "place", "auc")
 
 

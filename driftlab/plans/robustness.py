@@ -139,26 +139,26 @@ def matched_fpr_threshold(spark, sf_dir):
     return q.withColumn("threshold", F.round("threshold", 9))
 
 
-_ARMS = "t AS (SELECT view, quantile_cont(p, 0.975) FILTER (y = 0) AS thr FROM scores WHERE tier = 'wildrf' GROUP BY view)"
+_ARMS = "t AS (SELECT view, quantile_cont(p, 0.975) FILTER (y = 0) AS thr FROM scores WHERE tier = 'social' GROUP BY view)"
 
 
 @query(_ALL + f", {_ARMS} SELECT s.view, tier, round(avg((p >= thr)::INT::DOUBLE), 6) AS recall FROM scores s JOIN t ON s.view = t.view WHERE y = 1 GROUP BY s.view, tier")
 def recall_at_matched_fpr(spark, sf_dir):
     """Each view's threshold for the same FPR on one tier's reals, applied to the others."""
     s = data.scores(spark, sf_dir)
-    t = M.quantile(s.filter("tier = 'wildrf' AND y = 0"), 1 - MATCHED_FPR, ("view",), "thr")
+    t = M.quantile(s.filter("tier = 'social' AND y = 0"), 1 - MATCHED_FPR, ("view",), "thr")
     return s.filter("y = 1").join(F.broadcast(t), "view").groupBy("view", "tier").agg(F.round(F.avg((F.col("p") >= F.col("thr")).cast("double")), 6).alias("recall"))
 
 
-@query(_ALL + f", {_ARMS}, r AS (SELECT s.view, tier, avg((p >= thr)::INT::DOUBLE) AS recall FROM scores s JOIN t ON s.view = t.view WHERE y = 1 GROUP BY s.view, tier) SELECT view AS arm, 'matched_threshold' AS metric, 'wildrf' AS tier, round(thr, 6) AS value FROM t UNION ALL SELECT view, 'recall', tier, round(recall, 6) FROM r UNION ALL SELECT view, 'mean_recall', 'all', round(avg(recall), 6) FROM r GROUP BY view")
+@query(_ALL + f", {_ARMS}, r AS (SELECT s.view, tier, avg((p >= thr)::INT::DOUBLE) AS recall FROM scores s JOIN t ON s.view = t.view WHERE y = 1 GROUP BY s.view, tier) SELECT view AS arm, 'matched_threshold' AS metric, 'social' AS tier, round(thr, 6) AS value FROM t UNION ALL SELECT view, 'recall', tier, round(recall, 6) FROM r UNION ALL SELECT view, 'mean_recall', 'all', round(avg(recall), 6) FROM r GROUP BY view")
 def ablation_arms(spark, sf_dir):
     """Long table of arms (here: views): threshold, recall by tier, and the mean of those."""
     s = data.scores(spark, sf_dir)
-    t = M.quantile(s.filter("tier = 'wildrf' AND y = 0"), 1 - MATCHED_FPR, ("view",), "thr")
+    t = M.quantile(s.filter("tier = 'social' AND y = 0"), 1 - MATCHED_FPR, ("view",), "thr")
     r = s.filter("y = 1").join(F.broadcast(t), "view").groupBy("view", "tier").agg(F.avg((F.col("p") >= F.col("thr")).cast("double")).alias("recall"))
     row = lambda df, metric, tier, v: df.select(F.col("view").alias("arm"), F.lit(metric).alias("metric"), tier.alias("tier"), F.round(v, 6).alias("value"))
     mean = r.groupBy("view").agg(F.avg("recall").alias("recall"))
-    return row(t, "matched_threshold", F.lit("wildrf"), F.col("thr")).unionByName(row(r, "recall", F.col("tier"), F.col("recall"))).unionByName(row(mean, "mean_recall", F.lit("all"), F.col("recall")))
+    return row(t, "matched_threshold", F.lit("social"), F.col("thr")).unionByName(row(r, "recall", F.col("tier"), F.col("recall"))).unionByName(row(mean, "mean_recall", F.lit("all"), F.col("recall")))
 
 
 @query(_ALL + f", a AS ({auc_sql('view')}), b AS (SELECT view, (tpr + 1 - fpr) / 2 AS bacc FROM (SELECT view, {_RATES.format(t=SHIP)} FROM scores GROUP BY view)), j AS (SELECT * FROM a JOIN b USING (view)) SELECT round(max(auc) FILTER (view = 'clean') - avg(auc) FILTER (view <> 'clean'), 6) AS auc_gap, round(max(bacc) FILTER (view = 'clean') - avg(bacc) FILTER (view <> 'clean'), 6) AS bacc_gap, round(0.5 * max(auc) FILTER (view = 'clean') + 0.5 * avg(auc) FILTER (view <> 'clean'), 6) AS score_mean, round(0.5 * max(auc) FILTER (view = 'clean') + 0.5 * min(auc) FILTER (view <> 'clean'), 6) AS score_worst FROM j")
@@ -284,10 +284,10 @@ def view_tier_pivot(spark, sf_dir):
     return M.auc(data.scores(spark, sf_dir), ("tier", "view")).groupBy("view").pivot("tier", list(data.TIERS)).agg(F.first("auc"))
 
 
-@query(_ALL + f", pair AS (SELECT view, p, 1 AS y FROM scores WHERE y = 1 AND tier = 'ood' UNION ALL SELECT view, p, 0 FROM scores WHERE y = 0 AND tier = 'wildrf') {auc_sql('view', 'pair')}")
+@query(_ALL + f", pair AS (SELECT view, p, 1 AS y FROM scores WHERE y = 1 AND tier = 'ood' UNION ALL SELECT view, p, 0 FROM scores WHERE y = 0 AND tier = 'social') {auc_sql('view', 'pair')}")
 def cross_tier_pairing(spark, sf_dir):
     """One tier's generated rows against another's real ones."""
-    s = data.scores(spark, sf_dir).filter("(y = 1 AND tier = 'ood') OR (y = 0 AND tier = 'wildrf')")
+    s = data.scores(spark, sf_dir).filter("(y = 1 AND tier = 'ood') OR (y = 0 AND tier = 'social')")
     return M.auc(s, ("view",)).select("view", "auc")
 
 

@@ -48,7 +48,7 @@ def scores_cte(names=None, scored_only: bool = True) -> str:
     return (
         """WITH base AS (
   SELECT vec_id AS row_id, 'vec/' || vec_id AS path, (label >= 5)::INT AS y, 'g' || label AS generator, 's' || (vec_id % 3) AS source,
-    ['val', 'ood', 'demo_val', 'wildrf'][(vec_id % 4 + 1)::INT] AS tier, embedding::DOUBLE[] AS x FROM embeddings),
+    ['val', 'ood', 'demo_val', 'social'][(vec_id % 4 + 1)::INT] AS tier, embedding::DOUBLE[] AS x FROM embeddings),
 dims AS (SELECT y, unnest(range(1, 65)) AS dim, unnest(x) AS v FROM base),
 sc AS (
   SELECT dim, avg(v) AS mean, CASE WHEN stddev_pop(v) = 0 THEN 1.0 ELSE stddev_pop(v) END AS std,
