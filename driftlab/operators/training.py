@@ -69,3 +69,21 @@ def minibatch_curve(rows: DataFrame, order: str, vector: str = "x", label: str =
     numbered.unpersist()
     return spark.createDataFrame(out, "step int, epoch int, n long, batch_loss double")
 
+
+
+def run_arms(spark, arms: dict, status: str) -> dict:
+    """Runs each arm, a function of the session, after the other; one that fails doesn't stop the rest. Appends a status row an arm; returns the results."""
+    import time
+
+    from driftlab.sources.files import append_status
+
+    out = {}
+    for name, arm in arms.items():
+        began = time.time()
+        try:
+            out[name] = arm(spark)
+            state = "done"
+        except Exception as e:
+            state = f"failed: {str(e).splitlines()[0][:200] if str(e) else type(e).__name__}"
+        append_status(spark, status, {"stage": name, "state": state, "seconds": round(time.time() - began, 3)})
+    return out

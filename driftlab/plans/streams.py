@@ -35,7 +35,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_id) AS nth FROM
 sp AS (SELECT g, min(event_id) AS f, max(event_id) FILTER (nth = CASE WHEN g = 'real' THEN 300 ELSE 40 END) AS fu FROM kept GROUP BY g),
 op AS (SELECT k.event_id, (SELECT count(*) FROM sp WHERE (sp.f <= k.event_id OR sp.g = 'real') AND (sp.fu IS NULL OR sp.fu > k.event_id)) AS open FROM kept k WHERE k.event_id >= 200)
 SELECT event_id, event_type FROM kept WHERE event_id <= coalesce((SELECT min(event_id) FROM op WHERE open = 0), 9223372036854775807)""")
-def quota_slice(spark, sf_dir):
+def quota_stream(spark, sf_dir):
     """What a quota'd reader keeps of the stream (the quotas are the operator's own limits)."""
     return S.quota_slice(data.stream_scores(spark, sf_dir), "event_id", "event_type", ["view", "click"], per_group=40, real_cap=300, skip=100, min_scan=200).select("event_id", "event_type")
 
@@ -159,3 +159,17 @@ def stream_ema_state(spark, sf_dir):
 def stream_quota_state(spark, sf_dir):
     """The first fifty of each type (the operator's own quota), from a stream."""
     return _streamed(spark, S.quota_stream(_event_stream(spark, sf_dir), "event_type", "event_id", 50), "quota").select("event_type", "event_id")
+
+
+@query("SELECT DISTINCT props FROM events")
+def stream_url_dedup(spark, sf_dir):
+    """Each URL (here: props) once within the watermark, from a stream."""
+    e = _event_stream(spark, sf_dir).select("props", F.col("ts").cast("timestamp").alias("at"))
+    return _streamed(spark, S.first_per_url(e, "props", "at", late="3650 days"), "urls").select("props")
+
+
+@query(f"{_E} SELECT event_id // 500 AS batch, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS failed, round(avg(pred) FILTER (event_type <> 'error'), 6) AS mean_pred FROM e GROUP BY ALL")
+def batch_summary(spark, sf_dir):
+    """Batches of a scoring service: how many failed, and the mean of the others."""
+    e = data.stream_scores(spark, sf_dir)
+    return e.groupBy(F.floor(F.col("event_id") / 500).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.avg(F.when(F.col("event_type") != "error", F.col("pred"))), 6).alias("mean_pred"))

@@ -116,3 +116,33 @@ def first_column(df: DataFrame, candidates: Sequence[str] = ("image", "img", "jp
     if not have:
         raise ValueError(f"none of {list(candidates)} in {df.columns}")
     return F.coalesce(*[F.col(c)["bytes"] if df.schema[c].dataType.typeName() == "struct" else F.col(c) for c in have])
+
+
+def write_report(df: DataFrame, path: str, digits: int = 6) -> None:
+    """A report as CSV with a header, its doubles rounded."""
+    rounded = {c: F.round(c, digits) for c, kind in df.dtypes if kind in ("double", "float")}
+    df.withColumns(rounded).write.mode("overwrite").option("header", True).csv(path) if rounded else df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_audit(df: DataFrame, path: str, suspect: str = "suspect") -> bool:
+    """An audit as JSON lines; True if a row is suspect, for a caller's exit code."""
+    df.write.mode("overwrite").json(path)
+    return not df.filter(F.col(suspect)).isEmpty()
+
+
+def resolve(spark: SparkSession, paths: Sequence[str], reader) -> DataFrame:
+    """reader(spark, path) of the first path that can be read; raises with all reasons if none can."""
+    reasons = []
+    for p in paths:
+        try:
+            df = reader(spark, p)
+            df.limit(1).count()
+            return df
+        except Exception as e:  # a mirror may fail in any way
+            reasons.append(f"{p}: {str(e).splitlines()[0]}")
+    raise ValueError("; ".join(reasons))
+
+
+def catalog_status(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """(name, present) of tables and views."""
+    return spark.createDataFrame([(n, spark.catalog.tableExists(n)) for n in names], "name string, present boolean")

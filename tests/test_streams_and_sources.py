@@ -118,3 +118,20 @@ def test_heads_learn(spark):
     curve = training.minibatch_curve(df, "row_id", epochs=4).orderBy("step").collect()
     assert curve[-1].batch_loss < curve[0].batch_loss
     assert training.score_mlp(df, training.mlp_weights([2, 8, 1])).filter("p BETWEEN 0 AND 1").count() == 400
+
+
+def test_arms_mirrors_reports_and_audits(spark, tmp_path):
+    def bad(s):
+        raise RuntimeError("no weights")
+
+    got = training.run_arms(spark, {"a": lambda s: 1, "b": bad, "c": lambda s: 3}, str(tmp_path / "status"))
+    assert got == {"a": 1, "c": 3}
+    assert {r.stage: r.state for r in files.read_status(spark, str(tmp_path / "status")).collect()} == {"a": "done", "b": "failed: no weights", "c": "done"}
+    df = spark.createDataFrame([("v", 0.12345678, True)], "view string, auc double, suspect boolean")
+    files.write_report(df, str(tmp_path / "r"))
+    back = files.resolve(spark, [str(tmp_path / "missing"), str(tmp_path / "r")], lambda s, p: s.read.option("header", True).csv(p))
+    assert back.first()["auc"] == "0.123457"
+    assert files.write_audit(df, str(tmp_path / "a")) and not files.write_audit(df.filter("false"), str(tmp_path / "b"))
+    with pytest.raises(ValueError):
+        files.resolve(spark, [str(tmp_path / "missing")], lambda s, p: s.read.csv(p))
+    assert not files.catalog_status(spark, ["nothing_here"]).first()["present"]
