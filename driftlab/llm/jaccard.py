@@ -175,7 +175,12 @@ def _tile(node: int, sets: dict[int, tuple[int, np.ndarray, np.ndarray]], left:
     other = left if right is None else right
     size = lambda x: np.array([sets[i][0] for i in x], np.float64)
     inter = _products([sets[i][1] for i in left], None if right is None else [sets[i][1] for i in right])
-    linked = inter >= threshold / (1 + threshold) * (size(left)[:, None] + size(other)[None, :]) - 1e-6
+    rows = [slice(r, r + 256) for r in range(0, len(left), 256)]  # a few rows of the matrix at a time
+    n_left, n_other, share = size(left), size(other), threshold / (1 + threshold)
+    linked = np.zeros(inter.shape, bool)
+    for r in rows:
+        linked[r] = inter[r] >= share * (n_left[r, None] + n_other[None, :]) - 1e-6
+    del inter
     if right is None:
         np.fill_diagonal(linked, False)
     if not linked.any():
@@ -186,24 +191,27 @@ def _tile(node: int, sets: dict[int, tuple[int, np.ndarray, np.ndarray]], left:
     counted = linked
     if sum(map(len, earlier)) and sum(map(len, earlier_other)):
         counted = linked & (_products(earlier, None if right is None else earlier_other) == 0)
-    ids = [*left, *([] if right is None else right)]
-    links = np.concatenate([counted.sum(1), [] if right is None else counted.sum(0)]).astype(np.int64)
-    a, b = np.nonzero(linked)
-    b = b + (0 if right is None else len(left))
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    root = np.empty(len(ids), np.int64)
-    root[order] = np.arange(len(ids))
-    while True:  # labels go along links until they are still
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
+    links = [counted.sum(1), counted.sum(0)]
+    del counted
+    # labels go along links until they are still: ranks of the sets' ids
+    ids = np.array([*left, *([] if right is None else right)], np.int64)
+    order = np.argsort(ids)
+    by_rank = ids[order]
+    root = np.searchsorted(by_rank, ids)
+    while True:
+        ends = [root[: len(left)], root if right is None else root[len(left) :]]
+        a, b = ends[0].copy(), ends[1].copy()
+        for r in rows:
+            a[r] = np.minimum(a[r], np.where(linked[r], ends[1][None, :], len(ids)).min(1))
+            np.minimum(b, np.where(linked[r], ends[0][r, None], len(ids)).min(0), out=b)
+        new = np.minimum(a, b) if right is None else np.concatenate([a, b])
         new = np.minimum(new, new[order[new]])
         if (new == root).all():
             break
         root = new
-    touched = np.zeros(len(ids), bool)
-    touched[a] = touched[b] = True
-    return {ids[k]: (int(links[k]), int(ids[order[root[k]]])) for k in np.flatnonzero(touched).tolist()}
+    touched = linked.any(1) if right is None else np.concatenate([linked.any(1), linked.any(0)])
+    many = links[0] if right is None else np.concatenate(links)
+    return {int(ids[k]): (int(many[k]), int(by_rank[root[k]])) for k in np.flatnonzero(touched).tolist()}
 
 
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
