@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlab.operators import scoring, views
+from driftlab.operators import scoring
 
 # The dimension of generators. g9 is unknown to it on purpose.
 GENERATORS = [("g0", "real", 2019, True), ("g1", "real", 2020, True), ("g2", "real", 2021, False), ("g3", "real", 2022, False), ("g4", "real", 2023, False), ("g5", "diffusion", 2021, True), ("g6", "diffusion", 2022, True), ("g7", "diffusion", 2023, False), ("g8", "gan", 2019, True)]
@@ -34,7 +34,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str, names=None) -> DataFrame:
     """(row_id, path, y, generator, source, tier, view, ord, kind, p): every row in every view, scored by the head fitted on the clean view."""
     rows = embeddings(spark, sf_dir)
-    return scoring.score(views.expand_views(rows, names), scoring.fit_centroid_head(rows))
+    return scoring.score_views(rows, scoring.fit_centroid_head(rows), names)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,19 @@ def test_views_of_a_vector(spark):
     assert v["resize_0.5x"] == [0.0, 0.0, 2.0, 2.0, 4.0, 4.0, 6.0, 6.0, 8.0, 8.0]
     assert v["center_crop_80"] == [0.0, *[float(i) for i in range(1, 9)], 0.0]
     assert v["noise_sigma0.1"] != v["clean"] and max(abs(a - b) for a, b in zip(v["noise_sigma0.1"], v["clean"])) < 0.1 * 12**0.5
+
+
+def test_batches_and_expressions_score_alike(spark):
+    import random
+
+    from driftlab.operators import scoring
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, f"vec/{i}", i % 2, [r.gauss(i % 2, 1) for _ in range(12)]) for i in range(40)], "row_id long, path string, y int, x array<double>")
+    head = scoring.fit_centroid_head(df)
+    key = lambda rows: {(x.row_id, x.view): (x.y, x.ord, x.kind, x.p) for x in rows}
+    a = key(scoring.score(views.expand_views(df, scored_only=False), head).collect())
+    b = key(scoring.score_views(df, head, scored_only=False).collect())
+    assert len(a) == 40 * 22 and a.keys() == b.keys()
+    assert all(a[k][:3] == b[k][:3] and abs(a[k][3] - b[k][3]) <= 1e-9 for k in a)
+    assert scoring.score_views(df.limit(0), head).count() == 0
