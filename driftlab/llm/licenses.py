@@ -171,3 +171,32 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def _sql() -> str:
+    """The same by comparing every line with every template, without any of the filters."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    upper = "".join(map(chr, range(65, 91)))
+    words = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    rows = ", ".join(f"('{k}', {listed(sorted(set(words(t))))}, {math.ceil(THRESHOLD * len(set(words(t))) - 1e-9)})" for k, t in TEMPLATES.items())
+    places = ", ".join("list_filter(range(1, len(words) + 1), lambda i: " + " AND ".join(f"words[i + {j}] IS NOT DISTINCT FROM '{w}'" for j, w in enumerate(p.split())) + f") AS {label}" for p, label in PHRASES.items())
+    every = "list_concat(" * (len(PHRASES) - 1) + list(PHRASES.values())[0] + "".join(f", {x})" for x in list(PHRASES.values())[1:])
+    base = "list_filter([" + ", ".join(f"CASE WHEN len({x}) > 0 THEN '{x}' END" for x in PHRASES.values()) + "], lambda v: v IS NOT NULL)"
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS s FROM documents),
+w AS (SELECT doc_id, r, regexp_extract_all(s, '{pattern}') AS words FROM t),
+p AS (SELECT doc_id, r, len(words) AS n, {places} FROM w),
+b AS (SELECT doc_id, r, n, {every} AS places, {base} AS base FROM p),
+tpl(label, tw, need) AS (VALUES {rows}),
+ln AS (SELECT r, list_distinct(regexp_extract_all(line, '{pattern}')) AS lw FROM (SELECT r, unnest(string_split(s, chr(10))) AS line FROM t)),
+m AS (SELECT r, label, max(len(list_intersect(lw, tw)) / len(tw)::DOUBLE) AS c FROM ln JOIN tpl ON len(list_intersect(lw, tw)) >= need GROUP BY r, label),
+g AS (SELECT r, list(label) AS found, max(c) AS c FROM m GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM b LEFT JOIN g ON g.r = b.r"""
+
+
+SQL = _sql()
