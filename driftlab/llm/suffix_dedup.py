@@ -43,7 +43,7 @@ LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 SAMPLE, HOT, CROWD = 4_000, 12, 64
 PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24 bits
-BLOCK_TEXT = 16 << 20  # bytes of documents whose anchors or pieces leave a task together
+BLOCK_TEXT = 8 << 20  # bytes of documents whose anchors or pieces leave a task together
 BUCKET_TEXT = 32 << 20  # bytes of documents for each bucket
 BARE = 255  # in place of a piece's number of windows: one window, named by its hash, without its bytes
 _LAST = (1 << 63) - 1
@@ -379,11 +379,17 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
     size = count[heads]
     group = np.cumsum(np.append(True, hk[1:] != hk[:-1])) - 1
     many = np.bincount(group)
+    lone = many[group][of] == 1
+    if lone.any():  # all pieces of the key are equal: their least id is that of every window
+        bits = np.where(lone & (least[of] < did), (np.int64(1) << count) - 1, 0)
+        rest = ~lone
+        if rest.any():
+            bits[rest] = _judge(key[rest], did[rest], count[rest], hash_[rest], at[rest], data, crowded)
+        return bits
     # least id by window of each different piece: its own, unless other pieces of the key hold the window too
     width = int(size.max())
     window_least = np.repeat(least[:, None], width, 1)
     crowd = many[group] > crowded
-    single = (many[group] > 1) & ~crowd
     if crowd.any():
         todo = np.flatnonzero(crowd)
         total = np.cumsum(size[todo])
@@ -394,8 +400,8 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
                 e += 1
             _by_window(todo[s:e], at[heads], size, least, data, window_least)
             s = e
-    if single.any():
-        todo = np.flatnonzero(single)
+    if not crowd.all():
+        todo = np.flatnonzero(~crowd)
         total = np.bincount(group[todo], size[todo] + LENGTH, len(many))
         o = np.lexsort((todo, group[todo], total[group[todo]]))  # keys of about the same size together
         todo = todo[o]
