@@ -7,6 +7,11 @@ filter looks only at lines with one of the template's first n - need + 1 words i
 lines of fewer than ``need`` distinct words; the positional filter drops lines whose words after the first common one
 are too few; what is left is verified by the exact intersection. No line that meets the threshold is missed.
 
+A notice may also be wrapped over lines. Blocks are therefore also windows of consecutive words, whatever lines they
+stand on, as long as the template (its words over the threshold, so that some words may be put in): only around words
+of the template's prefix, only where that many words stand, and verified by exact running counts of distinct words. A
+window inside one line, or over a line that the template matches already, adds nothing to the lines.
+
 Beside the templates, phrases are found as places where their words stand consecutively.
 
 Words: runs of 0-9, a-z and bytes above 127 after lower-casing A-Z. Defined results: a null or empty text has no words
@@ -74,9 +79,11 @@ def token_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text"
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, start: long, end: long, containment: double>>"
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """One row per document: phrase places and, in ``blocks``, each matching line (byte span) with its template and containment.
 
+    wrapped: also windows over two or more lines.
+
     ``score``: 1 if a phrase occurs, else the greatest containment of a matching template, else 0.
     """
     if not 0 < threshold <= 1:
@@ -85,10 +92,11 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
     counts = token_counts(docs, vocabulary, text_col)
     rank = np.empty(len(vocabulary), np.int64)
     rank[np.lexsort((vocabulary, counts))] = np.arange(len(vocabulary))
-    shapes = []  # label, sorted ranks, how many are needed
+    shapes, widths = [], []  # label, sorted ranks, how many are needed; words of a window
     for label, text in sorted(templates.items()):
         r = np.sort(rank[np.searchsorted(vocabulary, np.unique(text_words(text)))])
         shapes.append((label, r, math.ceil(threshold * len(r) - 1e-9)))
+        widths.append(math.floor(len(text_words(text)) / threshold + 1e-9))
     starts_with: dict[int, list[int]] = {}  # rank -> templates that have it in their prefix
     for k, (_, r, need) in enumerate(shapes):
         for x in r[: len(r) - need + 1].tolist():
@@ -116,6 +124,44 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
                 found.append((label, common / len(r)))
         return found
 
+    def windows_of(k: int, ranks: np.ndarray, hits: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first word, end, containment) of windows that template k matches, the best of those that overlap.
+
+        ranks: of all words, the vocabulary's size where in no template; low and high: ends of each word's document.
+        """
+        _, r, need = shapes[k]
+        width = widths[k]
+        own = np.zeros(len(vocabulary) + 1, bool)
+        own[r[: len(r) - need + 1]] = True
+        near = hits[own[ranks[hits]]]
+        if not len(near):
+            return []
+        lo, hi = np.maximum(near - width + 1, low[near]), np.minimum(near + width, high[near])
+        new = np.flatnonzero(lo[1:] >= hi[:-1]) + 1  # ranges that touch are one
+        lo, hi = lo[np.append(0, new)], hi[np.append(new - 1, len(hi) - 1)]
+        lo, hi = lo[hi - lo >= need], hi[hi - lo >= need]
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        own[r] = True
+        at = at[own[ranks[at]]]
+        order = np.lexsort((at, ranks[at]))
+        again = ranks[at[order[1:]]] == ranks[at[order[:-1]]]
+        before = np.full(len(at), -1)
+        before[order[1:][again]] = at[order[:-1][again]]
+        # word i is counted in the windows that begin after its last occurrence and reach it: distinct words of each window
+        begins = np.sort(np.maximum(np.maximum(before + 1, at - width + 1), low[at]))
+        count = np.searchsorted(begins, at, "right") - np.arange(len(at))
+        good = np.flatnonzero(count >= need)
+        starts, found, i = at[good], [], 0
+        while i < len(good):
+            s = starts[i]
+            j = np.searchsorted(starts, min(s + width, high[s]))
+            b = good[i + int(np.argmax(count[good[i:j]]))]
+            end = at[np.searchsorted(at, min(at[b] + width, high[at[b]])) - 1] + 1
+            found.append((int(at[b]), int(end), float(count[b] / len(r))))
+            i = int(np.searchsorted(starts, end))
+        return found
+
     def run(batches):
         import pyarrow as pa
 
@@ -147,12 +193,26 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
                 hits = np.flatnonzero((vocabulary[at] == h) & probe[rank[at]])
                 edges = np.union1d(np.flatnonzero(raw == 10), offsets)
                 line = np.unique(np.searchsorted(edges, starts[hits], "right"))
+                matched = set()
                 for e in line.tolist():
                     s, t = (edges[e - 1] if e else 0), edges[e]
                     i, j = np.searchsorted(starts, [s, t])
                     for label, share in blocks_of(h[i:j]):
                         d = int(doc[i])
+                        matched.add((label, e))
                         more[d].append({"label": label, "start": int(starts[i] - offsets[d]), "end": int(ends[j - 1] - offsets[d]), "containment": share})
+                if wrapped and len(hits):
+                    ranks = np.where(vocabulary[at] == h, rank[at], len(vocabulary))
+                    low, high, changed = first_of[doc], first_of[doc + 1], set()
+                    for k, (label, _, _) in enumerate(shapes):
+                        for i, j, share in windows_of(k, ranks, hits, low, high):
+                            over = np.unique(np.searchsorted(edges, starts[i:j], "right")).tolist()
+                            if len(over) > 1 and not any((label, e) in matched for e in over):
+                                d = int(doc[i])
+                                changed.add(d)
+                                more[d].append({"label": label, "start": int(starts[i] - offsets[d]), "end": int(ends[j - 1] - offsets[d]), "containment": share})
+                    for d in changed:
+                        more[d].sort(key=lambda b: (b["start"], b["label"]))
             some = base > 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -170,7 +230,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+    return scan_licenses(table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 def _sql() -> str:

@@ -61,3 +61,39 @@ def test_counts_cover_all_documents(spark):
     docs = spark.createDataFrame([(i, "Licensed under\nlicensed UNDER x", "") for i in range(50)], DOCS).repartition(7)
     v = L._vocabulary({"a": "licensed under nothing"})
     assert sorted(L.token_counts(docs, v).tolist()) == [0, 100, 100]
+
+
+def brute_windows(text, label):
+    """The most distinct words of the template that a window of its length holds, over all windows."""
+    t = WORD.findall(lower(L.TEMPLATES[label]))
+    words, width = WORD.findall(lower(text)), int(len(t) / L.THRESHOLD + 1e-9)
+    return max((len(set(words[i : i + width]) & set(t)) for i in range(max(1, len(words)))), default=0) / len(set(t))
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped over lines, with and without comment signs, a word in four changed, and alone or amid other text."""
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction"
+    far = "all of it\n" + "word " * 30 + "\nrights\n" + "word " * 30 + "\nreserved"
+    texts = {1: bsd, 2: "Intro.\n" + mit + "\n" + bsd, 3: far, 4: "All rights\nreserved", 5: "all\n\n", 6: "rights reserved"}
+    r = random.Random(5)
+    for i in range(200):
+        w = L.TEMPLATES[r.choice(list(L.TEMPLATES))].split()
+        w = [x if r.random() > 0.03 else "other" for x in w for _ in range(1 + (r.random() < 0.04))]
+        w = r.choices(["the", "of", "license", "x"], k=r.randint(0, 40)) + w + r.choices(["is", "and", "rights", "y"], k=r.randint(0, 40))
+        texts[10 + i] = "".join(x + r.choice([" ", " ", " ", "\n# "]) for x in w)
+    docs = spark.createDataFrame([(i, t, "") for i, t in texts.items()], DOCS)
+    got = {x.doc_id: x for x in L.scan_licenses(docs, wrapped=True).collect()}
+    assert [got[i].labels for i in range(1, 7)] == ["bsd-notice", "bsd-notice,mit-grant", "", "reserved-notice", "", ""]
+    assert [(b.start, b.end, b.containment) for b in got[1].blocks] == [(0, len(bsd) - 1, 1.0)]
+    lines, found = {x.doc_id: x for x in L.scan_licenses(docs).collect()}, 0
+    for i, t in texts.items():
+        of_line, more = {b.label for b in lines[i].blocks}, {b.label: b for b in got[i].blocks if b.label not in {x.label for x in lines[i].blocks}}
+        want = {k for k in L.TEMPLATES if k not in of_line and brute_windows(t, k) >= L.THRESHOLD - 1e-9}
+        assert set(more) == want, (i, t)
+        assert {tuple(b) for b in lines[i].blocks} <= {tuple(b) for b in got[i].blocks}
+        for k, b in more.items():
+            part, own = t.encode()[b.start : b.end].decode(), set(WORD.findall(lower(L.TEMPLATES[k])))
+            assert "\n" in part and b.containment == len(set(WORD.findall(lower(part))) & own) / len(own)
+        found += len(more)
+    assert found > 50
