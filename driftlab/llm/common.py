@@ -148,8 +148,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.nd
     return starts, starts + lengths, mix64(np.add.reduceat(parts, begins) + lengths.astype(np.uint64))
 
 
+def lower_bytes(text: str | None) -> np.ndarray:
+    """UTF-8 bytes of the lower case as text_chunks makes it: str.lower() has other ones for U+0130 and a final sigma."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return np.frombuffer(pc.utf8_lower(pa.scalar((text or "").encode("utf-8", "replace").decode(), pa.large_string())).as_buffer(), np.uint8)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    return words_of(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8))[2]
+    return words_of(lower_bytes(text))[2]
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, mix64, powers, table, text_chunks, words_of
+from .common import bounded_batches, cut, lower_bytes, mix64, powers, table, text_chunks, words_of
 
 K, THRESHOLD, RADIUS = 5, 0.8, 20
 BLOCK_BYTES, BLOCKS_AT_ONCE = 16 << 20, 4
@@ -75,8 +75,7 @@ class Items:
         self.ids, self.shingles, self.sizes = [], [], []
         prints = []
         for item, text in sorted(set(rows)):
-            data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-            s, e, h = words_of(data)
+            s, e, h = words_of(lower_bytes(text))
             if len(h) < K:
                 continue
             sh = shingles(h, e - s)

@@ -99,3 +99,14 @@ def test_index_finds_all_within_radius():
     w, i = it.within(20, probes, 23)
     want = np.argwhere(np.bitwise_count(probes[:, None] ^ it.prints[None, :]) <= 23)
     assert sorted(zip(w.tolist(), i.tolist())) == sorted(map(tuple, want.tolist()))
+
+
+@pytest.mark.parametrize("odd", ["İstanbul", "ΛΟΓΟΣ"])
+def test_items_and_documents_are_lowered_alike(spark, odd):
+    """U+0130 and a final capital sigma have other lower cases in Python than in Arrow."""
+    item = " ".join([f"w{i}" for i in range(10)] + [odd] + [f"v{i}" for i in range(9)])
+    docs = spark.createDataFrame([(1, item, "", ""), (2, "x " + item.upper() + " y", "", "")], DOCS)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.find_contamination(docs, bench).collect()}
+    assert (got[1].item_ids, got[1].similarity) == ([7], 1.0) and got[2].contaminated
+    assert D.remove_contaminated(docs, bench).count() == 0

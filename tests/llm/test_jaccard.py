@@ -118,3 +118,12 @@ def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert J.join_similar(docs).count() == 0 and J.keep_one(docs).count() == 0
     assert word_hashes("a b").size == 2
+
+
+def test_repeated_ids_of_texts_with_odd_capitals_stay(spark):
+    """Rows of a repeated id are told apart by their sets: those of U+0130 and a final sigma are lowered as elsewhere."""
+    texts = [f"{odd} " + " ".join(f"{odd}{i}" for i in range(12)) for odd in ("İ", "ΑΣ", "plain")]
+    other = "ΒΣ " + " ".join(f"İ{i}ΒΣ" for i in range(12))
+    rows = [(i, t) for i, t in zip((1, 2, 3, None), (*texts, other)) for _ in range(2)]
+    docs = spark.createDataFrame([(*x, 1, "s", 2) for x in rows], DOCS)
+    assert sorted((r.doc_id or 0, r.text) for r in J.keep_one(docs).collect()) == sorted({(i or 0, t) for i, t in rows})
