@@ -10,7 +10,8 @@ import numpy as np
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+_PAIR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+_NO_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +39,20 @@ TAGS = [{"p", "blockquote", "pre", "dd", "dt"}, {"h1"}, {"h2", "h3", "h4", "h5",
 _TAG_CODE = {t: i + 1 for i, ts in enumerate(TAGS) for t in ts}
 
 
+def hides(attrs: str) -> bool:
+    """Whether the attributes of a start tag hide the element: hidden, aria-hidden=true, or display:none as style's last word on it."""
+    of: dict[str, str] = {}
+    for name, *values in _PAIR.findall(attrs):
+        of.setdefault(name.lower(), html.unescape("".join(values)))
+    shown, strong = "", False
+    for part in _NO_STYLE.sub(" ", of.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, _, mark = value.partition("!")
+        if name.strip() == "display" and (mark or not strong):
+            shown, strong = value.strip(), bool(mark)
+    return "hidden" in of or of.get("aria-hidden", "").strip().lower() == "true" or shown == "none"
+
+
 class Page:
     """tags, parents and attribute words of the elements, and the text as (element, raw text) with None between blocks."""
 
@@ -114,8 +129,8 @@ class Page:
         hidden = False
         if attrs and "=" in attrs:
             words = tuple(w.lower() for a in _ATTR.findall(attrs) for w in _WORDS.findall(" ".join(a[1:])))
-        if "hidden" in attrs or "none" in attrs:
-            hidden = bool(_HIDDEN.search(re.sub(r"class\s*=\s*(\"[^\"]*\"|'[^']*')", "", attrs)))
+        if attrs and (low := attrs.lower()) and ("hidden" in low or "style" in low):
+            hidden = hides(attrs)
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.words.append(words)

@@ -75,3 +75,17 @@ def test_edge_rows(spark, model):
     assert text[5] == "" and text[6] == "a c\nd"
     assert E.extract_text(df.limit(0), model).count() == 0
     assert E.fit(df.limit(0)) is not None
+
+
+@pytest.mark.parametrize(
+    "attrs,want",
+    [
+        ('data-title="The hidden cost of war"', False), ('title="a hidden gem"', False), ('style="overflow: hidden !important"', False), ("class='hidden'", False),
+        ('title="display:none"', False), ('data-hidden="1"', False), ('aria-hidden="false"', False), ("href=/a/hidden/b", False), ('style="display:none;display:block"', False),
+        ('style="x-display:none"', False), ('data-x="aria-hidden=true"', False), ("hidden", True), ("HIDDEN", True), ('id="a"hidden', True), ('hidden=""', True), ("hidden/", True),
+        ("aria-hidden = 'true'", True), ("aria-hidden=true", True), ('style="color:red; DISPLAY : none !important"', True), ("style=display:none", True), ('style="display:none!important;display:block"', True),
+    ],
+)
+def test_only_attributes_that_hide_an_element_drop_it(attrs, want):
+    page = Page(f"<article {attrs}><p>text</p></article>")
+    assert page.never[page.tag.index("article")] is want
