@@ -158,7 +158,8 @@ def stream_ema_state(spark, sf_dir):
 @query(f"{_E} SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM e) WHERE r <= 50")
 def stream_quota_state(spark, sf_dir):
     """The first fifty of each type (the operator's own quota), from a stream."""
-    return _streamed(spark, S.quota_stream(_event_stream(spark, sf_dir), "event_type", "event_id", 50), "quota").select("event_type", "event_id")
+    out = _streamed(spark, S.quota_stream(_event_stream(spark, sf_dir), "event_type", "event_id", 50), "quota")
+    return S.first_of_group(out.select("event_type", "event_id"), "event_type", "event_id", 50)
 
 
 @query("SELECT DISTINCT props FROM events")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ALPHA = 0.6
+FRAME_ROWS = 10_000
 
 
 def running(df: DataFrame, order: str, columns: dict[str, Column], chunk: int = 100_000) -> DataFrame:
@@ -73,12 +74,21 @@ def ema_batch(df: DataFrame, key: str, order: list[str], value: str, reset: Colu
 
 
 def ema_stream(stream: DataFrame, key: str, value: str, order: str, reset: str, alpha: float = ALPHA) -> DataFrame:
-    """Structured Streaming: (key, order, ema) for each row; the state of a key is one number, cleared by a reset row."""
+    """Structured Streaming: (key, order, ema) for each row; the state of a key is one number, cleared by a reset row.
+
+    A key's rows of one trigger come in any order and in frames of any size: they are held (in Arrow) and sorted together
+    before they are smoothed. Triggers follow each other; bound them (maxFilesPerTrigger) where a key has very many rows.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
         e = state.get[0] if state.exists else None
-        for f in frames:
-            f = f.sort_values(order)
+        held = [pa.Table.from_pandas(f, preserve_index=False) for f in frames]
+        rows = pa.concat_tables(held, promote_options="permissive").sort_by(order) if held else None
+        del held
+        for b in rows.to_batches(max_chunksize=FRAME_ROWS) if rows is not None else ():
+            f = b.to_pandas()
             out = []
             for v, r in zip(f[value], f[reset]):
                 e = None if r else (v if e is None or pd.isna(e) else alpha * v + (1 - alpha) * e)
@@ -96,18 +106,30 @@ def ema_stream(stream: DataFrame, key: str, value: str, order: str, reset: str,
 
 
 def quota_stream(stream: DataFrame, group: str, position: str, quota: int) -> DataFrame:
-    """Structured Streaming: rows until their group has its quota; the state of a group is how many it has."""
+    """Structured Streaming: rows that are among the first ``quota`` of their group by position, of all seen so far.
+
+    The state of a group is these positions. All frames of a trigger are seen before rows are given out; a later trigger
+    may still bring earlier positions, so the reader of the sink takes the first of what was written (first_of_group).
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+        before = pd.DataFrame({position: list(state.get[0]) if state.exists else [], "_old": True})
+        best = before
         for f in frames:
-            take = f.sort_values(position).head(max(0, quota - n))
-            n += len(take)
-            yield take
-        state.update((n,))
+            best = pd.concat([x for x in (best, f.assign(_old=False)) if len(x)] or [f.assign(_old=False)]).sort_values(position, kind="stable").head(quota)
+        state.update(([int(x) for x in best[position].dropna()],))
+        new = best[~best["_old"].astype(bool)]
+        if len(new):
+            yield new[[group, position]]
 
     rows = stream.select(group, position)
-    return rows.groupBy(group).applyInPandasWithState(step, rows.schema.simpleString()[7:-1].replace(":", " "), "n long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(group).applyInPandasWithState(step, rows.schema.simpleString()[7:-1].replace(":", " "), "first array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_of_group(rows: DataFrame, group: str, position: str, quota: int) -> DataFrame:
+    """The first ``quota`` rows of each group by position; the rank filter goes below the shuffle."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(position))
+    return rows.withColumn("_nth", nth).filter(F.col("_nth") <= quota).drop("_nth")
 
 
 def first_per_url(stream: DataFrame, url: str, time: str, late: str = "1 hour") -> DataFrame:

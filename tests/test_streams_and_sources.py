@@ -135,3 +135,60 @@ def test_arms_mirrors_reports_and_audits(spark, tmp_path):
     with pytest.raises(ValueError):
         files.resolve(spark, [str(tmp_path / "missing")], lambda s, p: s.read.csv(p))
     assert not files.catalog_status(spark, ["nothing_here"]).first()["present"]
+
+
+@pytest.fixture
+def tiny_frames(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    yield
+    spark.conf.set(name, before)
+
+
+def events(n=60):
+    import random
+
+    r = random.Random(7)
+    rows = [(r.choices("abc", weights=(6, 2, 1))[0], i, r.random(), r.random() < 0.05) for i in range(n)]
+    return rows, r.sample(rows, n)
+
+
+def sequential(rows, alpha=S.ALPHA):
+    e, out = {}, {}
+    for k, n, v, reset in rows:
+        e[k] = None if reset else v if e.get(k) is None else alpha * v + (1 - alpha) * e[k]
+        out[k, n] = e[k]
+    return out
+
+
+def test_streams_do_not_depend_on_frames(spark, tmp_path, tiny_frames):
+    from driftlab.plans import streams
+
+    rows, mixed = events()
+    for i in range(2):
+        spark.createDataFrame(mixed[i::2], E).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    read = lambda: spark.readStream.schema(E).option("recursiveFileLookup", True)
+    out = streams._streamed(spark, S.ema_stream(read().parquet(f"{tmp_path}/in"), "k", "v", "n", "reset"), "ema")
+    assert {(r.k, r.n): None if r.ema is None or r.ema != r.ema else r.ema for r in out.collect()} == pytest.approx(sequential(rows))
+    want = {(k, n) for k in "abc" for n in sorted(n for g, n, *_ in rows if g == k)[:5]}
+    for files_each in (1, 10):  # several triggers, and one
+        stream = read().option("maxFilesPerTrigger", files_each).parquet(f"{tmp_path}/in")
+        out = streams._streamed(spark, S.quota_stream(stream, "k", "n", 5), "quota")
+        assert out.count() <= 2 * len(want)
+        assert sorted((r.k, r.n) for r in S.first_of_group(out, "k", "n", 5).collect()) == sorted(want)
+
+
+def test_a_long_key_is_smoothed_in_ranges(spark, tiny_frames):
+    rows, mixed = events(400)
+    df = spark.createDataFrame(mixed, E)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        out = S.ema_batch(df, "k", ["n"], "v", F.col("reset"))
+        assert {(r.k, r.n): r.ema for r in out.collect()} == pytest.approx(sequential(rows))
+        plain = [(k, n, v, False) for k, n, v, _ in rows]
+        out = S.ema_batch(spark.createDataFrame(plain, E), "k", ["n"], "v", F.col("reset"))
+        assert {(r.k, r.n): r.ema for r in out.collect()} == pytest.approx(sequential(plain))
+    finally:
+        spark.conf.unset(name)
