@@ -131,13 +131,14 @@ def minibatch_curve(spark, sf_dir):
 
 
 def _streamed(spark, out, name: str):
-    """The rows of a stream that has read all there is, through a memory sink."""
+    """The rows of a stream that has read all there is, through a Parquet sink in the shared folder."""
     from driftlab.sources.files import checkpoint_folder
 
     table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = out.writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint_folder(spark, table)).trigger(availableNow=True).start()
+    path = checkpoint_folder(spark, f"{table}-rows")
+    q = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint_folder(spark, table)).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def _event_stream(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,17 +61,52 @@ def gated_abort(df: DataFrame, position: str, bad: Column, min_seen: int = 200,
 def ema_batch(df: DataFrame, key: str, order: list[str], value: str, reset: Column, alpha: float = ALPHA) -> DataFrame:
     """(key, order, ema): exponential smoothing of each key's values in order; a reset row clears it and has none itself.
 
-    Keys are elements of a page, whose values are few; for keys of any length use the stream, which holds one number a key.
+    Rows are dealt by ranges of key and order and smoothed in one pass over each. What a key brings along from the ranges
+    before is still open then: a row's value is ``base + decay * carry``, or ``fresh`` if nothing is brought along. The
+    last rows of a key's ranges give the carries, so a key of any length is spread over tasks.
     """
-    rows = df.select(key, F.struct(*order, F.col(value).alias("v"), reset.alias("reset")).alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    step = lambda acc, r: F.struct(
-        F.when(r["reset"], F.lit(None).cast("double")).otherwise(F.coalesce(F.lit(alpha) * r["v"] + F.lit(1 - alpha) * acc["e"], r["v"])).alias("e"),
-        F.concat(acc["out"], F.array(F.when(r["reset"], F.lit(None).cast("double")).otherwise(F.coalesce(F.lit(alpha) * r["v"] + F.lit(1 - alpha) * acc["e"], r["v"])))).alias("out"),
-    )
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-    e = rows.select(key, F.arrays_zip("rs", F.aggregate("rs", start, step)["out"].alias("ema")).alias("z"))
-    e = e.select(key, F.explode("z").alias("z"))
-    return e.select(key, *[F.col(f"z.rs.{c}").alias(c) for c in order], F.col("z.ema").alias("ema"))
+    from driftlab.sources.files import checkpoint_folder
+
+    kinds = dict(df.dtypes)
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(F.col(key).alias("_k"), *[F.col(c).alias(n) for c, n in zip(order, names)], F.col(value).cast("double").alias("_v"), F.coalesce(reset, F.lit(False)).alias("_reset"))
+    rows = rows.repartitionByRange("_k", *names).sortWithinPartitions("_k", *names)
+
+    def smooth(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, at, now, fresh, base, decay = TaskContext.get().partitionId(), 0, None, None, None, None
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for k, v, r in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_k", "_v", "_reset"))):
+                if at == 0 or k != now:
+                    now, fresh, base, decay = k, None, 0.0, 1.0
+                if r or v is None:
+                    fresh = base = decay = None
+                else:
+                    fresh = v if fresh is None else alpha * v + (1 - alpha) * fresh
+                    if decay is not None:
+                        base, decay = alpha * v + (1 - alpha) * base, (1 - alpha) * decay
+                at += 1
+                for x, y in zip(out, (fresh, base, decay)):
+                    x.append(y)
+            n = b.num_rows
+            kept = [b.column(b.schema.get_field_index(c)) for c in ("_k", *names)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([part] * n, pa.int32()), pa.array(range(at - n, at), pa.int64()), *(pa.array(x, pa.float64()) for x in out)], ["_k", *names, "_part", "_at", "fresh", "base", "decay"])
+
+    schema = ", ".join([f"_k {kinds[key]}", *[f"{n} {kinds[c]}" for c, n in zip(order, names)], "_part int, _at long, fresh double, base double, decay double"])
+    path = checkpoint_folder(df.sparkSession, f"ema-{uuid.uuid4().hex}")
+    rows.mapInArrow(smooth, schema).write.parquet(path)
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    last = rows.groupBy("_k", "_part").agg(F.max_by(F.struct("fresh", "base", "decay"), "_at").alias("l"))
+    # one row a key and range, and of these only keys in two ranges or more: fewer than twice the ranges
+    lists = last.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_part", "l"))).alias("ls")).filter(F.size("ls") > 1)
+    ended = lambda l, c: F.when(c.isNull() | l["decay"].isNull(), l["fresh"]).otherwise(l["base"] + l["decay"] * c)
+    carry = lambda p: F.aggregate(F.filter("ls", lambda x: x["_part"] < p), F.lit(None).cast("double"), lambda c, x: ended(x["l"], c))
+    carries = lists.select("_k", F.explode(F.transform("ls", lambda x: F.struct(x["_part"].alias("_part"), carry(x["_part"]).alias("_carry")))).alias("c")).select(F.col("_k").alias("_k2"), F.col("c._part").alias("_part2"), "c._carry")
+    out = rows.join(F.broadcast(carries), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_part") == F.col("_part2")), "left")
+    return out.select(F.col("_k").alias(key), *[F.col(n).alias(c) for c, n in zip(order, names)], ended({c: F.col(c) for c in ("fresh", "base", "decay")}, F.col("_carry")).alias("ema"))
 
 
 def ema_stream(stream: DataFrame, key: str, value: str, order: str, reset: str, alpha: float = ALPHA) -> DataFrame:
