@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, table
+from .common import cut, in_arrow, table
 
 _CALL = re.compile(r"(?s)<tool_call>(.*?)</tool_call>")
 _TOOLS = re.compile(r"(?s)<tools>(.*?)</tools>")
@@ -120,7 +120,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
             got = [parse(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2, 4)), *(pa.array([g[k] for g in got], t) for k, t in kinds.items())], ["conv_id", "turn", "role", "node", *kinds])
 
-    return bounded_batches(rows).mapInArrow(run, f"conv_id long, turn long, role string, node string, {_PARSED}")
+    return in_arrow(rows, run, f"conv_id long, turn long, role string, node string, {_PARSED}")
 
 
 def _valid(calls: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _valid(calls: DataFrame) -> DataFrame:
             args, schemas = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("arguments", "schema"))
             yield b.append_column("valid", pa.array([None if s is None else fits(json.loads(a), json.loads(s)) for a, s in zip(args, schemas)], pa.bool_()))
 
-    return bounded_batches(calls).mapInArrow(run, T.StructType([*calls.schema.fields, T.StructField("valid", T.BooleanType())]))
+    return in_arrow(calls, run, T.StructType([*calls.schema.fields, T.StructField("valid", T.BooleanType())]))
 
 
 def _settle(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode, where none need be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="driftlab-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,12 +63,49 @@ ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, once its session hands Arrow functions batches of at most ARROW_ROWS rows or about ARROW_BYTES."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """df, once its session hands Arrow functions batches of at most ARROW_ROWS rows or about ARROW_BYTES; lower settings stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = _bytes(conf.get(name, None))
+        if not 0 < now <= most:
+            conf.set(name, str(most))
     return df
 
 
+def _bytes(setting: str | None) -> int:
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", (setting or "0").strip().lower())
+    return int(m[1]) << " kmgt".index(m[2] or " ") * 10 if m else 0
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow in bounded batches, after which a worker gives back the memory that it has no more use for.
+
+    Workers are used again by later tasks and stand beside an executor's heap; what one stage needed must not stay theirs.
+    """
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return bounded_batches(df).mapInArrow(held, schema)
+
+
+def give_back() -> None:
+    """Unused memory of Arrow's pool and of the C library goes back to the system."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def text_chunks(batches, column: str = "text", most: int = CHUNK_BYTES, lower: bool = False):
     """(rows, data, offsets) of Arrow batches, cut so that data holds about ``most`` bytes, or one longer text.
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import in_arrow, table
 from .dom import Page, decode
 
 SYNTHETIC, SAMPLE, SAMPLE_BYTES = 700, 150, 200_000
@@ -261,7 +261,7 @@ def extract_text(pages: DataFrame, model: Trees, id_col: str = "page_id", url_co
 
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return bounded_batches(rows).mapInArrow(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    return in_arrow(rows, run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_fold, table
+from .common import crc32_fold, in_arrow, table
 
 BITS, GRAMS = 16, 3
 PER_LANGUAGE, SAMPLE, EPOCHS = 800, 6_000, 2
@@ -137,7 +137,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], ["place", "n"])
 
-    counts = bounded_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_arrow(docs.select(F.col(text_col).alias("text")), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     total = int(counts.loc[counts.place < 0, "n"].sum())
     counts = counts[counts.place >= 0]
     out = np.zeros(1 << BITS, np.int64)
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), (crc32_fold(id_col) == 2).alias("held_out"), F.col(text_col).alias("text"))
-    return bounded_batches(rows).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
+    return in_arrow(rows, run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
@@ -197,7 +197,7 @@ def keep_identified(docs: DataFrame, model: Model | None, min_score: float = MIN
             keep = [model is not None and has_letter(t) and float(model.probabilities(t).max()) >= min_score for t in (x.as_py() for x in batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lower_ascii, table, text_chunks, words_of
+from .common import in_arrow, lower_ascii, table, text_chunks, words_of
 
 #: phrase -> label
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -71,7 +71,7 @@ def token_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text"
 
     out = np.zeros(len(vocabulary), np.int64)
     if len(vocabulary):
-        counts = bounded_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        counts = in_arrow(docs.select(F.col(text_col).alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         out[counts.word.to_numpy(int)] = counts.n.to_numpy(int)
     return out
 
@@ -226,7 +226,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
                 ["doc_id", *(x.split()[0] for x in SCHEMA.split(", ")[:7]), "blocks"],
             )
 
-    return bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, {SCHEMA}")
+    return in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, {SCHEMA}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

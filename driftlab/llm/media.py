@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table, text_chunks
+from .common import cut, in_arrow, table, text_chunks
 
 SIZE, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x0100, 0x0101, 1
@@ -194,7 +194,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return bounded_batches(source).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_arrow(source, run, "doc_id long, n_bytes long, media binary")
 
 
 READ = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, program int, pid int, stream_type int, packets int, units int, pts array<long>, pcr array<long>, random_access array<boolean>, continuity_errors int, adaptation_bytes int, error string"
@@ -224,7 +224,7 @@ def read_media(media: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(at, k + 1 - at), n.slice(at, k + 1 - at), *[pa.array(c, t) for c, t in zip(cols, kinds)]], [x.split()[0] for x in READ.split(", ")])
                     out, held, at = [], 0, k + 1
 
-    return bounded_batches(media.select("doc_id", "n_bytes", "media")).mapInArrow(run, READ)
+    return in_arrow(media.select("doc_id", "n_bytes", "media"), run, READ)
 
 
 def media_digests(media: DataFrame) -> DataFrame:

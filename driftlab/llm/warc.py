@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, shared_dir, table
+from .common import cut, in_arrow, shared_dir, table
 
 MIN_REVISIT = 1_000
 RECORDS_PER_FILE = 2_000
@@ -125,7 +125,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500]), kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
-    return bounded_batches(files).mapInArrow(run, INDEX + ", payload binary" * with_payload)
+    return in_arrow(files, run, INDEX + ", payload binary" * with_payload)
 
 
 def _key(row: tuple) -> tuple:
@@ -194,7 +194,7 @@ def merge_runs(index: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return bounded_batches(index.repartitionByRange(*_ORDER)).mapInArrow(run, index.schema).select(*columns)
+    return in_arrow(index.repartitionByRange(*_ORDER), run, index.schema).select(*columns)
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
