@@ -29,12 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, fresh, mix64, shingle_hashes, table, text_chunks, word_hashes, words_of
+from .common import cut, fresh, in_arrow, mix64, only, shingle_hashes, table, text_chunks, word_hashes, words_of
 
 K, THRESHOLD = 5, 0.8
 DEPTH, RECALL, LIMIT = 3, 0.999, 256
-TILE_SETS, TILE_TOKENS = 4096, 6_000_000
-BROADCAST_IDS = 500_000
+TILE_SETS, TILE_TOKENS = 2048, 3_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -106,7 +105,7 @@ def _documents(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
                 ["did", "set_id", "n", "nodes"],
             )
 
-    return bounded_batches(docs).mapInArrow(run, "did long, set_id long, n long, nodes array<long>")
+    return in_arrow(docs, run, "did long, set_id long, n long, nodes array<long>")
 
 
 def _with_tokens(docs: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def _with_tokens(docs: DataFrame) -> DataFrame:
             tokens = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]  # sets are sorted, so these are too
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["set_id", "tokens"])
 
-    return bounded_batches(docs).mapInArrow(run, "set_id long, tokens binary")
+    return in_arrow(docs, run, "set_id long, tokens binary")
 
 
 def _children(members: DataFrame, threshold: float) -> DataFrame:
@@ -136,7 +135,7 @@ def _children(members: DataFrame, threshold: float) -> DataFrame:
             many = [len(x) for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(set_id, many)), pa.array(np.repeat(n, many))], ["node", "set_id", "n"])
 
-    return bounded_batches(members).mapInArrow(run, "node long, set_id long, n long").distinct()
+    return in_arrow(members, run, "node long, set_id long, n long").distinct()
 
 
 def _measured(members: DataFrame) -> DataFrame:
@@ -153,7 +152,7 @@ def _incidence(tokens: list[np.ndarray], counts: np.ndarray, known: np.ndarray)
     return np.repeat(np.arange(len(tokens)), counts)[ok], at[ok]
 
 
-def _products(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 2048) -> np.ndarray:
+def _products(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 1024) -> np.ndarray:
     """Sizes of the intersections of all a with all b (or with a), from blocks of columns."""
     u, c = np.unique(np.concatenate(a if b is None else [*a, *b]), return_counts=True)
     known = u[c > 1]  # what one set alone has can't be shared
@@ -246,7 +245,7 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
         done()
         yield batch()
 
-    return bounded_batches(rows).mapInArrow(run, "set_id long, links long, root long")
+    return in_arrow(rows, run, "set_id long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,11 +262,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "root")
 
 
-def _only(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """A semi or anti join whose ids are sent to all executors if they are few enough, and shuffled with df if not."""
-    return df.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, on, how)
-
-
 def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
     """(did, set_id, class, n_copies, n_links); set_id is null for documents without words."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), F.col(text_col).alias("text"))
@@ -275,7 +269,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text
     level = cut(_measured(every.select(F.explode("nodes").alias("node"), "set_id", "n").distinct()), "join-nodes")
 
     owners = every.join(level.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("did").alias("did"))
-    tokens = cut(_with_tokens(_only(source, cut(owners.select("did").distinct(), "join-owners"), "did", "left_semi")), "join-tokens")
+    tokens = cut(_with_tokens(only(source, cut(owners.select("did").distinct(), "join-owners"), "did", "left_semi")), "join-tokens")
 
     found = None
     for depth in range(DEPTH):
@@ -325,17 +319,17 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     twice = cut(classes.groupBy("did").count().filter("count > 1").select(F.col("did").alias(key)), "join-twice")
     dropped = cut(classes.filter("class IS NOT NULL AND did <> class").select(F.col("did").alias(key)).distinct().join(twice, key, "left_anti"), "join-dropped")
     keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
-    kept = _only(keyed, dropped, key, "left_anti")
+    kept = only(keyed, dropped, key, "left_anti")
     if twice.isEmpty():
         return kept.select(*docs.columns)
     # ids that occur again don't name a document: their rows, and no others, are told apart by their sets
     set_ids = F.pandas_udf(lambda texts: texts.map(lambda t: set_key(set_of(word_hashes(t)))), "long")
-    again = _only(keyed, twice, key, "left_semi").withColumn(mark, set_ids(F.coalesce(F.col(text_col), F.lit(""))))
+    again = only(keyed, twice, key, "left_semi").withColumn(mark, set_ids(F.coalesce(F.col(text_col), F.lit(""))))
     winners = classes.filter("class IS NULL OR did = class").groupBy("did", "class").agg(F.min("set_id").alias("set_id"), F.first("class").isNull().alias("all"))
     lone = again.join(classes.filter("class IS NULL").select(F.col("did").alias(key)).distinct(), key, "left_semi").filter(F.col(mark) == 0)
     picked = again.filter(F.col(mark) != 0).join(winners.filter("NOT all").select(F.col("did").alias(key), F.col("set_id").alias(mark)).distinct(), [key, mark], "left_semi")
     picked = picked.withColumn(rank, F.row_number().over(Window.partitionBy(key, mark).orderBy(F.col(text_col)))).filter(F.col(rank) == 1)
-    return _only(kept, twice, key, "left_anti").select(*docs.columns).unionByName(lone.select(*docs.columns)).unionByName(picked.select(*docs.columns))
+    return only(kept, twice, key, "left_anti").select(*docs.columns).unionByName(lone.select(*docs.columns)).unionByName(picked.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
