@@ -11,8 +11,10 @@ are verified by the exact weighted Jaccard similarity of the shingle multisets,
 The benchmark is held in memory in blocks of about ``BLOCK_BYTES`` of text, at most ``BLOCKS_AT_ONCE`` of them on the
 driver and in a job; with a larger benchmark what is found so far is written and read again before the next blocks.
 
-Defined results: a null text, and one of fewer than five words, is clean; items that are null or have fewer than five
-words match nothing; repeated items and items with the same id count once; null ids of documents, repeated rows and
+An item of one to four words is one shingle, that run of words: it is found wherever these words stand consecutively.
+
+Defined results: a null text is clean, and so is one of fewer than five words but for such short items; items that are
+null or without a word match nothing; repeated items and items with the same id count once; null ids of documents, repeated rows and
 ties are rows of their own; of equally similar windows the first is reported; extra columns don't matter; an empty
 table gives no rows, an empty benchmark finds nothing.
 """
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lower_bytes, mix64, powers, table, text_chunks, words_of
+from .common import cut, in_arrow, lower_bytes, mix64, powers, table, text_chunks, words_of
 
 K, THRESHOLD, RADIUS = 5, 0.8, 20
 BLOCK_BYTES, BLOCKS_AT_ONCE = 16 << 20, 4
@@ -36,15 +38,19 @@ _FILTER_BITS = 20
 
 def shingles(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of all runs of K words."""
-    n = len(h) - K + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out, weight = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    p = powers(2)[1]
+    out = runs(h, K)
+    weight = np.zeros(len(out), np.int64)
     for j in range(K):
-        out = out * p + h[j : n + j]
-        weight += sizes[j : n + j]
-    return mix64(out), weight
+        weight += sizes[j : len(out) + j]
+    return out, weight
+
+
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out, p = np.zeros(max(0, len(h) - n + 1), np.uint64), powers(2)[1]
+    for j in range(n if len(out) else 0):
+        out = out * p + h[j : len(out) + j]
+    return mix64(out)
 
 
 def signs(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -73,10 +79,13 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.shingles, self.sizes = [], [], []
+        self.short: dict[int, list[tuple[int, int]]] = {}  # number of words -> (hash, item) of the items that are one run of words
         prints = []
         for item, text in sorted(set(rows)):
             s, e, h = words_of(lower_bytes(text))
             if len(h) < K:
+                if len(h):
+                    self.short.setdefault(len(h), []).append((int(runs(h, len(h))[0]), item))
                 continue
             sh = shingles(h, e - s)
             self.ids.append(item)
@@ -144,21 +153,30 @@ class Items:
         return best
 
 
-def _find(items: Items, rows, data: np.ndarray, offsets: np.ndarray) -> list[dict]:
-    """hits of each row of a chunk."""
+def _find(items: Items, rows, data: np.ndarray, offsets: np.ndarray) -> list[dict[int, tuple[float, int, int]]]:
+    """For each row of a chunk item -> (similarity, first word, end)."""
     out: list[dict] = [{} for _ in range(rows.num_rows)]
     s, e, h = words_of(data, offsets)
+    doc = np.searchsorted(offsets, s, "right") - 1
+    for n, listed in items.short.items():
+        known, own = np.array([x for x, _ in listed], np.uint64), [i for _, i in listed]
+        r = runs(h, n)
+        ok = np.flatnonzero(np.isin(r, known) & (doc[: len(r)] == doc[n - 1 :]))
+        _, once = np.unique(np.stack([doc[ok].astype(np.uint64), r[ok]]), axis=1, return_index=True)  # the first of each document
+        for p in ok[once].tolist():
+            d = int(doc[p])
+            start = p - int(np.searchsorted(s, offsets[d]))
+            out[d] |= {own[k]: (1.0, start, start + n) for k in np.flatnonzero(known == r[p]).tolist()}
     sh, weight = shingles(h, e - s)
     if not len(sh) or not items.ids:
         return out
-    doc = np.searchsorted(offsets, s, "right") - 1
     at = np.flatnonzero(items.quick[(sh & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] & (doc[: len(sh)] == doc[K - 1 :]))
     at = at[items.vocabulary[np.minimum(np.searchsorted(items.vocabulary, sh[at]), len(items.vocabulary) - 1)] == sh[at]]
     first = np.searchsorted(s, offsets)
     for d in np.unique(doc[at]).tolist():
         lo, hi = first[d], first[d + 1] - K + 1
         own = at[(at >= lo) & (at < hi)] if len(at) < 64 else at[np.searchsorted(at, lo) : np.searchsorted(at, hi)]
-        out[d] = items.hits(sh[lo:hi], weight[lo:hi], own - lo)
+        out[d] |= {items.ids[i]: x for i, x in items.hits(sh[lo:hi], weight[lo:hi], own - lo).items()}
     return out
 
 
@@ -187,7 +205,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
             fields = [("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("similarity", pa.float64())]
             for rows, data, offsets in text_chunks(batches, lower=True):
-                new = [[dict(zip((f for f, _ in fields), (items.ids[i], s, e, sim))) for i, (sim, s, e) in sorted(x.items())] for x in _find(items, rows, data, offsets)]
+                new = [[dict(zip((f for f, _ in fields), (i, s, e, sim))) for i, (sim, s, e) in sorted(x.items())] for x in _find(items, rows, data, offsets)]
                 hits = pa.array([x + y for x, y in zip(rows.column(2).to_pylist(), new)], pa.list_(pa.struct(fields)))
                 kept = [rows.column(0), hits] if last else [rows.column(0), rows.column(1), hits]
                 yield pa.RecordBatch.from_arrays(kept, ["doc_id", "hits"] if last else ["doc_id", "text", "hits"])
@@ -195,13 +213,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         return run
 
     kind = dict(docs.dtypes)[id_col]
-    found = bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(HITS).alias("hits")))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(HITS).alias("hits"))
     n, made = count_blocks(benchmark, block_bytes), f"doc_id {kind}, text string, hits {HITS}"
     for k, items in enumerate(item_blocks(benchmark, n)):  # one after another within a task: no shuffle, one block's index at a time
         last = k == n - 1
-        found = found.mapInArrow(finder(items, last), f"doc_id {kind}, hits {HITS}" if last else made)
+        found = in_arrow(found, finder(items, last), f"doc_id {kind}, hits {HITS}" if last else made)
         if not last and k % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
-            found = bounded_batches(cut(found, "decontaminate"))
+            found = cut(found, "decontaminate")
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"])))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"), F.coalesce(F.array_max(F.transform("hits", lambda x: x["similarity"])), F.lit(0.0)).alias("similarity"), "hits")
 
@@ -218,11 +236,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
 
         return run
 
-    out, n = bounded_batches(docs), count_blocks(benchmark, block_bytes)
+    out, n = docs, count_blocks(benchmark, block_bytes)
     for k, items in enumerate(item_blocks(benchmark, n)):
-        out = out.mapInArrow(keeper(items), docs.schema)
+        out = in_arrow(out, keeper(items), docs.schema)
         if k < n - 1 and k % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
-            out = bounded_batches(cut(out, "decontaminate"))
+            out = cut(out, "decontaminate")
     return out
 
 

@@ -110,3 +110,11 @@ def test_items_and_documents_are_lowered_alike(spark, odd):
     got = {r.doc_id: r for r in D.find_contamination(docs, bench).collect()}
     assert (got[1].item_ids, got[1].similarity) == ([7], 1.0) and got[2].contaminated
     assert D.remove_contaminated(docs, bench).count() == 0
+
+
+def test_short_items_are_found_as_runs_of_words(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, "beta gamma"), (5, "?!"), (6, "five words make one shingle")]
+    docs = [(1, "so alpha, then Beta-gamma"), (2, "alphabet beta x gamma"), (3, "one two three"), (4, "ONE two three four five"), (5, "alpha"), (6, None), (7, "gamma"), (8, "x five words make one shingle"), (9, "gamma beta")]
+    got = {r.doc_id: (r.item_ids, [(h.item_id, h.start_word, h.end_word, h.similarity) for h in r.hits]) for r in D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: [1, 2, 4], 2: [], 3: [], 4: [3], 5: [1], 6: [], 7: [], 8: [6], 9: []}
+    assert got[1][1] == [(1, 1, 2, 1.0), (2, 3, 5, 1.0), (4, 3, 5, 1.0)] and got[4][1] == [(3, 0, 4, 1.0)]
