@@ -4,21 +4,24 @@ A document loses every byte covered by a string of 50 bytes that also starts in
 strings must meet, so each 50-byte window is assigned by its content: to its anchor, the run of 16 bytes with the
 least hash among its 35 (the leftmost of equal ones); consecutive windows mostly share one.
 
-1. Copies: of equal texts the one with the least id stands for all; the others are covered by it entirely.
+1. Copies: of equal texts (by SHA-256) the one with the least id stands for all; the others are covered by it entirely.
 2. Anchors: the documents' anchor hashes are dealt out by hash, 48 bits each, in packed blocks; those that two or more
-   documents have come back to their documents. A match of 50 bytes shares its anchor, so none is lost.
+   documents have come back to their documents. A match of 50 bytes shares its anchor, so none is lost. Anchors only
+   deal windows out and rule windows out; they never say that a window is a repetition.
 3. Pieces: only windows with such an anchor can be repeated. Those of one anchor are cut out as a piece and dealt out
-   by the anchor's hash. Equal pieces of a block of documents go once.
-4. Suffix arrays: the different pieces of a key are sorted by grouping (see grouping.suffix_order), all keys of a task
-   at once; neighbours in that order that agree in 50 bytes form a group, and the group's least id tells for each
-   window whether it is a repetition. The verdicts go back to the documents as bit masks.
-
-Frequent strings: an anchor that several documents of a block share is sent once for the block, and of equal pieces of
-a block only that with the least id, so large groups of near copies cost each task little. Anchors with ``HOT`` or more
-different surroundings in a sample of ``SAMPLE`` documents (parts of very common lines of less than 50 bytes) skip step
-2, and their windows are pieces of their own, dealt out by the hash of their 50 bytes, so that they meet only their equals.
-The same holds, within a task, for a key of over ``CROWD`` different pieces. The sample only decides which way a window
-goes, not the result.
+   by the anchor's hash.
+4. Suffix arrays: the pieces of a key are sorted by grouping (see grouping.suffix_order), all keys of a task at once;
+   neighbours in that order that agree in 50 bytes form a group, and the group's least id tells for each window whether
+   it is a repetition. The verdicts go back to the documents as bit masks.
+
+Copies of a piece are combined before they are sorted, by a hash of their bytes: of the equal pieces of a block of
+documents the one of the least id goes on (the others repeat it), and those that meet in a key are sorted as one, with
+the least of their ids.
+
+Frequent strings: a key must not gather all documents that hold a common line. An anchor with ``HOT`` or more different
+surroundings in a sample of documents is not used: each of its windows has its own 50 bytes for an anchor, in steps 2 to
+4 alike. In the same way a key of over ``CROWD`` different pieces is divided within its task into keys by windows of 50
+bytes. Both only divide the work: every piece of a key that two documents have goes through the suffix order.
 
 Hashes of 64 bits or more stand for bytes when pieces or texts are compared for equality.
 
@@ -33,19 +36,20 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, fresh, mix64, only, powers, table, text_chunks
+from .common import cut, fresh, in_arrow, mix64, only, powers, table, text_chunks
 from .grouping import suffix_order
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
-SAMPLE, HOT, CROWD = 4_000, 12, 64
+SAMPLE, SAMPLE_BYTES, HOT, CROWD = 4_000, 32 << 20, 12, 64
 PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24 bits
 BLOCK_TEXT = 8 << 20  # bytes of documents whose anchors or pieces leave a task together
-BUCKET_TEXT = 32 << 20  # bytes of documents for each bucket
-BARE = 255  # in place of a piece's number of windows: one window, named by its hash, without its bytes
+BUCKET_TEXT = 8 << 20  # bytes of documents for each bucket
+LOT_PIECES, LOT_BYTES = 20_000, 1 << 18  # pieces that are judged, and numbers that are sorted, together
+SALTS = 32  # parts of a text's copies
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 _U = np.uint64
@@ -85,6 +89,20 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"start": start, "count": count, "key": h[place[start]], "h50": h50}
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
+    """_anchors, but each window of a frequent anchor is a run of its own, and its 50 bytes its anchor."""
+    a = _anchors(data, offsets)
+    is_hot = _among(a["key"], hot)
+    if is_hot.any():
+        hs, hc = a["start"][is_hot], a["count"][is_hot]
+        single = np.arange(hc.sum()) - np.repeat(np.cumsum(hc) - hc - hs, hc)
+        start = np.concatenate([a["start"][~is_hot], single])
+        order = np.argsort(start, kind="stable")
+        for name, own in (("start", single), ("count", np.ones(len(single), np.int64)), ("key", mix64(a["h50"][single] + _U(3)))):
+            a[name] = np.concatenate([a[name][~is_hot], own])[order]
+    return a
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray, size: int):
     """(first document, data, offsets, shift) of a chunk in pieces that anchor places can name; long documents in overlapping parts."""
     if len(data) <= 2 * size:
@@ -110,8 +128,10 @@ def _blocks(batches, most: int, *columns: str):
 
 
 def hot_keys(docs: DataFrame) -> np.ndarray:
-    """Anchors with HOT or more different surroundings in the sample, the first SAMPLE documents by a hash of their id."""
-    ids = docs.select("did", F.xxhash64("did", F.lit(3)).alias("draw")).orderBy("draw").limit(SAMPLE).select("did")
+    """Anchors with HOT or more different surroundings in the sample: the first SAMPLE documents by a hash of their id, and of these as many as SAMPLE_BYTES hold."""
+    drawn = docs.select("did", F.octet_length("text").alias("size"), F.xxhash64("did", F.lit(3)).alias("draw")).orderBy("draw", "size").limit(SAMPLE)
+    upto = F.sum("size").over(Window.orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over at most SAMPLE rows
+    ids = drawn.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("did", "size").distinct()
 
     def run(batches):
         import pyarrow as pa
@@ -122,9 +142,9 @@ def hot_keys(docs: DataFrame) -> np.ndarray:
                 around = _content(a["h50"], a["start"], a["count"])
                 yield pa.RecordBatch.from_arrays([pa.array(a["key"].view(np.int64)), pa.array(around.view(np.int64))], ["k", "around"])
 
-    few = docs.join(F.broadcast(ids), "did", "left_semi").select("text")
-    found = bounded_batches(few).mapInArrow(run, "k long, around long").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
-    return np.sort(found.select("k").toPandas()["k"].to_numpy(np.int64).view(_U))
+    few = docs.withColumn("size", F.octet_length("text")).join(F.broadcast(ids), ["did", "size"], "left_semi").select("text")
+    found = in_arrow(few, run, "k long, around long").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
+    return np.sort(found.select("k").toPandas()["k"].to_numpy(np.int64).view(_U))  # at most SAMPLE_BYTES / HOT numbers
 
 
 def _content(h50: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -191,7 +211,7 @@ def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype) -> DataFrame
         if held:
             yield from done()
 
-    return packed.repartition("home").sortWithinPartitions("home").mapInArrow(run, "did long, tid long, first binary, second binary")
+    return in_arrow(packed.repartition("home").sortWithinPartitions("home"), run, "did long, tid long, first binary, second binary")
 
 
 def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -200,7 +220,7 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
     names = ["bucket", "dids", "many", "high", "low"]
 
     def emit(did, key):
-        """Rows for documents themselves, with bucket -1; the key -1 only names a document with a frequent anchor."""
+        """Rows for documents themselves, with bucket -1."""
         import pyarrow as pa
 
         if len(did):
@@ -210,16 +230,13 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
         import pyarrow as pa
 
         for held in _blocks(batches, BLOCK_TEXT, "did"):
-            keys, dids, with_hot = [], [], []
+            keys, dids = [], []
             for (ids,), data, offsets in held:
                 ids = ids.to_numpy()
                 for first, part, cuts, _ in _pieces(data, offsets, PIECE):
-                    a = _anchors(part, cuts)
-                    cold = ~_among(a["key"], hot)
-                    own = ids[first + np.searchsorted(cuts, a["start"], "right") - 1]
-                    keys.append(a["key"][cold] >> _U(16))
-                    dids.append(own[cold])
-                    with_hot.append(own[~cold])
+                    a = _runs(part, cuts, hot)
+                    keys.append(a["key"] >> _U(16))
+                    dids.append(ids[first + np.searchsorted(cuts, a["start"], "right") - 1])
             key, did = np.concatenate(keys), np.concatenate(dids)
             order = np.lexsort((did, key))
             key, did = key[order], did[order]
@@ -228,7 +245,7 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             many = np.diff(np.append(at, len(key)))
             both = np.repeat(many > 1, many)  # shared within the block: all of these know already
-            yield from emit(np.concatenate([did[both], *with_hot]), np.concatenate([key[both].view(np.int64), np.full(sum(map(len, with_hot)), -1)]))
+            yield from emit(did[both], key[both].view(np.int64))
             key, did = key[at], did[at]  # to its bucket an anchor goes once, with its least id
             bucket = (key % _U(buckets)).astype(np.int64)
             order = np.lexsort((did, bucket))
@@ -274,8 +291,8 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
             yield from done()
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("dids", "high")).otherwise(F.col("bucket"))
-    packed = bounded_batches(docs.select("did", "text")).mapInArrow(pack, "bucket long, dids binary, many binary, high binary, low binary")
-    found = packed.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, _PACKED)
+    packed = in_arrow(docs.select("did", "text"), pack, "bucket long, dids binary, many binary, high binary, low binary")
+    found = in_arrow(packed.repartition(spread).sortWithinPartitions("bucket"), run, _PACKED)
     return _gathered(found, np.uint32, np.uint16).select("did", F.col("first").alias("high"), F.col("second").alias("low"))
 
 
@@ -294,30 +311,21 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 ids, tids = ids.to_numpy(), tids.to_numpy()
                 shared = [np.sort(np.frombuffer(x, np.uint32).astype(np.int64) << 16 | np.frombuffer(y, np.uint16)) for x, y in zip(high.to_pylist(), low.to_pylist())]
                 for first, part, cuts, shift in _pieces(data, offsets, PIECE):
-                    a = _anchors(part, cuts)
+                    a = _runs(part, cuts, hot)
                     doc = first + np.searchsorted(cuts, a["start"], "right") - 1
-                    is_hot = _among(a["key"], hot)
-                    cold = np.zeros(len(doc), bool)
+                    some = np.zeros(len(doc), bool)
                     key48 = (a["key"] >> _U(16)).view(np.int64)
                     runs = np.searchsorted(doc, np.arange(first, first + len(cuts)))
                     for d in range(len(cuts) - 1):
                         s, e = runs[d], runs[d + 1]
                         if e > s and len(shared[first + d]):
-                            cold[s:e] = _among(key48[s:e], shared[first + d])
-                    cold &= ~is_hot
-                    start, count, key = a["start"][cold], a["count"][cold], a["key"][cold]
-                    # each window of a frequent anchor is a piece of its own
-                    hs, hc = a["start"][is_hot], a["count"][is_hot]
-                    single = np.arange(hc.sum()) - np.repeat(np.cumsum(hc) - hc - hs, hc)
-                    start, count = np.concatenate([start, single]), np.concatenate([count, np.ones(len(single), np.int64)])
-                    key = np.concatenate([key, mix64(a["h50"][single] + _U(3))])
-                    doc = first + np.searchsorted(cuts, start, "right") - 1
-                    cols["key"].append(key)
+                            some[s:e] = _among(key48[s:e], shared[first + d])
+                    start, count, doc = a["start"][some], a["count"][some], doc[some]
+                    cols["key"].append(a["key"][some])
                     cols["did"].append(ids[doc])
                     cols["tid"].append(tids[doc])
                     cols["start"].append(start - cuts[doc - first] + shift)
                     cols["hash"].append(_content(a["h50"], start, count))
-                    count[len(count) - len(single) :] = BARE
                     cols["count"].append(count)
                     base = len(cols["bytes"])
                     cols["bytes"].append((part, start))
@@ -340,7 +348,7 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             go, bucket = go[o], bucket[o]
             yield from _packed(pa, bucket, *(x[go] for x in (key, did, tid, start, count, hash_)), (parts, of[go], raw[go]))
 
-    return bounded_batches(docs).mapInArrow(run, _PIECES)
+    return in_arrow(docs, run, _PIECES)
 
 
 def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
@@ -354,9 +362,8 @@ def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
             t = min(e, s + 50_000)
             pair, of = np.unique(np.stack([did[s:t], tid[s:t]], 1), axis=0, return_inverse=True)
             parts, part, raw = source or ((), (), ())
-            full = count[s:t] != BARE
-            text = b"".join([parts[k][r : r + c + LENGTH - 1].tobytes() for k, r, c in zip(part[s:t][full].tolist(), raw[s:t][full].tolist(), count[s:t][full].tolist())]) if source else b""
-            own = (key[s:t].tobytes(), hash_[s:t][full].tobytes()) if source else (b"", b"")
+            text = b"".join([parts[k][r : r + c + LENGTH - 1].tobytes() for k, r, c in zip(part[s:t].tolist(), raw[s:t].tolist(), count[s:t].tolist())]) if source else b""
+            own = (key[s:t].tobytes(), hash_[s:t].tobytes()) if source else (b"", b"")
             rows.append((int(bucket[s]), pair[:, 0].tobytes(), pair[:, 1].tobytes(), of.astype(np.uint32).tobytes(), start[s:t].astype(np.uint32).tobytes(), count[s:t].astype(np.uint8).tobytes(), *own, text))
             held += len(text) + (t - s) * 25
             if held > 4 << 20:
@@ -366,61 +373,65 @@ def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
         yield batch()
 
 
-def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarray, at: np.ndarray, data: np.ndarray, crowded: int) -> np.ndarray:
+def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarray, at: np.ndarray, data: np.ndarray, crowded: int = CROWD) -> np.ndarray:
     """For each piece, the windows (as bits) that also start in a document with a smaller id. at: where its bytes begin in data."""
-    # different pieces of each key, each with its least id
+    # equal pieces of a key are one piece, with the least of their ids
     order = np.lexsort((did, hash_, key))
     k, h = key[order], hash_[order]
     new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))
-    heads = order[new]
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
-    hk, least = key[heads], did[heads]
-    size = count[heads]
-    group = np.cumsum(np.append(True, hk[1:] != hk[:-1])) - 1
-    many = np.bincount(group)
-    lone = many[group][of] == 1
-    if lone.any():  # all pieces of the key are equal: their least id is that of every window
-        bits = np.where(lone & (least[of] < did), (np.int64(1) << count) - 1, 0)
-        rest = ~lone
-        if rest.any():
-            bits[rest] = _judge(key[rest], did[rest], count[rest], hash_[rest], at[rest], data, crowded)
-        return bits
-    # least id by window of each different piece: its own, unless other pieces of the key hold the window too
-    width = int(size.max())
-    window_least = np.repeat(least[:, None], width, 1)
-    crowd = many[group] > crowded
-    if crowd.any():
-        todo = np.flatnonzero(crowd)
-        total = np.cumsum(size[todo])
-        s = 0
-        while s < len(todo):  # whole keys, about 200,000 windows together
-            e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + 200_000, "right")))
-            while e < len(todo) and group[todo[e]] == group[todo[e - 1]]:
-                e += 1
-            _by_window(todo[s:e], at[heads], size, least, data, window_least)
-            s = e
-    if not crowd.all():
-        todo = np.flatnonzero(~crowd)
-        total = np.bincount(group[todo], size[todo] + LENGTH, len(many))
-        o = np.lexsort((todo, group[todo], total[group[todo]]))  # keys of about the same size together
-        todo = todo[o]
-        ends = np.cumsum(size[todo] + LENGTH)
-        s = 0
-        while s < len(todo):
-            e = int(np.searchsorted(ends, (ends[s - 1] if s else 0) + (1 << 18), "right"))
-            e = max(e, s + 1)
-            while e < len(todo) and group[todo[e]] == group[todo[e - 1]]:
-                e += 1
-            _by_suffixes(todo[s:e], group, at[heads], size, least, data, window_least)
-            s = e
+    met = np.maximum.reduceat(did[order], (heads := np.flatnonzero(np.append(True, k[1:] != k[:-1])))) > np.minimum.reduceat(did[order], heads)
+    one, starts = order[new], np.flatnonzero(new)
+    lone = np.maximum.reduceat(did[order], starts) == did[one]
+    go = met[(np.cumsum(np.append(True, k[1:] != k[:-1])) - 1)[new]]  # a key that only one document has repeats nothing
+    least = np.repeat(did[one][:, None], int(count.max()), 1)
+    if go.any():
+        least[go, : int(count[one[go]].max())] = _least(key[one[go]], did[one[go]], lone[go], count[one[go]], at[one[go]], data, crowded)
     bits = np.zeros(len(order), np.int64)
-    for w in range(width):
-        bits |= ((w < count) & (window_least[of, w] < did)).astype(np.int64) << w
+    for w in range(least.shape[1]):
+        bits |= ((w < count) & (least[of, w] < did)).astype(np.int64) << w
     return bits
 
 
-def _by_suffixes(todo, group, at, size, least, data, window_least) -> None:
+def _least(key: np.ndarray, did: np.ndarray, lone: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray, crowded: int) -> np.ndarray:
+    """For each of the pieces, ordered by key, and each of its windows the least id of the key's pieces that hold the window. lone: no other document has the piece."""
+    out = np.repeat(did[:, None], int(size.max()), 1)
+    group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+    many = np.bincount(group)
+    crowd = many[group] > crowded
+    if crowd.any():
+        # each window of a crowded key is a key of its own, and equal ones are one piece; of those that one document has nothing is repeated
+        piece = np.repeat(np.flatnonzero(crowd), size[crowd])
+        w = np.arange(len(piece)) - np.repeat(np.cumsum(size[crowd]) - size[crowd], size[crowd])
+        own = np.zeros(len(piece), _U)
+        for j in range(LENGTH):
+            own = own * powers(2)[1] + data[at[piece] + w + j] + _U(1)
+        own = mix64(own ^ key[piece])
+        order = np.lexsort((did[piece], own))
+        new = np.append(True, own[order][1:] != own[order][:-1])
+        met = (np.maximum.reduceat(did[piece[order]], np.flatnonzero(new)) > did[piece[order[new]]]) | np.logical_or.reduceat(~lone[piece[order]], np.flatnonzero(new))
+        if met.any():
+            p = order[new][met]
+            low = np.full(len(met), _LAST)
+            low[met] = _least(own[p], did[piece[p]], lone[piece[p]], np.ones(len(p), np.int64), at[piece[p]] + w[p], data, crowded)[:, 0]
+            low, shared = low[np.cumsum(new) - 1], met[np.cumsum(new) - 1]
+            out[piece[order[shared]], w[order[shared]]] = low[shared]
+    todo = np.flatnonzero(~crowd)
+    total = np.bincount(group[todo], size[todo] + LENGTH, len(many))
+    todo = todo[np.lexsort((todo, group[todo], total[group[todo]]))]  # keys of about the same size together
+    ends = np.cumsum(size[todo] + LENGTH)
+    s = 0
+    while s < len(todo):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + LOT_BYTES, "right")))
+        while e < len(todo) and group[todo[e]] == group[todo[e - 1]]:
+            e += 1
+        _by_suffixes(todo[s:e], group, at, size, did, data, out)
+        s = e
+    return out
+
+
+def _by_suffixes(todo, group, at, size, did, data, out) -> None:
     length = size[todo] + LENGTH  # the bytes of a piece and its end
     first = np.cumsum(length) - length
     n = int(length.sum())
@@ -441,19 +452,8 @@ def _by_suffixes(todo, group, at, size, least, data, window_least) -> None:
     for j in (0, 7, 14, 21, 28, 35, 42, 43):
         agree &= w7[a + j] == w7[b + j]
     start = np.flatnonzero(np.append(True, ~agree))
-    low = np.minimum.reduceat(least[todo][piece[sa]], start)
-    window_least[todo[piece[sa]], inside[sa]] = np.repeat(low, np.diff(np.append(start, len(sa))))
-
-
-def _by_window(todo, at, size, least, data, window_least) -> None:
-    """The same for keys with too many different pieces: every window is compared as a whole."""
-    piece = np.repeat(todo, size[todo])
-    w = np.arange(len(piece)) - np.repeat(np.cumsum(size[todo]) - size[todo], size[todo])
-    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[piece] + w]
-    _, of = np.unique(np.ascontiguousarray(rows).view(f"V{LENGTH}").ravel(), return_inverse=True)
-    low = np.full(int(of.max()) + 1, _LAST)
-    np.minimum.at(low, of, least[piece])
-    window_least[piece, w] = low[of]
+    low = np.minimum.reduceat(did[todo][piece[sa]], start)
+    out[todo[piece[sa]], inside[sa]] = np.repeat(low, np.diff(np.append(start, len(sa))))
 
 
 def _verdicts(pieces: DataFrame, homes: int) -> DataFrame:
@@ -463,21 +463,21 @@ def _verdicts(pieces: DataFrame, homes: int) -> DataFrame:
         of = [np.frombuffer(r[2], np.uint32) for r in held]
         did, tid = (np.concatenate([np.frombuffer(r[k], np.int64)[o] for r, o in zip(held, of)]) for k in (0, 1))
         start, count = (np.concatenate([np.frombuffer(r[k], t) for r in held]).astype(np.int64) for k, t in ((3, np.uint32), (4, np.uint8)))
-        full = count != BARE
-        mask = (np.int64(1) << np.where(full, count, 1)) - 1
+        mask = (np.int64(1) << count) - 1
         if bucket >= 0:
             key, hash_ = (np.concatenate([np.frombuffer(r[k], _U) for r in held]) for k in (5, 6))
-            # single windows: their hash is all there is to compare
-            k, d = key[~full], did[~full]
-            order = np.lexsort((d, k))
-            new = np.append(True, k[order][1:] != k[order][:-1]) if len(k) else np.zeros(0, bool)
-            least = np.empty(len(k), np.int64)
-            least[order] = d[order][new][np.cumsum(new) - 1]
-            mask[~full] = least < d
-            if full.any():
-                data = np.frombuffer(b"".join(r[7] for r in held), np.uint8)
-                length = count[full] + LENGTH - 1
-                mask[full] = _judge(key[full], did[full], count[full], hash_, np.cumsum(length) - length, data, CROWD)
+            data = np.frombuffer(b"".join(r[7] for r in held), np.uint8)
+            held.clear()
+            length = count + LENGTH - 1
+            at = np.cumsum(length) - length
+            order = np.argsort(key, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(key))
+            s = 0
+            while s < len(edges) - 1:  # whole keys, LOT_PIECES pieces or a larger key together
+                e = max(s + 1, int(np.searchsorted(edges, edges[s] + LOT_PIECES, "right")) - 1)
+                lot = order[edges[s] : edges[e]]
+                mask[lot] = _judge(key[lot], did[lot], count[lot], hash_[lot], at[lot], data, CROWD)
+                s = e
         some = mask != 0
         yield from _pack_by_document(did[some], tid[some], start[some].astype(np.uint32), mask[some], homes)
 
@@ -495,7 +495,7 @@ def _verdicts(pieces: DataFrame, homes: int) -> DataFrame:
 
     # what is known already is spread evenly; it needs no company
     spread = F.when(F.col("bucket") < 0, F.xxhash64("starts", "dids")).otherwise(F.col("bucket"))
-    return _gathered(pieces.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, _PACKED), np.uint32, np.int64)
+    return _gathered(in_arrow(pieces.repartition(spread).sortWithinPartitions("bucket"), run, _PACKED), np.uint32, np.int64)
 
 
 def _covered(n: int, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -530,7 +530,7 @@ def _apply(rows: DataFrame, with_text: bool) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names)
 
-    return bounded_batches(rows).mapInArrow(run, _KEPT)
+    return in_arrow(rows, run, _KEPT)
 
 
 def _repeated(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
@@ -538,11 +538,13 @@ def _repeated(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     sized = docs.select("did", F.xxhash64("text", F.lit(1)).alias("tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     base = cut(sized, "dedup-base")
-    owners = base.groupBy("tid").agg(F.min("did").alias("owner"))
-    base = cut(base.join(owners, "tid"), "dedup-owned")
+    owners = base.groupBy("sha").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # only texts that occur again, in parts that the copies are dealt to
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("did", F.lit(5)), F.lit(SALTS)).cast("int"))
+    base = cut(salted.join(owners, ["sha", "salt"], "left").select("did", "tid", "n_bytes", "sha", F.coalesce("first", "did").alias("owner")), "dedup-owned")
     copies = base.filter("did > owner OR n_bytes < 50").select("did", "tid").distinct()
     total = base.filter("did = owner").agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_TEXT))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_TEXT))  # several a task, so that tasks are alike
 
     texts = docs.withColumn("tid", F.xxhash64("text", F.lit(1)))
     texts = only(texts, copies, ["did", "tid"], "left_anti")  # one row for each text, but for rows that repeat id and text
@@ -561,9 +563,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every document."""
     base, kept = _repeated(_source(docs, id_col, text_col), with_text=False)
-    kept = kept.drop("kept").dropDuplicates(["did", "tid"]).withColumnsRenamed({"did": "owner"})
-    out = base.join(kept, ["owner", "tid"], "left")
+    kept = kept.drop("kept").dropDuplicates(["did", "tid"])
     copy = (F.col("did") > F.col("owner")) & (F.col("n_bytes") >= LENGTH)
+    # copies lose everything: only the others look for what is left of them
+    lacking = [F.lit(None).cast(t).alias(c) for c, t in kept.dtypes if c not in ("did", "tid")]
+    out = base.filter(~copy).join(kept, ["did", "tid"], "left").select(*base.columns, *kept.columns[2:]).unionByName(base.filter(copy).select(*base.columns, *lacking))
     pick = lambda whole, name, none: F.when(copy, whole).otherwise(F.coalesce(F.col(name), none))
     zero, spans = F.lit(0).cast("long"), "array<struct<start: long, end: long>>"
     return out.select(

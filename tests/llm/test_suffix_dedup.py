@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from driftlab.llm import suffix_dedup as S
@@ -70,6 +71,49 @@ def test_matches_brute_force(spark, monkeypatch, hot, crowd, block):
     assert result(S.deduplicate(frame(spark, rows))) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("hot,crowd", [(False, 64), (True, 64), (False, 2)])
+def test_repetitions_are_found_by_suffix_order(monkeypatch, hot, crowd):
+    """Every removed window was sorted into a group of the suffix order, whatever way it came, with its least id."""
+    rows = [(i, t) for i, t in corpus(3) if t]
+    seen, sort = {}, S._by_suffixes
+
+    def watched(todo, group, at, size, did, data, out):
+        for k in todo.tolist():
+            for w in range(int(size[k])):
+                seen.setdefault(data[at[k] + w : at[k] + w + 50].tobytes(), set()).add(int(did[k]))
+        sort(todo, group, at, size, did, data, out)
+
+    monkeypatch.setattr(S, "_by_suffixes", watched)
+    cols = [[] for _ in range(6)]
+    texts, base = [], 0
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        runs = S._anchors(data, np.array([0, len(data)]))
+        a = S._runs(data, np.array([0, len(data)]), np.unique(runs["key"]) if hot else np.zeros(0, np.uint64))
+        did = np.full(len(a["key"]), S._LAST if i is None else i)
+        for c, x in zip(cols, (a["key"], did, a["count"], S._content(a["h50"], a["start"], a["count"]), a["start"] + base, a["start"])):
+            c.append(x)
+        texts.append(data)
+        base += len(data)
+    key, did, count, hash_, at, start = (np.concatenate(c) for c in cols)
+    data = np.concatenate(texts)
+    bits = S._judge(key, did, count, hash_, at, data, crowd)
+    least = {}
+    for d, n, p in zip(did.tolist(), count.tolist(), at.tolist()):
+        for w in range(n):
+            x = data[p + w : p + w + 50].tobytes()
+            least[x] = min(least.get(x, d), d)
+    removed = 0
+    for d, n, p, b in zip(did.tolist(), count.tolist(), at.tolist(), bits.tolist()):
+        for w in range(n):
+            x = data[p + w : p + w + 50].tobytes()
+            assert (b >> w & 1) == (least[x] < d)
+            if b >> w & 1:
+                removed += 1
+                assert least[x] in seen[x]
+    assert removed > 1_000
+
+
 def test_long_documents_are_looked_at_in_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 300)
     rows = corpus(11, 60) + [(70_000, " ".join(t or "" for _, t in corpus(11, 60)))]
