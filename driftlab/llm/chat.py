@@ -19,13 +19,16 @@ each message, so no conversation is ever gathered in one place.
 Defined results: a null text is content null; a null role is role null; null conversation ids or turns are values like
 any other, but link nothing; repeated rows are messages of their own with the same links; of calls with the same
 identifier in a conversation the first (turn, place) owns it and the others are marked; extra columns don't matter; an
-empty table gives no rows. Problems: bad_call (no JSON object, name or identifier), bad_result, duplicate_id,
-unknown_tool, invalid_arguments, no_result, orphan_result, cycle.
+empty table gives no rows. JSON that is nested more than ``MAX_DEPTH`` deep, or has NaN, an infinity or a number beyond
+all floats, is no JSON here; a lone surrogate escape becomes U+FFFD, in identifiers too. Problems: bad_call (no JSON
+object, name or identifier), bad_result, duplicate_id, unknown_tool, bad_schema (a keyword with a value of the wrong
+kind: nothing is validated), invalid_arguments, no_result, orphan_result, cycle.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Mapping
 
@@ -35,23 +38,73 @@ from pyspark.sql import types as T
 
 from .common import cut, in_arrow, table
 
+MAX_DEPTH = 200
 _CALL = re.compile(r"(?s)<tool_call>(.*?)</tool_call>")
 _TOOLS = re.compile(r"(?s)<tools>(.*?)</tools>")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(x) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _whole(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _whole(text: str) -> str:
+    """text as it can be encoded: a surrogate without its other half becomes U+FFFD."""
+    return _LONE.sub("\ufffd", text)
+
+
+def _finite(digits: str) -> float:
+    x = float(digits)
+    if math.isinf(x):
+        raise ValueError("a number beyond all floats")
+    return x
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def load(text: str):
+    """The JSON value of text; ValueError for what is no JSON (NaN and infinities too) or is nested more than MAX_DEPTH deep."""
+    try:
+        x = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    level = [x]
+    for _ in range(MAX_DEPTH):
+        level = [v for y in level if isinstance(y, dict | list) for v in (y.values() if isinstance(y, dict) else y)]
+        if not level:
+            return x
+    raise ValueError("nested too deeply")
+
+
+def sound(schema) -> bool:
+    """Whether each keyword that fits() knows has a value of the kind it needs, in the schema and those within it."""
+    if isinstance(schema, bool):
+        return True
+    if not isinstance(schema, dict):
+        return False
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+    names = lambda x: isinstance(x, list) and all(isinstance(v, str) for v in x)
+    kinds = {
+        "type": lambda x: isinstance(x, str) or names(x), "enum": lambda x: isinstance(x, list), "required": names, "minimum": number, "maximum": number,
+        "properties": lambda x: isinstance(x, dict) and all(map(sound, x.values())), "additionalProperties": sound, "items": sound,
+    }
+    kinds |= dict.fromkeys(("minLength", "maxLength", "minItems", "maxItems"), number)
+    return all(ok(schema[k]) for k, ok in kinds.items() if k in schema)
 
 
 def fits(x, schema) -> bool:
-    """Whether x meets a JSON schema: type, enum, const, properties, required, additionalProperties, items and limits."""
+    """Whether x meets a sound JSON schema: type, enum, const, properties, required, additionalProperties, items and limits."""
     if isinstance(schema, bool) or not isinstance(schema, dict):
         return schema is not False
     number = isinstance(x, (int, float)) and not isinstance(x, bool)
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any((number if k == "number" else number and float(x).is_integer() if k == "integer" else isinstance(x, _TYPES.get(k, ()))) for k in kinds):
+    if kinds and not any((number if k == "number" else number and (isinstance(x, int) or x.is_integer()) if k == "integer" else isinstance(x, _TYPES.get(k, ()))) for k in kinds):
         return False
     if "enum" in schema and canonical(x) not in map(canonical, schema["enum"]) or "const" in schema and canonical(x) != canonical(schema["const"]):
         return False
@@ -69,13 +122,13 @@ def fits(x, schema) -> bool:
 
 def references(x) -> list[str]:
     if isinstance(x, dict):
-        return [x["$result"]] if x.keys() == {"$result"} and isinstance(x["$result"], str) else [r for v in x.values() for r in references(v)]
+        return [_whole(x["$result"])] if x.keys() == {"$result"} and isinstance(x["$result"], str) else [r for v in x.values() for r in references(v)]
     return [r for v in x for r in references(v)] if isinstance(x, list) else []
 
 
 def _object(text: str) -> dict | None:
     try:
-        x = json.loads(text)
+        x = load(text)
     except ValueError:
         return None
     return x if isinstance(x, dict) else None
@@ -90,20 +143,20 @@ def parse(role: str | None, text: str | None) -> dict:
             c = _object(m[1]) or {}
             ok = isinstance(c.get("id"), str) and isinstance(c.get("name"), str) and isinstance(c.get("arguments", {}), dict)
             a = c.get("arguments", {}) if ok else {}
-            out["calls"].append({"id": c["id"] if ok else None, "name": c["name"] if ok else None, "arguments": canonical(a), "refs": sorted(set(references(a))), "raw": None if ok else canonical(m[1])})
+            out["calls"].append({"id": _whole(c["id"]) if ok else None, "name": _whole(c["name"]) if ok else None, "arguments": canonical(a), "refs": sorted(set(references(a))), "raw": None if ok else canonical(m[1])})
     elif role == "tool":
         r = _object(text or "")
         if r is None or not isinstance(r.get("tool_call_id"), str):
             out["bad"] = "bad_result"
         else:
-            out |= {"result_id": r["tool_call_id"], "content": canonical(r.get("content"))}
+            out |= {"result_id": _whole(r["tool_call_id"]), "content": canonical(r.get("content"))}
     elif role == "system" and text and "<tools>" in text:
         for m in _TOOLS.finditer(text):
             try:
-                listed = json.loads(m[1])
+                listed = load(m[1])
             except ValueError:
                 listed = []
-            out["tools"] += [{"name": t["name"], "schema": canonical(t.get("parameters", {}))} for t in (listed if isinstance(listed, list) else []) if isinstance(t, dict) and isinstance(t.get("name"), str)]
+            out["tools"] += [{"name": _whole(t["name"]), "schema": canonical(t.get("parameters", {}))} for t in (listed if isinstance(listed, list) else []) if isinstance(t, dict) and isinstance(t.get("name"), str)]
     return out
 
 
@@ -129,7 +182,7 @@ def _valid(calls: DataFrame) -> DataFrame:
 
         for b in batches:
             args, schemas = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("arguments", "schema"))
-            yield b.append_column("valid", pa.array([None if s is None else fits(json.loads(a), json.loads(s)) for a, s in zip(args, schemas)], pa.bool_()))
+            yield b.append_column("valid", pa.array([None if s is None or not sound(schema := json.loads(s)) else fits(json.loads(a), schema) for a, s in zip(args, schemas)], pa.bool_()))
 
     return in_arrow(calls, run, T.StructType([*calls.schema.fields, T.StructField("valid", T.BooleanType())]))
 
@@ -181,6 +234,7 @@ def format_chats(conversations: DataFrame, schemas: Mapping[str, dict] | None =
         F.when(F.col("raw").isNotNull(), F.lit("bad_call")),
         F.when(F.col("raw").isNull() & F.col("owner").isNotNull() & ~owns, F.lit("duplicate_id")),
         F.when(F.col("raw").isNull() & F.col("schema").isNull(), F.lit("unknown_tool")),
+        F.when(F.col("schema").isNotNull() & F.col("valid").isNull(), F.lit("bad_schema")),
         F.when(F.col("valid") == F.lit(False), F.lit("invalid_arguments")),
         F.when(F.col("raw").isNull() & owns & F.col("answer").isNull(), F.lit("no_result")),
     ))

@@ -108,24 +108,24 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _section(packet: bytes, offset: int) -> bytes:
-    at = offset + 1 + packet[offset]
+def _section(packet: bytes, offset: int, table_id: int) -> bytes:
+    at = offset + 1 + packet[offset] if offset < SIZE else SIZE
     size = 3 + (int.from_bytes(packet[at + 1 : at + 3], "big") & 0x0FFF)
     section = packet[at : at + size]
-    if len(section) < size or size < 12 or section_crc(section):
-        raise ValueError("program table with a wrong length or CRC")
+    if len(section) < size or size < 12 or section[0] != table_id or section_crc(section):
+        raise ValueError("program table with a wrong number, length or CRC")
     return section
 
 
 @lru_cache(256)
 def _programs(packet: bytes, offset: int) -> dict[int, int]:
-    s = _section(packet, offset)
+    s = _section(packet, offset, 0x00)
     return {int.from_bytes(s[i : i + 2], "big"): int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(s) - 4, 4) if s[i : i + 2] != b"\0\0"}
 
 
 @lru_cache(256)
 def _streams(packet: bytes, offset: int) -> dict[int, int]:
-    s = _section(packet, offset)
+    s = _section(packet, offset, 0x02)
     out, at = {}, 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
     while at < len(s) - 4:
         out[int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF] = s[at]
@@ -144,6 +144,8 @@ def demux(media: bytes) -> dict:
     starts, control, cc = a[:, 1] & 0x40 != 0, a[:, 3] >> 4 & 3, a[:, 3] & 15
     adapted = control & 2 != 0
     offset = np.where(adapted, 5 + a[:, 4].astype(np.int32), 4)
+    if (offset > SIZE).any():
+        raise ValueError("an adaptation field that is longer than its packet")
     clear = lambda i: bytes([*a[i, :3].tolist(), a[i, 3] & 0xF0]) + a[i, 4:].tobytes()  # noqa: E731  without the counter, so equal tables are parsed once
     programs: dict[int, int] = {}
     for i in np.flatnonzero((pid == PAT_PID) & starts):
@@ -170,6 +172,8 @@ def demux(media: bytes) -> dict:
         pes = data[at[h] : at[to]]
         if pes[:3] != b"\0\0\1":
             raise ValueError("an elementary packet without its start code")
+        if len(pes) < 14 or pes[8] < 5 and pes[7] & 0x80:
+            raise ValueError("an elementary packet that is cut short")
         size, skip = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
         units.append(pes[skip : 6 + size] if size else pes[skip:])
         p = pes[9:14]

@@ -119,3 +119,30 @@ def test_random_orders_match_brute_force(spark):
 
 def test_empty(got):
     assert C.format_chats(got[2].limit(0)).count() == 0
+
+
+HOSTILE = [r'"\ud83d"', r'{"\udc00": 1}', "[" * 200_000, '{"a":' * 5_000 + "1" + "}" * 5_000, "1" + "0" * 400, "1" * 5_000, "NaN", "-Infinity", "1e999", '"\\u0000"', "{}", "null", "[1,", '"x"', "{" + '"k":1,' * 2_000 + '"z":2}']
+SCHEMAS = ['{"properties":{"n":{"type":"integer"}}}', '{"minimum":"1"}', '{"properties":[1]}', '{"enum":3}', '{"type":[{}]}', '{"required":"n"}', '{"items":4}', '{"maxItems":null}', "null", "[]", '{"properties":{"n":{"additionalProperties":7}}}', '{"properties":{"n":{"type":"integer","maximum":1}}}']
+
+
+def test_nothing_hostile_raises(spark):
+    rows, r = [], random.Random(4)
+    for i, x in enumerate(HOSTILE):
+        for j, s in enumerate(SCHEMAS):
+            rows += [(100 * i + j, 0, "system", '<tools>[{"name":"f","parameters":%s}]</tools>' % s), (100 * i + j, 1, "assistant", '<tool_call>{"id":"a","name":"f","arguments":{"n":%s}}</tool_call>' % x), (100 * i + j, 2, "tool", '{"tool_call_id":"a","content":%s}' % x)]
+    whole = call("i", n=1, x={"$result": "k"}) + result("i") + "<tools>[]</tools>"
+    for k in range(300):
+        t = list(whole)
+        for _ in range(r.randint(1, 6)):
+            t[r.randrange(len(t))] = r.choice('{}[]",:\\u$0dé<>')
+        rows.append((90_000 + k, 0, r.choice(("assistant", "tool", "system")), "".join(t)))
+    out = C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == len(rows)
+    for x in out:
+        json.loads(x.json, parse_constant=lambda c: pytest.fail(c))
+    by = {(x.conv_id, x.turn): x for x in out}
+    assert by[0, 1].problems == "invalid_arguments" and by[0, 1].n_linked == 1  # a lone surrogate is a string
+    assert "bad_call" in by[200, 1].problems and "bad_result" in by[200, 2].problems  # nested too deeply
+    assert by[400, 1].problems == "" and by[400 + 1, 1].problems == "bad_schema"  # 10**400 is an integer
+    assert "bad_call" in by[600, 1].problems and "bad_call" in by[800, 1].problems  # NaN, 1e999
+    assert "\ufffd" in by[0, 1].json

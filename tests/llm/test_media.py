@@ -47,3 +47,30 @@ def test_query_columns(spark):
     assert media.media_digests(media.media_table(docs.limit(0))).count() == 0
     broken = spark.createDataFrame([(1, 2, None), (2, 2, bytearray(b"x" * 188))], "doc_id long, n_bytes long, media binary")
     assert all(r.payload_sha256 is None for r in media.media_digests(broken).collect())
+
+
+def test_damaged_streams_are_read_or_refused():
+    r = random.Random(7)
+    whole = media.mux(r.randbytes(3_000))
+    read = 0
+    for k in range(30_000):
+        s = bytearray(whole)
+        for _ in range(r.randint(1, 3)):
+            p = r.choice((0, 0, 1, 2, r.randrange(len(s) // 188))) * 188
+            s[p + r.choice((1, 2, 3, 4, 4, 5, 6, 10, 12, 13, r.randrange(188)))] = r.choice((0, 183, 184, 200, 250, 255, r.randrange(256)))
+        if k % 5 == 0:
+            del s[188 * r.randrange(len(s) // 188) :][: 188 * r.randint(0, 3)]
+        if k % 7 == 0:
+            p = 188 * r.randrange(len(s) // 188)
+            s[p : p + 188] = s[188 * r.randrange(len(s) // 188) :][:188]
+        try:
+            media.demux(bytes(s))
+            read += 1
+        except ValueError:
+            pass
+    assert 0 < read < 30_000
+    bad = bytearray(media.mux(b"x" * 64))
+    bad[3] |= 0x20
+    bad[4] = 255
+    with pytest.raises(ValueError, match="adaptation"):
+        media.demux(bytes(bad))
