@@ -5,19 +5,23 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import numpy as np
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A well-formed tag; without going back, so it fails after one look at each character.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++[^\s"'/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+[\s/]*+)>""")
+_NAME = re.compile(r"[^\s/>]++")
+_ATTR_NAME = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)?+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
 _ATTR = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PAIR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
-_NO_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp noscript template iframe noembed noframes svg math".split())
-#: Elements whose text is never part of an article, whatever the model says.
-NEVER = RAW | frozenset("head button select option object canvas audio video form label legend fieldset datalist dialog".split())
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: Elements that are no article by what they are: scripts, styles, the page's head and forms. On all others the trees decide.
+NEVER = RAW | frozenset("head template form button select option label legend fieldset datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: A start tag closes an open element of these, up to the given scopes.
@@ -39,18 +43,23 @@ TAGS = [{"p", "blockquote", "pre", "dd", "dt"}, {"h1"}, {"h2", "h3", "h4", "h5",
 _TAG_CODE = {t: i + 1 for i, ts in enumerate(TAGS) for t in ts}
 
 
-def hides(attrs: str) -> bool:
-    """Whether the attributes of a start tag hide the element: hidden, aria-hidden=true, or display:none as style's last word on it."""
-    of: dict[str, str] = {}
-    for name, *values in _PAIR.findall(attrs):
-        of.setdefault(name.lower(), html.unescape("".join(values)))
-    shown, strong = "", False
-    for part in _NO_STYLE.sub(" ", of.get("style", "")).lower().split(";"):
-        name, _, value = part.partition(":")
-        value, _, mark = value.partition("!")
-        if name.strip() == "display" and (mark or not strong):
-            shown, strong = value.strip(), bool(mark)
-    return "hidden" in of or of.get("aria-hidden", "").strip().lower() == "true" or shown == "none"
+def tag_end(source: str, at: int) -> tuple[int, int]:
+    """(end of the attributes, end) of a tag whose name ends at ``at``, as browsers read it: a quote opens a value only after "=".
+
+    A quote that nothing closes is part of a value without quotes. Without any ">" the tag has the rest of the page: (-1, -1).
+    """
+    while True:
+        at = _ATTR_NAME.match(source, at).end()
+        equals = _EQUALS.match(source, at)
+        if equals:
+            at = equals.end()
+            quote = source[at : at + 1]
+            close = source.find(quote, at + 1) if quote in ("'", '"') else -1
+            at = close + 1 if close >= 0 else _BARE.match(source, at).end()
+        if at >= len(source):
+            return -1, -1
+        if source[at] == ">":
+            return at, at + 1
 
 
 class Page:
@@ -63,26 +72,41 @@ class Page:
         self.pieces: list = []
         self.size = max(1, len(source))
         stack, pos = [0], 0
-        tag, pieces = self.tag, self.pieces
-        end = len(source)
+        tag, pieces, body = self.tag, self.pieces, False
+        end, opened = len(source), Counter()
         while pos < end:
-            m = _TOKEN.search(source, pos)
-            start = m.start() if m else end
+            start = source.find("<", pos)
+            mark = source[start + 1 : start + 2] if start >= 0 else ""
+            letter = source[start + 2 : start + 3] if mark == "/" else mark
+            if start < 0 or not (mark in "!?" or letter.isascii() and letter.isalpha()) or not mark:
+                stop = end if start < 0 else start + 1  # text, up to and with a "<" that opens nothing
+                pieces.append((stack[-1], source[pos:stop]))
+                pos = stop
+                continue
             if start > pos:
                 pieces.append((stack[-1], source[pos:start]))
-            if not m:
-                break
-            pos = m.end()
-            name = m[2]
-            if name is None:
+            if mark in "!?":
+                comment = source.startswith("<!--", start)
+                close = source.find("-->", start + 2) if comment else source.find(">", start)
+                pos = end if close < 0 else max(close + 3, start + 4) if comment else close + 1
                 continue
+            m = _TAG.match(source, start)
+            if m:
+                close, name, attrs, pos = m[1], m[2], m[3], m.end()
+            else:
+                close = "/" if mark == "/" else ""
+                n = _NAME.match(source, start + 1 + len(close))
+                to, pos = tag_end(source, n.end())
+                if pos < 0:
+                    break
+                name, attrs = n[0], source[n.end() : to]
             name = name.lower()
-            if m[1]:  # an end tag
+            if close:  # an end tag
                 if name in BLOCK:
                     pieces.append(None)
-                for k in range(len(stack) - 1, 0, -1):
+                for k in () if not opened[name] else range(len(stack) - 1, 0, -1):
                     if tag[stack[k]] == name:
-                        del stack[k:]
+                        self._close(stack, k, opened)
                         break
                     if name not in BLOCK and tag[stack[k]] in BLOCK:
                         break  # an inline end tag does not close a block
@@ -90,8 +114,9 @@ class Page:
                         break
                 continue
             if name in ("html", "body"):
-                if name == "body" and "body" not in tag:
-                    self._open(name, m[3], start, stack)
+                if name == "body" and not body:
+                    body = True
+                    self._open(name, attrs, start, stack, opened)
                 continue
             if name == "br" or name == "wbr":
                 if name == "br":
@@ -101,41 +126,42 @@ class Page:
                 pieces.append(None)
             if name in VOID:
                 continue
-            if name in _ENDS_P:
+            if name in _ENDS_P and opened["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if tag[stack[k]] == "p":
-                        del stack[k:]
+                        self._close(stack, k, opened)
                         break
                     if tag[stack[k]] in _SCOPE or tag[stack[k]] == "li":
                         break
             if name in _IMPLIED:
                 closes, scope = _IMPLIED[name]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in () if not any(opened[c] for c in closes) else range(len(stack) - 1, 0, -1):
                     if tag[stack[k]] in closes:
-                        del stack[k:]
+                        self._close(stack, k, opened)
                         break
                     if tag[stack[k]] in scope:
                         break
-            self._open(name, m[3], start, stack)
-            if m[3].endswith("/") and name in ("svg", "math", "path"):
-                stack.pop()
-            elif name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, pos)
-                stack.pop()
-                pos = close.end() if close else end
-
-    def _open(self, name: str, attrs: str, at: int, stack: list[int]) -> None:
+            self._open(name, attrs, start, stack, opened)
+            if name in RAW:
+                self._close(stack, len(stack) - 1, opened)
+                shut = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(source, pos)
+                pos = shut.end() if shut else end
+
+    def _close(self, stack: list[int], k: int, opened: Counter) -> None:
+        for i in stack[k:]:
+            opened[self.tag[i]] -= 1
+        del stack[k:]
+
+    def _open(self, name: str, attrs: str, at: int, stack: list[int], opened: Counter) -> None:
         words: tuple = ()
-        hidden = False
         if attrs and "=" in attrs:
             words = tuple(w.lower() for a in _ATTR.findall(attrs) for w in _WORDS.findall(" ".join(a[1:])))
-        if attrs and (low := attrs.lower()) and ("hidden" in low or "style" in low):
-            hidden = hides(attrs)
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.words.append(words)
-        self.never.append(name in NEVER or hidden)
+        self.never.append(name in NEVER)
         self.at.append(at)
+        opened[name] += 1
         stack.append(len(self.tag) - 1)
 
     def deciding(self) -> list[int]:

@@ -13,7 +13,8 @@ nodes inside it, but for those inside nav, aside, footer or form, are content.
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line feed in page order; <br> is white space. Defined results: a null or empty html, or one without an article,
 gives ''; text without any tag is kept as it is; broken markup is read as browsers do in the common cases (implied end
-tags, stray end tags); null ids and URLs, repeated rows and extra columns don't matter; an empty table gives no rows.
+tags, stray end tags, quotes that open no value; a tag without its ">" has the rest of the page); each character of a
+page is looked at a bounded number of times; null ids and URLs, repeated rows and extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ def _weak_labels(page: Page, nodes: list[int]) -> np.ndarray | None:
         return None
     inside, out, holds = [False] * len(page.tag), [False] * len(page.tag), set()
     for v in core:
-        while v >= 0:
+        while v >= 0 and v not in holds:
             holds.add(v)
             v = page.parent[v]
     for v in range(1, len(page.tag)):

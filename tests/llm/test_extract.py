@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -77,15 +78,19 @@ def test_edge_rows(spark, model):
     assert E.fit(df.limit(0)) is not None
 
 
-@pytest.mark.parametrize(
-    "attrs,want",
-    [
-        ('data-title="The hidden cost of war"', False), ('title="a hidden gem"', False), ('style="overflow: hidden !important"', False), ("class='hidden'", False),
-        ('title="display:none"', False), ('data-hidden="1"', False), ('aria-hidden="false"', False), ("href=/a/hidden/b", False), ('style="display:none;display:block"', False),
-        ('style="x-display:none"', False), ('data-x="aria-hidden=true"', False), ("hidden", True), ("HIDDEN", True), ('id="a"hidden', True), ('hidden=""', True), ("hidden/", True),
-        ("aria-hidden = 'true'", True), ("aria-hidden=true", True), ('style="color:red; DISPLAY : none !important"', True), ("style=display:none", True), ('style="display:none!important;display:block"', True),
-    ],
-)
-def test_only_attributes_that_hide_an_element_drop_it(attrs, want):
-    page = Page(f"<article {attrs}><p>text</p></article>")
-    assert page.never[page.tag.index("article")] is want
+@pytest.mark.parametrize("attrs", ['data-title="The hidden cost of war"', "hidden", 'aria-hidden="true"', 'style="display:none"', "title=don't", 'title=5"', 'a="b"c=\'d\' e', "/", 'x=""', "class", '"', "= b"])
+def test_no_attribute_drops_text(model, attrs):
+    rest = "<p>It isn't long.</p><p>Second paragraph, it's \"here\".</p>"
+    for tag in ("article", "p", "div"):
+        got = E.main_text(f"<article><{tag} {attrs}>First paragraph of text, which stays.</{tag}>{rest}</article>", model)
+        assert got == "First paragraph of text, which stays.\nIt isn't long.\nSecond paragraph, it's \"here\"."
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<!" * 500_000, "<p x='" * 170_000, '<p x="y' * 150_000, "<h1>" * 60_000, "<b>" * 60_000 + "</i>" * 60_000, "<li><ul>" * 30_000, "<p><b>" * 40_000, "</p>" * 250_000, "<title>" * 100_000, "<script>" * 100_000, "< a" * 300_000, "<!--" * 250_000, "<article>" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    p = Page(page)
+    p.features()
+    p.text([True] * len(p.tag))
+    E._weak_labels(p, p.deciding())
+    assert time.perf_counter() - began < 5
