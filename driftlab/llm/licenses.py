@@ -29,22 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, lower_ascii, table, text_chunks, words_of
+from .license_texts import TEXTS
 
 #: phrase -> label
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: label -> text of a notice, as licenses and licensing guides word it
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-or-later-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "mit-notice": "Released under the MIT License",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "reserved-notice": "All rights reserved",
-}
+#: label -> text of a license or notice
+TEMPLATES = TEXTS
 THRESHOLD = 0.9
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from driftlab.llm import licenses as L
 
@@ -72,10 +73,10 @@ def brute_windows(text, label):
 
 def test_wrapped_notices(spark):
     """Notices wrapped over lines, with and without comment signs, a word in four changed, and alone or amid other text."""
-    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
-    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction"
-    far = "all of it\n" + "word " * 30 + "\nrights\n" + "word " * 30 + "\nreserved"
-    texts = {1: bsd, 2: "Intro.\n" + mit + "\n" + bsd, 3: far, 4: "All rights\nreserved", 5: "all\n\n", 6: "rights reserved"}
+    wrap = lambda k, n: textwrap.fill(" ".join(L.TEMPLATES[k].split()), n, subsequent_indent=" * ")
+    bsd, mit = wrap("bsd-conditions", 70), wrap("mit-grant", 60)
+    far = "licensed\n" + "word " * 30 + "\nunder CC BY\n" + "word " * 30 + "\n4.0"
+    texts = {1: bsd, 2: "Intro.\n" + mit + "\n" + bsd, 3: far, 4: "Licensed under\nCC BY 4.0", 5: "licensed\n\n", 6: "under CC BY 4.0"}
     r = random.Random(5)
     for i in range(200):
         w = L.TEMPLATES[r.choice(list(L.TEMPLATES))].split()
@@ -84,7 +85,7 @@ def test_wrapped_notices(spark):
         texts[10 + i] = "".join(x + r.choice([" ", " ", " ", "\n# "]) for x in w)
     docs = spark.createDataFrame([(i, t, "") for i, t in texts.items()], DOCS)
     got = {x.doc_id: x for x in L.scan_licenses(docs, wrapped=True).collect()}
-    assert [got[i].labels for i in range(1, 7)] == ["bsd-notice", "bsd-notice,mit-grant", "", "reserved-notice", "", ""]
+    assert [got[i].labels for i in range(1, 7)] == ["bsd-conditions", "bsd-conditions,mit-grant", "", "cc-by-4.0-licensed", "", ""]
     assert [(b.start, b.end, b.containment) for b in got[1].blocks] == [(0, len(bsd) - 1, 1.0)]
     lines, found = {x.doc_id: x for x in L.scan_licenses(docs).collect()}, 0
     for i, t in texts.items():
@@ -97,3 +98,12 @@ def test_wrapped_notices(spark):
             assert "\n" in part and b.containment == len(set(WORD.findall(lower(part))) & own) / len(own)
         found += len(more)
     assert found > 50
+
+
+def test_whole_licenses_are_found_however_they_are_wrapped(spark):
+    r, rows = random.Random(8), []
+    for i, (label, text) in enumerate(sorted(L.TEMPLATES.items())):
+        body = textwrap.fill(" ".join(text.split()), r.choice((40, 72, 79, 120)), subsequent_indent=r.choice(("", "# ", " * ", "// ")))
+        rows.append((i, "Some words before it.\n\n" + body + "\n\nand others after.", label))
+    for x in L.scan_licenses(spark.createDataFrame(rows, DOCS), wrapped=True).collect():
+        assert rows[x.doc_id][2] in x.labels.split(",") and x.score == 1.0
