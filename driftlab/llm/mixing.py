@@ -7,7 +7,11 @@ time at which the demand reaches its middle word: the inverse of the integral. D
 
 Targets: the words of all sources are shared by weight; no source gets over ``max_repeat`` times its size, and the
 excess is shared anew among the others by weight. With sources sorted by (limit / weight), the common level is found
-in one pass of running sums over one row per source.
+in one pass of running sums over one row per source. Running sums are made in two steps, over ranges of the order and
+within each range, so that neither many sources nor a large one are ever in one task.
+
+Rows of one source that agree in id and size can't be told apart in the result, so they are counted and laid end to
+end together: null ids, or an id that is repeated, make no hot key.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; null ids, repeated ids and
 repeated rows are rows of their own; a source without words has target 0; documents of which nothing is taken have
@@ -29,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 #: For each weight in turn, knots (time, multiplier): what weighs most is shown early, what weighs least late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 BUCKET_ROWS = 4096
-BROADCAST_SOURCES = 100_000
+BROADCAST_SOURCES, SALTS = 100_000, 32
 
 
 def _pieces(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
@@ -53,20 +57,34 @@ def invert(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
+def running(df: DataFrame, order: Sequence[str], sums: Sequence[str], name: str) -> DataFrame:
+    """df with the columns ``upto_<x>``: sums of x over all rows up to each in the order, which must be without ties and nulls."""
+    rows = cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = rows.groupBy("range").agg(*[F.sum(x).alias(x) for x in sums])
+    ranges = ranges.select("range", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"before_{x}") for x in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(F.broadcast(ranges), "range").withColumns({f"upto_{x}": F.col(f"before_{x}") + F.sum(x).over(inside) for x in sums})
+    return out.drop("range", *[f"before_{x}" for x in sums])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3) -> DataFrame:
     """sizes: one row per source (source, source_size, n_docs). Adds rank, weight and target."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     n = len(weights)
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    named = sizes.withColumns({"no_source": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "one": F.lit(1).cast("long")})
+    ranked = running(named, ["no_source", "name"], ["one"], "mix-ranks").withColumn("rank", F.col("upto_one") - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % n + 1).cast("int")))
     ranked = ranked.withColumn("most", (F.col("source_size") * max_repeat).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
-    every = Window.partitionBy()
-    upto = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = ranked.withColumn("total", F.sum("source_size").over(every)).withColumn("level", (F.col("total") - (F.sum("most").over(upto) - F.col("most"))) / (F.sum("weight").over(every) - (F.sum("weight").over(upto) - F.col("weight"))))
+    ranked = running(ranked, ["ratio", "rank"], ["most", "weight"], "mix-levels")
+    every = ranked.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    left = F.col("weights") - (F.col("upto_weight") - F.col("weight"))
+    full = ranked.crossJoin(F.broadcast(every)).withColumn("level", (F.col("total") - (F.col("upto_most") - F.col("most"))) / left)  # one row
     # limits are met from the smallest ratio up; the first source whose level stays below its ratio sets the level of the rest
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every)["level"]
-    return full.withColumn("target", F.coalesce(F.least(F.col("most"), level * F.col("weight")), F.lit(0.0))).select("source", "source_size", "n_docs", "rank", "weight", "target")
+    first = full.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).alias("first"))
+    full = full.crossJoin(F.broadcast(first))  # one row
+    return full.withColumn("target", F.coalesce(F.least(F.col("most"), F.col("first.level") * F.col("weight")), F.lit(0.0))).select("source", "source_size", "n_docs", "rank", "weight", "target")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_repeat: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -88,19 +106,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules:
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeat)
     targets = targets.select(*named, "source_size", "target", "rank", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("buckets"), F.round("target").cast("long").alias("words"))
 
-    # one row a source: sent to all executors if they are few enough, so that a large source is not shuffled to one task
+    hashed = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    # rows that agree in all that the result tells are one, n times
+    rows = base.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n")).select(*named, "doc_id", "source", "size", "key", "n", F.pmod(hashed, F.lit(SALTS)).cast("int").alias("salt"))
+    # one row a source: sent to all executors if they are few enough, else to each of the parts that sources are dealt out in
     targets = cut(targets, "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
+        ranged = rows.join(F.broadcast(targets), ["no_source", "name"])
+    else:
+        ranged = rows.join(targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["no_source", "name", "salt"])
 
     # a running sum in two steps, so that no task sorts a whole source: first over ranges of the hash, then within each range
-    hashed = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    ranged = base.select(*named, "doc_id", "source", "size", "key").join(targets, ["no_source", "name"]).withColumn("bucket", F.shiftright(hashed * F.col("buckets"), 32))
+    ranged = ranged.withColumn("bucket", F.shiftright(hashed * F.col("buckets"), 32)).withColumn("words_here", F.col("size") * F.col("n"))
     place = ["no_source", "name", "bucket"]
-    sums = ranged.groupBy(*place).agg(F.sum("size").alias("in_bucket"))
+    sums = ranged.groupBy(*place).agg(F.sum("words_here").alias("in_bucket"))
     before = sums.select(*place, (F.sum("in_bucket").over(Window.partitionBy("no_source", "name").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
     inside = Window.partitionBy(*place).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = ranged.withColumn("upto", F.sum("size").over(inside)).join(before, place).withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
+    cum = ranged.withColumn("upto", F.sum("words_here").over(inside)).join(before, place).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cum = cum.withColumn("start", F.col("before") + F.col("upto") - F.col("words_here") + F.col("nth") * F.col("size"))
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0))
     cum = cum.withColumn("whole", whole.cast("long")).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("whole") * F.col("source_size") - F.col("start"))))
