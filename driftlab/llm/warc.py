@@ -1,12 +1,18 @@
 """Operator 5: WARC archives and their globally ordered capture index.
 
 ``write_warc`` writes one record per page with Spark's text sink: a record's header and block are text, and the line
-separator is the blank line that ends each record, so any file system that Spark can write to will do. Payloads of
-at least ``MIN_REVISIT`` bytes that occur more than once are stored once: the page with the largest id is the
-response, the others are revisits that refer to it. ``read_warc`` reads the archives back, record by record as their
-Content-Length says, checks the digests and sorts each archive's captures by URL key and time: a sorted run.
-``merge_runs`` deals the runs out by ranges of that order and merges the runs of each range with a loser tree, so the
-index is ordered within and across partitions.
+separator is the blank line that ends each record, so any file system that Spark can write to will do. Archives are not
+compressed, so an index entry's offset and length name a record's bytes. Payloads of at least ``MIN_REVISIT`` bytes that
+occur more than once are stored once: the page with the largest id is the response, the others are revisits that refer
+to it and name the payload's length. ``read_warc`` reads the archives back, record by record as their Content-Length
+says, checks the digests and sorts each archive's captures by URL key and time: a sorted run.
+
+``merge_runs`` merges the runs externally. Each run is cut into pieces of ``PIECE_ROWS`` captures, which are dealt out by
+ranges of the order (their fences come from a bounded sample of the pieces' first keys) and sorted within a range by
+their first keys; Spark shuffles, sorts and spills them as they are, packed. A task then streams them through a loser
+tree: a piece is opened when the merge comes to its first key and closed when it is used up, so what is held are the
+pieces that are open, one for each run that overlaps there, and not the range. The index is ordered within and across
+partitions.
 
 Defined results: a null html is an empty payload; a null URL has the key ''; line breaks in a URL are percent-encoded;
 a null page id counts as less than any other and is read back as null; rows that share the largest page id of equal
@@ -16,7 +22,9 @@ gives no records. A record that is cut short or whose payload has another digest
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -25,23 +33,32 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow, shared_dir, table
+from .common import BROADCAST_IDS, cut, in_arrow, shared_dir, table
 
 MIN_REVISIT = 1_000
-RECORDS_PER_FILE = 2_000
+#: (most bytes of a page, pages to a file): no archive has more than about 64 MB, but for a page that is longer by itself
+FILES = ((32 << 10, 2_000), (1 << 20, 64), (1 << 31, 1))
+PIECE_ROWS, RANGE_ROWS, FENCES, FENCE_CHARS = 500, 50_000, 20_000, 200
+SALTS = 32
 EPOCH = 1_577_836_800  # a page's capture time where no column has it: 2020-01-01 plus its id in seconds
+LENGTH_FIELD = "X-Payload-Length"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _LEAST = -(1 << 63)
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> None:
-    """Writes gzip-compressed archives of at most RECORDS_PER_FILE records into the folder path."""
+    """Writes archives into folders within path, one for each row of FILES that has pages."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("known", F.coalesce("id", F.lit(_LEAST)))
-    # only digests that occur again are joined back, so the pages themselves move only if those are many
     again = rows.filter(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.max("known").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(again, "digest", "left").withColumn("revisit", F.col("keeper") > F.col("known"))
+    again = cut(again, "warc-again")
+    if again.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(again), "digest", "left")
+    else:  # the pages move; those of a digest that many have are dealt out in parts
+        again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("known", "url"), F.lit(SALTS)).cast("int")).join(again, ["digest", "salt"], "left").drop("salt")
+    rows = rows.withColumn("revisit", F.col("keeper") > F.col("known"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.when(c == _LEAST, F.lit("null")).otherwise(c.cast("string")), F.lit(">"))
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.pmod("id", F.lit(1 << 30)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.when(F.col("revisit"), F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("html")))
@@ -49,33 +66,57 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), urn(F.col("known")), F.lit("\r\nWARC-Date: "), date, F.lit("\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(F.col("revisit"), F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), urn(F.col("keeper")))).otherwise(F.lit("")),
+        F.when(F.col("revisit"), F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), urn(F.col("keeper")), F.lit(f"\r\n{LENGTH_FIELD}: "), F.octet_length("html").cast("string"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    size = F.octet_length("html")
+    kind = F.when(size <= FILES[0][0], F.lit(0)).when(size <= FILES[1][0], F.lit(1)).otherwise(F.lit(2))
+    present = {r.kind for r in rows.groupBy(kind.alias("kind")).count().collect()} | {0}
+    for k in sorted(present):
+        rows.filter(kind == k).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILES[k][1]).text(f"{path}/files-{k}")
+
+
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """content in parts; of a gzip-compressed archive what its members hold."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    stream = zlib.decompressobj(31)
+    for at in range(0, len(content), 65536):
+        part = content[at : at + 65536]
+        while part:
+            yield stream.decompress(part)
+            part = stream.unused_data
+            if part:
+                stream = zlib.decompressobj(31)
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, header, block) of each record of a gzip-compressed archive; one record is held at a time."""
-    stream, buffer, base, at, fed = zlib.decompressobj(31), bytearray(), 0, 0, 0
-    view = memoryview(content)
+    """(offset, length, header, block) of each record of an archive, plain or gzip-compressed; one record is held at a time.
+
+    Positions are those in the plain archive.
+    """
+    parts, buffer, base, at = _unpacked(content), b"", 0, 0
 
     def more(n: int) -> bool:
         """Makes the buffer reach n bytes beyond at, if the archive does."""
-        nonlocal fed, base, at
-        while len(buffer) - at < n and fed < len(view):
-            if at > 1 << 20:
-                del buffer[:at]
-                base += at
-                at = 0
-            buffer.extend(stream.decompress(view[fed : fed + 65536]))
-            fed += 65536
-        return len(buffer) - at >= n
+        nonlocal buffer, base, at
+        if len(buffer) - at >= n:
+            return True
+        held = [buffer[at:]]
+        size = len(held[0])
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= n:
+                break
+        base, at, buffer = base + at, 0, held[1] if len(held) == 2 and not held[0] else b"".join(held)
+        return len(buffer) >= n
 
     while more(1):
         end, want = -1, 4096
         while (end := buffer.find(b"\r\n\r\n", at)) < 0:
-            if not more(want := want * 2) and fed >= len(view) and buffer.find(b"\r\n\r\n", at) < 0:
+            if not more(want := want * 2) and buffer.find(b"\r\n\r\n", at) < 0:
                 raise ValueError("a record without the end of its header")
         head = buffer[at:end].decode().split("\r\n")
         if not head[0].startswith("WARC/"):
@@ -84,7 +125,7 @@ def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         skip, size = end + 4 - at, int(header["Content-Length"])
         if not more(skip + size + 4) or buffer[at + skip + size : at + skip + size + 4] != b"\r\n\r\n":
             raise ValueError("a record that is cut short")
-        yield base + at, skip + size + 4, header, bytes(buffer[at + skip : at + skip + size])
+        yield base + at, skip + size + 4, header, buffer[at + skip : at + skip + size]
         at += skip + size + 4
 
 
@@ -95,7 +136,10 @@ def url_key(url: str) -> str:
 
 
 INDEX = "url_key string, capture_time string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
-_ORDER = ("url_key", "capture_time", "page_id")
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.isdigit() else None
 
 
 def _page(urn: str) -> int | None:
@@ -104,7 +148,7 @@ def _page(urn: str) -> int | None:
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """The captures of all archives in path, each archive's as a sorted run; payload_bytes is null for revisits."""
+    """The captures of all archives in path, each archive's as a sorted run; payload_bytes is null for revisits that don't name it (other writers')."""
 
     def run(batches):
         import pyarrow as pa
@@ -119,12 +163,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                     digest, response = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "response"
                     if response and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{archive} at {offset}: the payload has another digest")
-                    out.append((url_key(h["WARC-Target-URI"]), h["WARC-Date"], _page(h["WARC-Record-ID"]), h["WARC-Type"], None if response else _page(h["WARC-Refers-To"]), len(payload) if response else None, digest, archive, offset, length, *([payload] if with_payload else [])))
+                    out.append((url_key(h["WARC-Target-URI"]), h["WARC-Date"], _page(h["WARC-Record-ID"]), h["WARC-Type"], None if response else _page(h["WARC-Refers-To"]), len(payload) if response else _number(h.get(LENGTH_FIELD)), digest, archive, offset, length, *([payload] if with_payload else [])))
                 out.sort(key=_key)
                 for i in range(0, len(out), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500]), kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
     return in_arrow(files, run, INDEX + ", payload binary" * with_payload)
 
 
@@ -159,51 +203,129 @@ class LoserTree:
             node //= 2
         self.tree[0] = winner
 
+    def least(self):
+        """The key of the next row, None if there is none."""
+        head = self.head[self.tree[0]]
+        return head[1] if head[0] == 0 else None
+
+    def pop(self) -> tuple:
+        w = self.tree[0]
+        row = self.runs[w][self.at[w]]
+        self.at[w] += 1
+        self.head[w] = self._load(w)
+        self._play(w)
+        return row
+
+    def rest(self) -> list[list[tuple]]:
+        """What is left of the runs that are not used up."""
+        return [r[a:] for r, a in zip(self.runs, self.at) if a < len(r)]
+
     def __iter__(self) -> Iterator[tuple]:
-        while self.head[w := self.tree[0]][0] == 0:
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.head[w] = self._load(w)
-            self._play(w)
+        while self.head[self.tree[0]][0] == 0:
+            yield self.pop()
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
-    """The index ordered by URL key, time and page across all partitions."""
-    columns = index.columns
+def _pieces(index: DataFrame) -> DataFrame:
+    """(url_key, capture_time, page_id, n, rows): the captures in pieces that are in order, with their first keys, packed as Arrow batches."""
 
     def run(batches):
         import pyarrow as pa
 
-        runs: dict[str, list[tuple]] = {}
-        schema = None
         for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[7], []).append(row)
-        if schema is None:
-            return
-        held = []
-        # rows come in their run's order but for revisits, which went through a join: sort() puts pieces in order together in one pass
-        for r in runs.values():
-            r.sort(key=_key)
-        for row in LoserTree(list(runs.values())):
-            held.append(row)
+            keys = [_key(r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            cuts = [0] + [i for i in range(1, len(keys)) if keys[i] < keys[i - 1]] + [len(keys)]
+            starts = [i for a, b in zip(cuts, cuts[1:]) for i in range(a, b, PIECE_ROWS)]
+            for s, e in zip(starts, [*starts[1:], len(keys)]):
+                packed = pa.RecordBatch.from_struct_array(batch.slice(s, e - s).to_struct_array())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(s, 1) for i in range(3)), pa.array([e - s]), pa.array([_pack(packed)])], ["url_key", "capture_time", "page_id", "n", "rows"])
+
+    return in_arrow(index, run, "url_key string, capture_time string, page_id long, n long, rows binary")
+
+
+def _pack(batch) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _split(pieces: DataFrame, fences: list[tuple[str, str]]) -> DataFrame:
+    """pieces cut at the fences, with the number of their range."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(4):
+                rows = _unpack(data.as_py())
+                of = [bisect.bisect_right(fences, k) for k in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]
+                starts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
+                for s, e in zip(starts, [*starts[1:], len(of)]):
+                    own = rows if e - s == len(of) else pa.RecordBatch.from_struct_array(rows.slice(s, e - s).to_struct_array())
+                    yield pa.RecordBatch.from_arrays([pa.array([of[s]], pa.int32()), *(own.column(i).slice(0, 1) for i in range(3)), pa.array([_pack(own)])], ["range", "url_key", "capture_time", "page_id", "rows"])
+
+    return in_arrow(pieces, run, "range int, url_key string, capture_time string, page_id long, rows binary")
+
+
+def merge_runs(index: DataFrame) -> DataFrame:
+    """The index, given as sorted runs, ordered by URL key, time and page across all partitions."""
+    spark, columns, schema = index.sparkSession, index.columns, index.schema
+    pieces = cut(_pieces(index), "warc-pieces")
+    many = pieces.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("pieces")).first()
+    ranges = max(math.ceil((many.rows or 0) / RANGE_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), many.pieces))
+    drawn = pieces.select(F.substring("url_key", 1, FENCE_CHARS).alias("u"), "capture_time", F.xxhash64("url_key", "capture_time", "page_id").alias("draw")).orderBy("draw").limit(FENCES).collect()
+    known = sorted((r.u, r.capture_time) for r in drawn)
+    fences = sorted({known[i * len(known) // ranges] for i in range(1, ranges)}) if known else []
+    names = [x.split()[0] for x in INDEX.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        waiting = (_unpack(x.as_py()) for b in batches for x in b.column(4))
+        coming, tree, held = next(waiting, None), LoserTree([]), []
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*held), kinds)], names)
+
+        kinds = [f.type for f in coming.schema] if coming else []
+        while True:
+            first = tree.least()
+            opened = []
+            while coming and (first is None or _key(_row(coming, 0))[:4] <= first[:4]):  # it begins where the merge is
+                opened.append([_row(coming, i) for i in range(coming.num_rows)])
+                coming = next(waiting, None)
+                if first is None:
+                    break
+            if opened:
+                tree = LoserTree([*tree.rest(), *opened])
+            elif first is None:
+                break
+            held.append(tree.pop())
             if len(held) == 1_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                held = []
+                yield packed()
+                held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            yield packed()
+
+    dealt = _split(pieces, fences).repartitionByRange(max(1, len(fences) + 1), "range").sortWithinPartitions("range", "url_key", "capture_time", "page_id")
+    return in_arrow(dealt, run, schema).select(*columns)
+
 
-    return in_arrow(index.repartitionByRange(*_ORDER), run, index.schema).select(*columns)
+def _row(batch, i: int) -> tuple:
+    return tuple(c[i].as_py() for c in batch.columns)
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
-    """Reads the archives in path and merges their runs; revisits take their payload's length from the response they refer to."""
-    runs = cut(read_warc(spark, path), "warc-runs")
-    sizes = runs.filter("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("of_response"))
-    sizes = sizes.select(F.coalesce("page_id", F.lit(_LEAST)).alias("known"), F.col("payload_digest").alias("digest"), "of_response")
-    revisits = runs.filter("record_type = 'revisit'").join(sizes, (F.coalesce("refers_to", F.lit(_LEAST)) == F.col("known")) & (F.col("payload_digest") == F.col("digest")), "left")
-    return merge_runs(runs.filter("record_type = 'response'").unionByName(revisits.withColumn("payload_bytes", F.col("of_response")).select(*runs.columns)))
+    """Reads the archives in path and merges their runs."""
+    return merge_runs(cut(read_warc(spark, path), "warc-runs"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,35 @@ def test_round_trip_and_revisits(spark, pages):
     assert {bytes(p.payload).decode() for p in payloads} == {r[2] or "" for r in rows}
 
 
+def test_merge_in_many_ranges_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(W, "PIECE_ROWS", 3)
+    monkeypatch.setattr(W, "RANGE_ROWS", 40)
+    r = random.Random(6)
+    rows = [(r.choice(("", "com,a)/", "com,b)/" + "x" * 300)) + str(r.randint(0, 5)) * r.randint(0, 1), f"2020-01-0{r.randint(1, 9)}", r.choice((None, r.randint(1, 99))), "response", None, 1, "d", f"a{k}", i, 1) for k in range(7) for i in range(90)]
+    runs = [x for k in range(7) for x in sorted((y for y in rows if y[7] == f"a{k}"), key=W._key)]
+    merged = W.merge_runs(spark.createDataFrame(runs, W.INDEX).coalesce(2))
+    got = [tuple(x) for x in merged.collect()]
+    assert got == sorted(rows, key=W._key) and merged.rdd.getNumPartitions() > 5
+
+
+def test_tree_goes_on_with_what_is_left():
+    tree = W.LoserTree([[1, 4, 6], [2, 3], []], key=lambda x: x)
+    assert [tree.pop(), tree.pop(), tree.pop()] == [1, 2, 3] and tree.least() == 4
+    assert list(W.LoserTree([*tree.rest(), [0, 5]], key=lambda x: x)) == [0, 4, 5, 6]
+
+
+def test_archives_of_several_sizes(spark, monkeypatch):
+    monkeypatch.setattr(W, "FILES", ((100, 3), (1_000, 2), (1 << 31, 1)))
+    rows = [(i, f"http://h/{i}", "x" * n) for i, n in enumerate([0, 5, 100, 101, 999, 1_001, 5_000, 70_000] * 4)]
+    path = f"{shared_dir(spark)}/w3"
+    W.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    got = W.read_warc(spark, path, with_payload=True).collect()
+    assert len(got) == len(rows) and {p.archive for p in got if p.page_id % 8 > 4}.isdisjoint({p.archive for p in got if p.page_id % 8 < 5})
+    raw = {f.archive: bytes(f.content) for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).selectExpr("regexp_extract(path, '[^/]+$', 0) AS archive", "content").collect()}
+    for p in got:  # a record is where the index says
+        assert raw[p.archive][p.offset :].startswith(b"WARC/1.1\r\n") and f"urn:page:{p.page_id}>".encode() in raw[p.archive][p.offset : p.offset + p.length][:200]
+
+
 def test_empty_table_and_damage(spark, pages):
     import gzip
 
@@ -58,6 +87,8 @@ def test_empty_table_and_damage(spark, pages):
     assert W.capture_index(spark, path).count() == 0
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [x[3] for x in W.records(gzip.compress(good * 3))] == [b"abc"] * 3
+    assert [x[:2] for x in W.records(gzip.compress(good) * 3)] == [x[:2] for x in W.records(good * 3)] == [(k * len(good), len(good)) for k in range(3)]
     for bad in (good[:-5], b"nothing", good[:20], good.replace(b"3", b"9")):
-        with pytest.raises(ValueError):
-            list(W.records(gzip.compress(bad)))
+        for packed in (gzip.compress(bad), bad):
+            with pytest.raises(ValueError):
+                list(W.records(packed))
