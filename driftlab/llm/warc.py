@@ -306,7 +306,8 @@ def merge_runs(index: DataFrame) -> DataFrame:
                     break
             if opened:
                 tree = LoserTree([*tree.rest(), *opened])
-            elif first is None:
+                continue
+            if first is None:
                 break
             held.append(tree.pop())
             if len(held) == 1_000:
