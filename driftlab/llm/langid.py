@@ -3,7 +3,7 @@
 Features: runs of 1 to 3 characters of the lower-case text, hashed to 2**16 places; weight (1 + ln count) * idf, scaled
 to length 1. The idf counts all documents of the training fold, in one distributed pass. The regression is trained
 on the driver with follow-the-regularised-leader (per-coordinate steps, elastic-net penalty: L1 zeroes weights) on a
-bounded sample, ``PER_LANGUAGE`` rows of each language and ``SAMPLE`` rows in all, the first by a hash of the id;
+bounded sample, ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes in all, the first by a hash of the id;
 every fifth row of it is kept back and fits the temperature that calibrates the scores.
 
 Training fold: crc32(id as text) mod 4 is not 2. Prediction reads the text alone, whole.
@@ -23,14 +23,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_fold, in_arrow, table
+from .common import crc32_fold, cut, in_arrow, table
 
 BITS, GRAMS = 16, 3
 PER_LANGUAGE, SAMPLE, EPOCHS = 800, 6_000, 2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 1e-4
 UND = "und"
-#: A document is rejected by the filter stage if it has no language or less than this score.
-MIN_SCORE = 0.3
+SAMPLE_BYTES = 64 << 20
+#: The filter stage keeps a document if, by its n-grams alone (without the bias, which knows only how frequent a language
+#: is), one language is more likely than all others together.
+MIN_EVIDENCE = 0.5
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -67,12 +69,16 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def probabilities(self, text: str) -> np.ndarray:
+    def probabilities(self, text: str, bias: float = 1.0) -> np.ndarray:
         at, v = vector(text, self.idf)
-        z = (v @ self.weights[at] + self.bias) / self.temperature
+        z = (v @ self.weights[at] + bias * self.bias) / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    def evidence(self, text: str) -> float:
+        """The greatest probability that the text's n-grams give by themselves: about 1 / languages for a text of none of them."""
+        return float(self.probabilities(text, 0.0).max())
+
 
 def train(rows: Sequence[tuple[str, str]], idf: np.ndarray, epochs: int = EPOCHS) -> Model | None:
     """Follow-the-regularised-leader over (text, language) rows, in the given order; None without rows."""
@@ -145,7 +151,8 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return out, total
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Learns from the training fold; the drawn rows are the first whose texts have ``sample_bytes`` together, longer ones than a hundredth of that left out."""
     fold = docs.filter((crc32_fold(id_col) != 2) & F.col(lang_col).isNotNull())
     draw = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("draw")
     lang = F.col(lang_col).cast("string").alias("lang")
@@ -153,8 +160,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     chosen = fold.select(lang, draw).withColumn("rank", first).filter(F.col("rank") <= per_language).orderBy("rank", "draw", "lang").limit(sample)
     chosen = chosen.groupBy("lang", "draw").agg(F.min("rank").alias("rank"))
-    rows = fold.select(F.col(text_col).alias("text"), lang, draw).join(F.broadcast(chosen), ["lang", "draw"])  # at most ``sample`` rows are sent
-    drawn = rows.filter("text IS NOT NULL").orderBy("rank", "draw", "lang", "text").limit(sample).select("text", "lang").collect()
+    rows = fold.filter(F.octet_length(text_col) <= sample_bytes // 100).select(F.col(text_col).alias("text"), lang, draw).join(F.broadcast(chosen), ["lang", "draw"])  # at most ``sample`` rows are sent
+    # one row of each id, and of these the first that have sample_bytes together
+    rows = cut(rows.groupBy("lang", "draw", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "language-sample")
+    upto = F.sum("size").over(Window.orderBy("rank", "draw", "lang").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over at most ``sample`` short rows
+    few = rows.select("lang", "draw", F.octet_length("text").alias("size"), "rank").withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("lang", "draw")
+    drawn = rows.join(F.broadcast(few), ["lang", "draw"]).orderBy("rank", "draw", "lang").select("text", "lang").collect()
     pairs = [(r.text, r.lang) for r in drawn if has_letter(r.text)]
     if not pairs:
         return None
@@ -186,15 +197,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return in_arrow(rows, run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """docs without those that have no language or a score below min_score; the columns stay as they are."""
+def keep_identified(docs: DataFrame, model: Model | None, min_evidence: float = MIN_EVIDENCE, text_col: str = "text") -> DataFrame:
+    """docs without those that have no letter or are of no learned language (evidence below min_evidence); the columns stay as they are."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = [model is not None and has_letter(t) and float(model.probabilities(t).max()) >= min_score for t in (x.as_py() for x in batch.column(at))]
+            keep = [model is not None and has_letter(t) and model.evidence(t) >= min_evidence for t in (x.as_py() for x in batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return in_arrow(docs, run, docs.schema)

@@ -60,3 +60,52 @@ def test_no_labels_and_empty(spark, docs):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
     kept = langid.keep_identified(docs, langid.fit(docs))
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+
+
+def test_what_the_filter_keeps(spark):
+    words = {"en": "the of and with over house thing made from".split(), "fr": "été élève où garçon une leçon forêt".split(), "de": "über straße und nicht schön weiß".split()}
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(words[lang], k=r.randint(1, 60))), lang) for i in range(600) for lang in (r.choice(("en", "en", "en", "fr", "de")),)]
+    other = [(1_000, "съешь ещё этих мягких французских булок", None), (1_001, "今日は天気がいいですね", "en"), (1_002, None, "en"), (1_003, "12 %", "en"), (1_004, "לשון קודש", "fr")]
+    df = spark.createDataFrame(rows + other, "doc_id long, text string, lang string")
+    model = langid.fit(spark.createDataFrame(rows, df.schema))
+    kept = {x.doc_id for x in langid.keep_identified(df, model).collect()}
+    assert kept == {i for i, _, _ in rows}
+
+
+def test_sample_is_bounded_in_bytes_and_ids(spark):
+    rows = [(i, "the house " * 20, "en") for i in range(100)] + [(None, f"la maison {k} " * 20, "fr") for k in range(100)] + [(7_000 + i, "x" * 50_000, "de") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=100_000)
+    assert model.languages == ["en", "fr"]  # the long texts are over a hundredth of the bound
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=10) is None
+
+
+def test_ftrl_steps_match_a_plain_version():
+    rows = [("the house of the thing", "en"), ("une maison où", "fr"), ("with the house", "en"), ("la leçon été", "fr")]
+    idf = np.ones(1 << langid.BITS)
+    model = langid.train(rows, idf, epochs=2)
+    z, n, size = {}, {}, 1 << langid.BITS
+
+    def weight(i, c):
+        l1 = 0.0 if i == size else langid.L1
+        s = z.get((i, c), 0.0)
+        return 0.0 if abs(s) <= l1 else -(s - np.sign(s) * l1) / ((langid.BETA + np.sqrt(n.get((i, c), 0.0))) / langid.ALPHA + langid.L2)
+
+    for _ in range(2):
+        for text, lang in rows:
+            at, v = langid.vector(text, idf)
+            x = {**dict(zip(at.tolist(), v.tolist())), size: 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in (0, 1)}
+            s = [sum(w[i, c] * u for i, u in x.items()) for c in (0, 1)]
+            p = np.exp(np.array(s) - max(s))
+            p /= p.sum()
+            for i, u in x.items():
+                for c in (0, 1):
+                    g = u * (p[c] - (c == ("en", "fr").index(lang)))
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / langid.ALPHA * w[i, c]
+                    n[i, c] = old + g * g
+    for i, c in z:
+        got = model.bias[c] if i == size else model.weights[i, c]
+        assert got == pytest.approx(weight(i, c), abs=1e-5)
+    assert (model.weights == 0).mean() > 0.99
