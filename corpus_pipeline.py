@@ -1,6 +1,6 @@
 """A training corpus in five stages over the table documents; each stage is written as Parquet and reread as the next one's docs.
 
-1. language: documents without a language (no text, no letter, or a score below langid.MIN_SCORE) go.
+1. language: documents without a language (no text, no letter, or of no learned language: langid.MIN_EVIDENCE) go.
 2. near_duplicates: of each class of documents that n-gram Jaccard links connect, the one with the least id stays.
 3. repeated_passages: bytes covered by a 50-byte string that also starts in a document with a smaller id are cut out of
    the text (n_chars is counted anew); every document stays, even if nothing is left of its text.
