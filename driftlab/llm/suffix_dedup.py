@@ -47,7 +47,7 @@ WINDOW = LENGTH - GRAM + 1
 SAMPLE, SAMPLE_BYTES, HOT, CROWD = 4_000, 32 << 20, 12, 64
 PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24 bits
 BLOCK_TEXT = 8 << 20  # bytes of documents whose anchors or pieces leave a task together
-BUCKET_TEXT = 8 << 20  # bytes of documents for each bucket
+BUCKET_TEXT, HOME_TEXT, LEAST_TEXT = 8 << 20, 32 << 20, 1 << 20  # bytes of documents for each bucket of anchors, each group of documents that verdicts come back to, and each task at least
 LOT_PIECES, LOT_BYTES = 20_000, 1 << 18  # pieces that are judged, and numbers that are sorted, together
 SALTS = 32  # parts of a text's copies
 _LAST = (1 << 63) - 1
@@ -214,7 +214,7 @@ def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype) -> DataFrame
     return in_arrow(packed.repartition("home").sortWithinPartitions("home"), run, "did long, tid long, first binary, second binary")
 
 
-def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, homes: int) -> DataFrame:
     """(did, high, low): for each document its anchors that other documents have too, 48 bits each."""
 
     names = ["bucket", "dids", "many", "high", "low"]
@@ -278,7 +278,7 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
                 did, key = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 2))
             else:
                 did, key = meet(held)
-            yield from _pack_by_document(did, np.zeros(len(did), np.int64), (key >> 16).astype(np.uint32), (key & 0xFFFF).astype(np.uint16), buckets)
+            yield from _pack_by_document(did, np.zeros(len(did), np.int64), (key >> 16).astype(np.uint32), (key & 0xFFFF).astype(np.uint16), homes)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -394,32 +394,81 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
     return bits
 
 
+def _windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all windows of pieces of the given sizes: the piece and the place in it."""
+    piece = np.repeat(np.arange(len(size)), size)
+    return piece, np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _met(key: np.ndarray, did: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, where its keys begin, and for each of these whether two documents or more have it."""
+    order = np.lexsort((did, key))
+    starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    several = np.maximum.reduceat(did[order], starts) > np.minimum.reduceat(did[order], starts)
+    return order, starts, several | np.logical_or.reduceat(~lone[order], starts)
+
+
+def _hash50(data: np.ndarray) -> np.ndarray:
+    """A hash of the 50 bytes at each place."""
+    p = powers(64)
+    h, x = data.astype(_U) + _U(1), {}
+    for s in (1, 2, 4, 8, 16):
+        x[s] = h
+        h = h[:-s] * p[s] + h[s:]
+    n = len(data) - LENGTH + 1
+    return mix64((h[:n] * p[16] + x[16][32 : 32 + n]) * p[2] + x[2][48 : 48 + n])
+
+
 def _least(key: np.ndarray, did: np.ndarray, lone: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray, crowded: int) -> np.ndarray:
     """For each of the pieces, ordered by key, and each of its windows the least id of the key's pieces that hold the window. lone: no other document has the piece."""
     out = np.repeat(did[:, None], int(size.max()), 1)
-    group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-    many = np.bincount(group)
-    crowd = many[group] > crowded
+    # what only one document has at either end of a piece, or in all of it, needs no sorting
+    piece, w = _windows(size)
+    length = size + LENGTH - 1
+    own, inside = _windows(length)
+    flat = data[at[own] + inside]
+    base = np.cumsum(length) - length
+    h = _hash50(flat)[base[piece] + w] ^ mix64(key)[piece]
+    order, starts, met = _met(h, did[piece], lone[piece])
+    shared = np.empty(len(h), bool)
+    shared[order] = np.repeat(met, np.diff(np.append(starts, len(h))))
+    if not shared.any():
+        return out
+    ends = np.cumsum(size)
+    before = np.cumsum(shared)
+    some = np.flatnonzero(np.add.reduceat(shared.astype(np.int64), ends - size) > 0)
+    first = np.searchsorted(before, (before - shared)[ends[some] - size[some]], "right")
+    last = np.searchsorted(before, before[ends[some] - 1], "left")
+    skip, size = first - (ends - size)[some], last - first + 1
+    at, base, group = base[some] + skip, base[some], np.cumsum(np.append(True, key[some][1:] != key[some][:-1])) - 1
+    data = flat
+    low = np.repeat(did[some][:, None], int(size.max()), 1)
+    crowd = np.bincount(group)[group] > crowded
     if crowd.any():
-        # each window of a crowded key is a key of its own, and equal ones are one piece; of those that one document has nothing is repeated
-        piece = np.repeat(np.flatnonzero(crowd), size[crowd])
-        w = np.arange(len(piece)) - np.repeat(np.cumsum(size[crowd]) - size[crowd], size[crowd])
-        own = np.zeros(len(piece), _U)
-        for j in range(LENGTH):
-            own = own * powers(2)[1] + data[at[piece] + w + j] + _U(1)
-        own = mix64(own ^ key[piece])
-        order = np.lexsort((did[piece], own))
-        new = np.append(True, own[order][1:] != own[order][:-1])
-        met = (np.maximum.reduceat(did[piece[order]], np.flatnonzero(new)) > did[piece[order[new]]]) | np.logical_or.reduceat(~lone[piece[order]], np.flatnonzero(new))
-        if met.any():
-            p = order[new][met]
-            low = np.full(len(met), _LAST)
-            low[met] = _least(own[p], did[piece[p]], lone[piece[p]], np.ones(len(p), np.int64), at[piece[p]] + w[p], data, crowded)[:, 0]
-            low, shared = low[np.cumsum(new) - 1], met[np.cumsum(new) - 1]
-            out[piece[order[shared]], w[order[shared]]] = low[shared]
-    todo = np.flatnonzero(~crowd)
-    total = np.bincount(group[todo], size[todo] + LENGTH, len(many))
-    todo = todo[np.lexsort((todo, group[todo], total[group[todo]]))]  # keys of about the same size together
+        # each shared window of a crowded key is a key of its own, and equal ones are one piece
+        p, w = _windows(size[crowd])
+        c = np.flatnonzero(crowd)[p]
+        k = h[first[c] + w]
+        go = np.flatnonzero(shared[first[c] + w])
+        order = go[np.lexsort((did[some][c[go]], k[go]))]
+        new = np.append(True, k[order][1:] != k[order][:-1])
+        one = order[new]
+        found = _sorted(np.arange(len(one)), did[some][c[one]], np.ones(len(one), np.int64), (at[c] + w)[one], data)[:, 0]
+        low[c[order], w[order]] = found[np.cumsum(new) - 1]
+    rest = np.flatnonzero(~crowd)
+    if len(rest):
+        found = _sorted(group[rest], did[some][rest], size[rest], at[rest], data)
+        low[rest, : found.shape[1]] = found
+    p, w = _windows(size)
+    out[some[p], skip[p] + w] = low[p, w]
+    return out
+
+
+def _sorted(group: np.ndarray, did: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each piece and window the least id of its group's pieces that hold the window, by their suffixes."""
+    out = np.repeat(did[:, None], int(size.max()), 1)
+    total = np.bincount(group, size + LENGTH)
+    todo = np.lexsort((np.arange(len(group)), group, total[group]))  # groups of about the same size together
     ends = np.cumsum(size[todo] + LENGTH)
     s = 0
     while s < len(todo):
@@ -544,14 +593,15 @@ def _repeated(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
     base = cut(salted.join(owners, ["sha", "salt"], "left").select("did", "tid", "n_bytes", "sha", F.coalesce("first", "did").alias("owner")), "dedup-owned")
     copies = base.filter("did > owner OR n_bytes < 50").select("did", "tid").distinct()
     total = base.filter("did = owner").agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_TEXT))  # several a task, so that tasks are alike
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST_TEXT))
+    buckets, homes = (max(1, tasks, math.ceil(total / x)) for x in (BUCKET_TEXT, HOME_TEXT))
 
     texts = docs.withColumn("tid", F.xxhash64("text", F.lit(1)))
     texts = only(texts, copies, ["did", "tid"], "left_anti")  # one row for each text, but for rows that repeat id and text
     hot = hot_keys(texts)
-    shared = cut(_shared_anchors(texts, hot, buckets), "dedup-anchors")
+    shared = cut(_shared_anchors(texts, hot, buckets, homes), "dedup-anchors")
     affected = only(texts, shared.select("did"), "did", "left_semi").join(shared, "did")
-    verdicts = cut(_verdicts(_cut_pieces(affected.select("did", "tid", "text", "high", "low"), hot, buckets), buckets), "dedup-verdicts")
+    verdicts = cut(_verdicts(_cut_pieces(affected.select("did", "tid", "text", "high", "low"), hot, buckets), homes), "dedup-verdicts")
     losing = only(texts, verdicts.select("did", "tid"), ["did", "tid"], "left_semi").join(verdicts, ["did", "tid"])
     return base, _apply(losing.select("did", "tid", "text", "first", "second"), with_text)
 
