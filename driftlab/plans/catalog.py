@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlab.plans import corpus, reports, robustness, streams
+from driftlab.plans import corpus, reports, robustness, selection, streams
 
-_PARTS = (robustness, corpus, streams, reports)
+_PARTS = (robustness, corpus, streams, reports, selection)
 
 
 def queries() -> dict:

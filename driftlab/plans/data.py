@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlab.operators import scoring
+from driftlab.sources.files import checkpoint_folder
 
 # The dimension of generators. g9 is unknown to it on purpose.
 GENERATORS = [("g0", "real", 2019, True), ("g1", "real", 2020, True), ("g2", "real", 2021, False), ("g3", "real", 2022, False), ("g4", "real", 2023, False), ("g5", "diffusion", 2021, True), ("g6", "diffusion", 2022, True), ("g7", "diffusion", 2023, False), ("g8", "gan", 2019, True)]
@@ -32,9 +33,15 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str, names=None) -> DataFrame:
-    """(row_id, path, y, generator, source, tier, view, ord, kind, p): every row in every view, scored by the head fitted on the clean view."""
+    """(row_id, path, y, generator, source, tier, view, ord, kind, p): every row in every view, scored by the head fitted on the clean view.
+
+    Reports read the scores several times, so they are written once and read back, the columns that a report needs.
+    """
     rows = embeddings(spark, sf_dir)
-    return scoring.score_views(rows, scoring.fit_centroid_head(rows), names)
+    scored = scoring.score_views(rows, scoring.fit_centroid_head(rows), names)
+    path, schema = checkpoint_folder(spark, "scores"), scored.schema
+    scored.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

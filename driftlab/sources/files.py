@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -16,8 +17,12 @@ MANIFEST = "image_path string, label int, source string, generator string"
 
 
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftlab-")
+    """A new folder below spark.checkpoint.dir; below a temporary one only in local mode, where none need be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="driftlab-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
