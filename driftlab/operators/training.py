@@ -1,17 +1,21 @@
-"""Trainable heads: MLlib logistic regression, an Arrow-scored MLP, and instrumented minibatch curves."""
+"""Trainable heads: MLlib logistic regressions and perceptrons, heads over many views, and instrumented minibatch curves."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlab.functions import vectors as V
+from driftlab.operators import views
+from driftlab.operators.manifests import exclude_generators
 
 
 def logistic_head(rows: DataFrame, vector: str = "x", label: str = "y", balance: bool = True) -> tuple[np.ndarray, float]:
@@ -27,23 +31,45 @@ def score_linear(rows: DataFrame, weights: np.ndarray, bias: float, vector: str
     return rows.withColumn("p", F.round(V.sigmoid(V.dot(F.col(vector), w) + F.lit(bias)), 9)).drop(vector)
 
 
-def mlp_weights(sizes: list[int], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    r = np.random.default_rng(seed)
-    return [(r.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
+def mlp_head(rows: DataFrame, hidden: Sequence[int] = (32,), vector: str = "x", label: str = "y", steps: int = 60, seed: int = 0):
+    """A multi-layer perceptron that MLlib trains on all executors, on standardized vectors: a fitted pipeline."""
+    first = rows.select(vector).first()
+    if first is None:
+        raise ValueError("a head can't be trained without rows")
+    layers = [len(first[0]), *hidden, 2]
+    stages = [StandardScaler(inputCol="_f", outputCol="_z", withMean=True), MultilayerPerceptronClassifier(featuresCol="_z", labelCol="_y", probabilityCol="_p", layers=layers, maxIter=steps, seed=seed)]
+    return Pipeline(stages=stages).fit(rows.select(array_to_vector(vector).alias("_f"), F.col(label).cast("double").alias("_y")))
 
 
-def score_mlp(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], vector: str = "x") -> DataFrame:
-    """Sigmoid of a multi-layer perceptron with ReLU, in Arrow batches; the layers are a few matrices."""
+def score_mlp(rows: DataFrame, model, vector: str = "x") -> DataFrame:
+    rest = [c for c in rows.columns if c != vector]
+    return model.transform(rows.withColumn("_f", array_to_vector(vector))).select(*rest, F.round(vector_to_array("_p")[1], 9).alias("p"))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            a = np.stack(x.to_numpy()) if len(x) else np.zeros((0, layers[0][0].shape[0]))
-            for k, (w, b) in enumerate(layers):
-                a = a @ w + b
-                a = np.maximum(a, 0) if k < len(layers) - 1 else a
-            yield pd.Series(1 / (1 + np.exp(-a[:, 0])))
 
-    return rows.withColumn("p", F.round(F.pandas_udf(run, "double")(F.col(vector)), 9)).drop(vector)
+def train_on_views(base: DataFrame, extra: Sequence[DataFrame], names: Sequence[str], exclude: Sequence[str] = (), fake_weight: float | None = None) -> dict:
+    """A logistic head over the views of a base corpus and of extra ones: a dict of mean, std, weights, bias, views and rows.
+
+    Rows: path, y, generator, x. The scaler comes from the base corpus as it is (its clean view), the excluded
+    generators are left out of all corpora, and the generated class has ``fake_weight`` (None: classes weigh alike).
+    """
+    if "clean" not in names:
+        raise ValueError("the clean view is required")
+    pick = lambda df: exclude_generators(df, exclude).select("path", "y", "generator", "x")
+    base = pick(base)
+    mean, std = (next(iter(base.select(f(array_to_vector("x"))).first())).toArray() for f in (Summarizer.mean, Summarizer.std))
+    n = base.count()
+    std = std * np.sqrt((n - 1) / n) if n > 1 else np.zeros_like(std)  # the population's deviation
+    std[std == 0] = 1.0
+    rows = base
+    for e in extra:
+        rows = rows.unionByName(pick(e))
+    z = V.standardize(F.col("x"), F.array(*map(F.lit, mean.tolist())), F.array(*map(F.lit, std.tolist())))
+    seen = views.expand_views(rows, list(names)).withColumn("x", z)
+    c = seen.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
+    weight = float(c["n"] or 1) / max(1, c["p"] or 0) if fake_weight is None else float(fake_weight)
+    w = F.when(F.col("y") == 1, F.lit(weight)).otherwise(F.lit(1.0))
+    m = LogisticRegression(featuresCol="f", labelCol="y", weightCol="w", regParam=0.01, maxIter=50).fit(seen.select(array_to_vector("x").alias("f"), F.col("y").cast("double").alias("y"), w.alias("w")))
+    return {"mean": mean.tolist(), "std": std.tolist(), "weights": m.coefficients.toArray().tolist(), "bias": float(m.intercept), "views": list(names), "rows": int((c["n"] or 0) + (c["p"] or 0))}
 
 
 def minibatch_curve(rows: DataFrame, order: str, vector: str = "x", label: str = "y", batch: int = 128, epochs: int = 2, rate: float = 0.5) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from driftlab.functions import vectors as V
 from driftlab.operators import metrics as M
+from driftlab.operators import scoring, training
 from driftlab.operators import selection as S
 from driftlab.plans import data
 from driftlab.plans.robustness import _ALL, _CLEAN, _DIM, _RATES, SHIP
 from driftlab.plans.sql_views import auc_sql, scores_cte
+from driftlab.sources.files import checkpoint_folder, read_head, write_head
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -168,6 +170,26 @@ def head_ensembles(spark, sf_dir):
     return M.auc(s, ("heads", "averaged")).select("heads", "averaged", "auc")
 
 
+@query(_CLEAN + "SELECT row_id, y, p FROM scores")
+def head_round_trip(spark, sf_dir):
+    """The fitted head written as a table, read back with its backbone checked, and applied to the clean view."""
+    e = data.embeddings(spark, sf_dir).select("row_id", "y", "x")
+    path = checkpoint_folder(spark, "head")
+    write_head(spark, scoring.fit_centroid_head(e).first().asDict(), "vec64", path)
+    return scoring.score(e, read_head(spark, path, "vec64")).select("row_id", "y", "p")
+
+
+@query()
+def multi_view_head(spark, sf_dir):
+    """A head trained on some views of one tier and extra rows of another, reported on all views: which it has not seen, and its AUC there."""
+    e = data.embeddings(spark, sf_dir)
+    learned = ["clean", "jpeg_q30", "chain_heavy"]
+    head = training.train_on_views(e.filter("tier = 'val'"), [e.filter("tier = 'social'")], learned, exclude=["g9"])
+    h = spark.createDataFrame([tuple(head[k] for k in ("mean", "std", "weights", "bias"))], "mean array<double>, std array<double>, weights array<double>, bias double")
+    s = scoring.score_views(e.filter("tier = 'ood'"), h)
+    return M.auc(s, ("view",)).select("view", F.col("view").isin(learned).alias("learned"), "auc")
+
+
 _WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in S.POISSON)
 
 

@@ -122,7 +122,8 @@ def lr_head(spark, sf_dir):
 
 @query()
 def mlp_head(spark, sf_dir):
-    return training.score_mlp(data.embeddings(spark, sf_dir).select("row_id", "y", "x"), training.mlp_weights([64, 32, 1]))
+    e = data.embeddings(spark, sf_dir).select("row_id", "y", "x")
+    return training.score_mlp(e, training.mlp_head(e))
 
 
 @query()

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,57 @@ def read_view_cache(spark: SparkSession, path: str, backbone: str, stem: str, vi
     return df
 
 
+def find_caches(spark: SparkSession, path: str, backbone: str, stem: str, wanted: Sequence[str]) -> list[str]:
+    """The wanted views that a cache has, in the order asked for; without the clean one, or with two backbones' vectors in one view, it raises."""
+    df = spark.read.parquet(path).filter((F.col("backbone") == backbone) & (F.col("stem") == stem)).groupBy("view").agg(F.countDistinct("view_fingerprint").alias("n"))
+    have = {r["view"]: r["n"] for r in df.collect()}  # one row a view
+    mixed = sorted(v for v, n in have.items() if n > 1 and v in wanted)
+    if mixed:
+        raise ValueError(f"views with more than one fingerprint: {', '.join(mixed)}")
+    if "clean" in wanted and "clean" not in have:
+        raise ValueError(f"{backbone} has no clean view of {stem}")
+    return [v for v in wanted if v in have]
+
+
+def embed_or_reuse(spark: SparkSession, path: str, backbone: str, stem: str, fingerprints: dict[str, str], embed: Callable[[list[str]], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """(the cached vectors of all views in fingerprints, the views that had to be made): views that are missing or stale are embedded and written."""
+    try:
+        df = spark.read.parquet(path).filter((F.col("backbone") == backbone) & (F.col("stem") == stem))
+        have = {r["view"]: r["f"] for r in df.groupBy("view").agg(F.collect_set("view_fingerprint").alias("f")).collect()}
+    except AnalysisException:  # nothing is there yet
+        have = {}
+    todo = [v for v, f in fingerprints.items() if have.get(v) != [f]]
+    if todo:
+        stamp = F.create_map(*[F.lit(x) for v in todo for x in (v, fingerprints[v])])
+        write_view_cache(embed(todo).withColumns({"backbone": F.lit(backbone), "stem": F.lit(stem), "view_fingerprint": stamp[F.col("view")]}), path)
+    return read_view_cache(spark, path, backbone, stem, list(fingerprints), fingerprints), todo
+
+
+def write_new(df: DataFrame, path: str) -> None:
+    """Writes a corpus where there is none: one that is there is not mixed with another."""
+    df.write.mode("errorifexists").parquet(path)
+
+
+HEAD = "backbone string, mean array<double>, std array<double>, weights array<double>, bias double, views array<string>"
+
+
+def write_head(spark: SparkSession, head: dict, backbone: str, path: str) -> None:
+    """A head as a table of one row, with the backbone whose vectors it reads."""
+    row = (backbone, *[list(map(float, head[k])) for k in ("mean", "std", "weights")], float(head["bias"]), list(head.get("views", ["clean"])))
+    spark.createDataFrame([row], HEAD).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_head(spark: SparkSession, path: str, backbone: str) -> DataFrame:
+    """The one row of a head; a head of another backbone, or one that has not learned the clean view, raises."""
+    df = spark.read.schema(HEAD).parquet(path)
+    r = df.select("backbone", "views").first()
+    if r is None or r["backbone"] != backbone:
+        raise ValueError(f"a head of {r['backbone'] if r else 'no backbone'}, not of {backbone}")
+    if "clean" not in (r["views"] or []):
+        raise ValueError("a head that has not learned the clean view")
+    return df.select("mean", "std", "weights", "bias")
+
+
 def write_per_source(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("source").option("header", True).csv(path)
 

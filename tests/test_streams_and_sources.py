@@ -117,7 +117,7 @@ def test_heads_learn(spark):
     assert sum((x.p >= 0.5) == x.y for x in got) > 320
     curve = training.minibatch_curve(df, "row_id", epochs=4).orderBy("step").collect()
     assert curve[-1].batch_loss < curve[0].batch_loss
-    assert training.score_mlp(df, training.mlp_weights([2, 8, 1])).filter("p BETWEEN 0 AND 1").count() == 400
+    assert training.score_mlp(df, training.mlp_head(df, (8,))).filter("p BETWEEN 0 AND 1").count() == 400
 
 
 def test_arms_mirrors_reports_and_audits(spark, tmp_path):
