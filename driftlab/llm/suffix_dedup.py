@@ -593,8 +593,9 @@ def _repeated(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
     base = cut(salted.join(owners, ["sha", "salt"], "left").select("did", "tid", "n_bytes", "sha", F.coalesce("first", "did").alias("owner")), "dedup-owned")
     copies = base.filter("did > owner OR n_bytes < 50").select("did", "tid").distinct()
     total = base.filter("did = owner").agg(F.sum("n_bytes")).first()[0] or 0
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST_TEXT))
-    buckets, homes = (max(1, tasks, math.ceil(total / x)) for x in (BUCKET_TEXT, HOME_TEXT))
+    tasks, most = int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST_TEXT)
+    buckets = max(1, min(4 * tasks, most), math.ceil(total / BUCKET_TEXT))  # several a task, so that tasks are alike
+    homes = max(1, min(tasks, most), math.ceil(total / HOME_TEXT))
 
     texts = docs.withColumn("tid", F.xxhash64("text", F.lit(1)))
     texts = only(texts, copies, ["did", "tid"], "left_anti")  # one row for each text, but for rows that repeat id and text
