@@ -58,7 +58,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 # --- batches of texts --------------------------------------------------------------------------
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 

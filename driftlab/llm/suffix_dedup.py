@@ -48,7 +48,7 @@ SAMPLE, SAMPLE_BYTES, HOT, CROWD = 4_000, 32 << 20, 12, 64
 PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24 bits
 BLOCK_TEXT = 8 << 20  # bytes of documents whose anchors or pieces leave a task together
 BUCKET_TEXT, HOME_TEXT, LEAST_TEXT = 8 << 20, 32 << 20, 1 << 20  # bytes of documents for each bucket of anchors, each group of documents that verdicts come back to, and each task at least
-LOT_PIECES, LOT_BYTES = 20_000, 1 << 18  # pieces that are judged, and numbers that are sorted, together
+LOT_PIECES, LOT_BYTES = 10_000, 1 << 17  # pieces that are judged, and numbers that are sorted, together
 SALTS = 32  # parts of a text's copies
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
