@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlab.plans import corpus, reports, robustness, selection, streams
+from driftlab.plans import corpus, reports, robustness, selection, stores, streams
 
-_PARTS = (robustness, corpus, streams, reports, selection)
+_PARTS = (robustness, corpus, streams, reports, selection, stores)
 
 
 def queries() -> dict:

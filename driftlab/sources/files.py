@@ -43,6 +43,15 @@ def read_indexes(spark: SparkSession, folder: str) -> DataFrame:
     return keep_first(df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}), "image_path", ["_file", "_at"]).drop("_file", "_at")
 
 
+def read_by_source(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """All *_index.csv of several folders, each file under one source: that of its first row, or the file's stem if it names none there."""
+    df = spark.read.option("header", True).schema(MANIFEST).option("enforceSchema", False).csv([f"{f}/*_index.csv" for f in folders])
+    df = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    named = df.groupBy("_file").agg(F.min_by(F.struct("source"), "_at")["source"].alias("_named"))  # one row a file
+    stem = F.regexp_extract("_file", r"([^/]+)_index\.csv$", 1)
+    return df.drop("source").join(named, "_file").select("image_path", "label", F.coalesce(F.nullif(F.trim("_named"), F.lit("")), stem).alias("source"), "generator")
+
+
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, suffix) of the images below a folder, whatever the case of their suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
