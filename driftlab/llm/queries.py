@@ -16,6 +16,9 @@ MODULES = {
     "op8_chat_format": "chat",
     "op9_transport_streams": "media",
     "op10_mix_sources": "mixing",
+    "op11_vector_codes": "vector_codes",
+    "op12_ball_tree": "ball_tree",
+    "op13_token_files": "token_files",
 }
 
 

@@ -5,7 +5,7 @@ import pytest
 from driftlab.llm import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
-TABLE = {"op1": "pages", "op5": "pages", "op8": "conversations"}
+TABLE = {"op1": "pages", "op5": "pages", "op8": "conversations", "op11": "embeddings", "op12": "embeddings"}
 #: what the queries must return at least: column -> type
 CONTRACT = {
     "op1": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
@@ -18,6 +18,9 @@ CONTRACT = {
     "op8": {"conv_id": "bigint", "turn": "bigint", "role": "string", "json": "string"},
     "op9": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
     "op10": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op11": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op12": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+    "op13": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
 }
 
 
