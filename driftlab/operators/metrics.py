@@ -34,9 +34,15 @@ def cumulative(df: DataFrame, by: By, p: str = "p", columns: Sequence[str] = ("n
 
 def auc(df: DataFrame, by: By = (), digits: int = 6) -> DataFrame:
     """(by, auc, n_pos, n_neg): area under the ROC curve, ties counting half; null where a class is missing."""
-    d = cumulative(distinct_scores(df, by), by)
+    s = auc_of_counts(distinct_scores(df, by), by)
+    return s.withColumn("auc", F.round("auc", digits))
+
+
+def auc_of_counts(counts: DataFrame, by: By = ()) -> DataFrame:
+    """auc, not rounded, of what distinct_scores counted; counts may be weights."""
+    d = cumulative(counts, by)
     s = d.groupBy(*by).agg(F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg"))).alias("s"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return s.select(*by, F.round(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("s") / (2.0 * F.col("n_pos") * F.col("n_neg"))), digits).alias("auc"), "n_pos", "n_neg")
+    return s.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("s") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
 def tpr(t: Column, p: str = "p", y: str = "y") -> Column:

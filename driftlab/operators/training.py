@@ -72,31 +72,6 @@ def train_on_views(base: DataFrame, extra: Sequence[DataFrame], names: Sequence[
     return {"mean": mean.tolist(), "std": std.tolist(), "weights": m.coefficients.toArray().tolist(), "bias": float(m.intercept), "views": list(names), "rows": int((c["n"] or 0) + (c["p"] or 0))}
 
 
-def minibatch_curve(rows: DataFrame, order: str, vector: str = "x", label: str = "y", batch: int = 128, epochs: int = 2, rate: float = 0.5) -> DataFrame:
-    """(step, epoch, n, batch_loss) of gradient descent on a linear head, whose gradient of each minibatch Spark sums up.
-
-    Steps follow one another, so each is a small job; for curves of a head, not for training large ones (see logistic_head).
-    """
-    spark = rows.sparkSession
-    d = len(rows.select(vector).first()[0])
-    w, b, out, step = np.zeros(d), 0.0, [], 0
-    numbered = rows.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(max(1, rows.count() // batch)))).cache()
-    batches = sorted(r[0] for r in numbered.select("_b").distinct().collect())
-    for epoch in range(1, epochs + 1):
-        for k in batches:
-            wa = F.array(*[F.lit(float(v)) for v in w])
-            z = V.dot(F.col(vector), wa) + F.lit(float(b))
-            p = V.sigmoid(z)
-            part = numbered.filter(F.col("_b") == k).select(vector, (p - F.col(label)).alias("g"), F.when(F.col(label) == 1, -F.log(p + 1e-12)).otherwise(-F.log(1 - p + 1e-12)).alias("loss"))
-            r = part.agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"), F.avg("g").alias("gb"), F.array(*[F.avg(F.col("g") * F.get(vector, F.lit(i))) for i in range(d)]).alias("gw")).first()
-            step += 1
-            out.append((step, epoch, r["n"], float(r["loss"])))
-            w, b = w - rate * np.array(r["gw"]), b - rate * r["gb"]
-    numbered.unpersist()
-    return spark.createDataFrame(out, "step int, epoch int, n long, batch_loss double")
-
-
-
 def run_arms(spark, arms: dict, status: str) -> dict:
     """Runs each arm, a function of the session, after the other; one that fails doesn't stop the rest. Appends a status row an arm; returns the results."""
     import time

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlab.plans import corpus, reports, robustness, selection, stores, streams
+from driftlab.plans import corpus, fits, reports, robustness, selection, stores, streams
 
-_PARTS = (robustness, corpus, streams, reports, selection, stores)
+_PARTS = (robustness, corpus, streams, reports, selection, stores, fits)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftlab.functions import vectors as V
+from driftlab.operators import frames
 from driftlab.operators import metrics as M
 from driftlab.operators import views
 from driftlab.plans import data
@@ -107,8 +108,8 @@ def disjoint_slices(spark, sf_dir):
 @query(f"{_E} SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 6 AS batch FROM e")
 def micro_batches(spark, sf_dir):
     """Each key's rows in batches of six."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return data.stream_scores(spark, sf_dir).select("user_id", "event_id", F.floor((F.row_number().over(w) - 1) / 6).cast("long").alias("batch"))
+    e = data.stream_scores(spark, sf_dir).select("user_id", "event_id", "ts")
+    return frames.numbered(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.floor(F.col("n") / 6).cast("long").alias("batch"))
 
 
 @query(f"{_E}, b AS (SELECT *, (event_id // 6)::BIGINT AS batch, event_type = 'error' AS failed FROM e) SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY failed DESC, event_id) AS place, event_id, CASE WHEN NOT failed THEN pred END AS pred, CASE WHEN failed THEN 'unreadable' END AS error FROM b")

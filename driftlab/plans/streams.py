@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driftlab.operators import frames, training
 from driftlab.operators import metrics as M
-from driftlab.operators import scoring, training
 from driftlab.plans import data
 from driftlab.plans.sql_views import scores_cte
 from driftlab.streaming import scores as S
@@ -70,15 +69,15 @@ def ema_scores(spark, sf_dir):
 
 @query(f"{_E} SELECT event_id, round(avg(pred) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 99 PRECEDING), 6) AS trailing FROM e")
 def trailing_mean(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return data.stream_scores(spark, sf_dir).select("event_id", F.round(F.avg("pred").over(w), 6).alias("trailing"))
+    e = data.stream_scores(spark, sf_dir)
+    return frames.trailing(e, ["user_id"], ["ts", "event_id"], {"trailing": F.avg("pred")}, 100).select("event_id", F.round("trailing", 6).alias("trailing"))
 
 
 @query(f"{_E} SELECT event_id, date_trunc('day', ts)::DATE::VARCHAR AS epoch, round(sum(pred) OVER w / count(*) OVER w, 6) AS running FROM e WINDOW w AS (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def cumulative_mean(spark, sf_dir):
-    day = F.date_trunc("day", "ts")
-    w = Window.partitionBy("user_id", day).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return data.stream_scores(spark, sf_dir).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("epoch"), F.round(F.sum("pred").over(w) / F.count(F.lit(1)).over(w), 6).alias("running"))
+    e = data.stream_scores(spark, sf_dir).withColumn("epoch", F.date_format("ts", "yyyy-MM-dd"))
+    out = frames.cumulative(e, ["user_id", "epoch"], ["ts", "event_id"], {"_s": F.col("pred"), "_n": F.lit(1)})
+    return out.select("event_id", "epoch", F.round(F.col("_s") / F.col("_n"), 6).alias("running"))
 
 
 @query(f"{_E} SELECT event_type, arg_max(event_id, (ts, event_id)) AS last_event, round(arg_max(pred, (ts, event_id)), 6) AS last_pred, round(sum(pred * 2) / sum(2), 6) AS weighted FROM e GROUP BY event_type")
@@ -126,11 +125,6 @@ def mlp_head(spark, sf_dir):
     return training.score_mlp(e, training.mlp_head(e))
 
 
-@query()
-def minibatch_curve(spark, sf_dir):
-    return training.minibatch_curve(data.embeddings(spark, sf_dir).select("row_id", "y", "x"), "row_id", epochs=1)
-
-
 def _streamed(spark, out, name: str):
     """The rows of a stream that has read all there is, through a Parquet sink in the shared folder."""
     from driftlab.sources.files import checkpoint_folder

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from driftlab.operators import training, views
+from driftlab.operators import local_sgd, training, views
 from driftlab.sources import files
 from driftlab.streaming import scores as S
 
@@ -115,7 +115,7 @@ def test_heads_learn(spark):
     assert w[0] > 0.5 > abs(w[1])
     got = training.score_linear(df, w, b).collect()
     assert sum((x.p >= 0.5) == x.y for x in got) > 320
-    curve = training.minibatch_curve(df, "row_id", epochs=4).orderBy("step").collect()
+    curve = local_sgd.train(df, "row_id", epochs=4, rate=0.05).steps.orderBy("step").collect()
     assert curve[-1].batch_loss < curve[0].batch_loss
     assert training.score_mlp(df, training.mlp_head(df, (8,))).filter("p BETWEEN 0 AND 1").count() == 400
 
