@@ -67,6 +67,17 @@ def cumulative(df: DataFrame, key: Sequence[str], order: Sequence[str], columns:
     return out.withColumns(made).drop("__n", "__chunk", *[f"_b{i}" for i in range(len(columns))])
 
 
+def filled(df: DataFrame, key: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+    """df with name: the last value of a column that is not null, up to each row of its key."""
+    dealt = _dealt(df, [*key, *order])
+    per = dealt.groupBy("_part", *key).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and key
+    per = per.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).filter("_carry IS NOT NULL").drop("_last")  # at most one key a range
+    inside = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _joined(dealt, F.broadcast(per), ["_part", *key])
+    return out.withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("_carry"))).drop("_part", "_carry")
+
+
 def neighbours(left: DataFrame, right: DataFrame, at: str, take: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """left with before and after: of right's rows of the same key, the place and ``take`` of the last at or before its own place, and of the first beyond.
 

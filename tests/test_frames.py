@@ -67,3 +67,13 @@ def test_nearest_equals_brute_force(spark, by):
         near = min((x for x in (before, after) if x), key=lambda x: (abs(x[0] - o), x[0]), default=None)
         assert tuple(x and tuple(x) for x in got[i]) == (before, after, near)
 
+
+
+def test_filled_takes_the_last_value_over_ranges(spark):
+    rows = made(400, 5)
+    got = {r.id: r.last for r in R.filled(spark.createDataFrame(rows, ROWS).repartition(6), ["k"], ["o"], "v", "last").collect()}
+    for own in keyed(rows).values():
+        last = None
+        for r in own:
+            last = r[2] if r[2] is not None else last
+            assert got[r[3]] == last
