@@ -84,6 +84,9 @@ def score_views(rows: DataFrame, head: DataFrame, names=None, vector: str = "x",
 
     Does what score(expand_views(rows), head) does, an order of magnitude faster: array expressions are interpreted
     value by value, numpy takes a batch at once. The head, one row as long as the vector, is fitted first.
+
+    Rows without a path, or whose vector is null, of another length than the head or holds null or non-finite components,
+    have a null p in every view.
     """
     h = head.first()
     chosen, order = views.select_views(names, scored_only), {n: i for i, n in enumerate(views.view_steps())}
@@ -101,8 +104,13 @@ def score_views(rows: DataFrame, head: DataFrame, names=None, vector: str = "x",
             n = b.num_rows
             if not n:
                 continue
-            x = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-            keys = [k.encode() for k in b.column(rest.index(path)).to_pylist()]
+            lengths = np.nan_to_num(np.asarray(flat.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+            fits = lengths == len(w)
+            x = np.zeros((n, len(w)))
+            x[fits] = flat.flatten().to_numpy(zero_copy_only=False).astype(float)[np.repeat(fits, lengths)].reshape(-1, len(w))
+            keys = [(k or "").encode() for k in b.column(rest.index(path)).to_pylist()]
+            fits &= np.isfinite(x).all(axis=1) & b.column(rest.index(path)).is_valid().to_numpy(zero_copy_only=False)
+            x[~fits] = 0.0
             for name in chosen:
                 tail = f"::{name}::path-v1".encode()
                 seeds = np.array([int.from_bytes(hashlib.sha1(k + tail).digest()[:4], "little") for k in keys], np.int64) if draws[name] else np.zeros(n, np.int64)
@@ -111,7 +119,7 @@ def score_views(rows: DataFrame, head: DataFrame, names=None, vector: str = "x",
                 for i in range(z.shape[1]):  # in the order of the places, as the expressions add up
                     s += z[:, i] * w[i]
                 p = np.round(1.0 / (1.0 + np.exp(-(s + bias))), digits)
-                made = [pa.array([name] * n), pa.array(np.full(n, order[name], np.int32)), pa.array(["chain" if views.is_chain(name) else "single"] * n), pa.array(p)]
+                made = [pa.array([name] * n), pa.array(np.full(n, order[name], np.int32)), pa.array(["chain" if views.is_chain(name) else "single"] * n), pa.array(p, mask=~fits)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), *made], [*rest, "view", "ord", "kind", "p"])
 
     kinds = dict(rows.dtypes)

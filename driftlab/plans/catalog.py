@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlab.plans import corpus, fits, live, reports, robustness, selection, stores, streams
+from driftlab.plans import checks, corpus, fits, live, reports, robustness, selection, stores, streams
 
-_PARTS = (robustness, corpus, streams, reports, selection, stores, fits, live)
+_PARTS = (robustness, corpus, streams, reports, selection, stores, fits, live, checks)
 
 
 def queries() -> dict:
