@@ -14,7 +14,7 @@ few large values don't widen all. The index of block starts lets a reader decode
 Documents are dealt by ranges of their ids and sorted within; tasks tokenise, pack and write through Spark's text sink,
 so that a lost task leaves no half file (a segment ends with the sink's line feed), and Spark reads the files back whole;
 they hold SEGMENTS_A_FILE segments of about SEGMENT tokens, or one longer document. Words between white space are tokenised
-alone and kept in a cache of bounded size: the tokeniser drops white space, which no token or normal form crosses.
+alone and kept in caches of bounded size: the tokeniser drops white space, which no token or normal form crosses.
 
 Nulls: a null text counts as empty, so it has the end id alone; null ids come first and stay null. Rows with the same id
 follow each other by their texts' hashes, repeated rows each have tokens of their own. Very long texts are one segment. An
@@ -23,6 +23,7 @@ empty table gives no rows. Only the columns id and text are read, so extra ones
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -37,23 +38,29 @@ from driftlab.llm.common import cut, in_arrow, shared_dir, table
 VOCABULARY, END = "word_bpe_49k.json", 2
 BLOCK, PERCENTILE = 256, 0.9
 SEGMENT, SEGMENTS_A_FILE = 1 << 18, 12
-CACHED_WORDS, CACHED_BYTES = 200_000, 40
+CACHED_WORDS, CACHED_BYTES = 500_000, 40  # of a generation of words (but for one piece's), and of a word
+PIECE = 1 << 16
 HEADER = struct.Struct("<4sQIQQQQ")
 STREAM = struct.Struct("<QI")
 BLOCK_HEAD = np.dtype([("least", "<i8"), ("width", "u1"), ("exceptions", "<u2")])
-SPACES = re.compile("[ \t\n\r]+")
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+KEEPS_CASE = (b"<|", b"\xcc", b"\xcd")  # special tokens; marks that join capitals and small letters differently
+TAILS = b".,;:!?&%#$*()"  # punctuation that may follow letters as a piece of its own: not the apostrophe, nor what special tokens hold
+MOVING = re.compile("[\u03a3\u0130]")  # letters whose lower case differs by place or has more than one character
 
 
 # --- patched frame-of-reference blocks -----------------------------------------------------------
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(x.shape, np.int64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        large = x >> np.uint64(shift) > 0
-        out += large * shift
-        x = np.where(large, x >> np.uint64(shift), x)
-    return out + (x > 0)
+    high = x >> np.uint64(32)  # halves fit a double
+    top, low = (np.frexp(h.astype(np.float64))[1].astype(np.int64) for h in (high, x & np.uint64(0xFFFFFFFF)))
+    return np.where(high > 0, top + 32, low)
+
+
+def _lane(width: int) -> np.dtype:
+    """The least unsigned integers that hold a width."""
+    return np.dtype(f"<u{next(b for b in (1, 2, 4, 8) if 8 * b >= width)}")
 
 
 def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -68,11 +75,12 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     off = padded.astype(np.uint64) - least.astype(np.uint64)[:, None]  # differences wrap as they should
     at = min(block - 1, int(percentile * block))
     width = _bit_length(np.partition(off, at, axis=1)[:, at])
-    over = _bit_length(off) > width[:, None]
+    over = (off >> np.minimum(width, 63).astype(np.uint64)[:, None] > 0) & (width < 64)[:, None]
     body: list[bytes] = [b""] * blocks
     for w in np.unique(width):  # all blocks of a width at once
         own = np.flatnonzero(width == w)
-        bits = (off[own][:, :, None] >> np.arange(w, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        lane = _lane(w)
+        bits = np.unpackbits(off[own].astype(lane).view(np.uint8).reshape(-1, lane.itemsize), axis=1, count=w, bitorder="little")
         packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
         for i, row in zip(own, packed):
             body[i] = row.tobytes()
@@ -117,11 +125,16 @@ def unpack(data: memoryview, at: int = 0, first: int = 0, last: int | None = Non
     for w in np.unique(heads["width"]):
         own = np.flatnonzero(heads["width"] == w)
         if w:
-            bits = np.unpackbits(raw[body[own, None] + np.arange((block * int(w) + 7) // 8)], axis=1, count=block * int(w), bitorder="little").reshape(len(own), block, int(w))
-            for j in range(int(w)):
-                off[own] |= bits[:, :, j].astype(np.uint64) << np.uint64(j)
+            w, lane = int(w), _lane(w)
+            size = (block * w + 7) // 8
+            packed = np.frombuffer(b"".join([data[at : at + size] for at in body[own].tolist()]), np.uint8)
+            bits = np.unpackbits(packed.reshape(len(own), size), axis=1, count=block * w, bitorder="little")
+            wide = np.zeros((len(own) * block, 8 * lane.itemsize), np.uint8)
+            wide[:, :w] = bits.reshape(-1, w)
+            off[own] = np.packbits(wide, axis=1, bitorder="little").view(lane).reshape(len(own), block)
+    ends = body + sizes(heads)
     for i in np.flatnonzero(heads["exceptions"]):
-        k, p = int(heads["exceptions"][i]), int(body[i] + sizes(heads[i]))
+        k, p = int(heads["exceptions"][i]), int(ends[i])
         off[i, np.frombuffer(data, "<u2", k, p)] |= np.frombuffer(data, "<u8", k, p + 2 * k) << np.uint64(heads["width"][i])
     values = (off + heads["least"].astype(np.uint64)[:, None]).astype(np.int64).ravel()
     return values[first - lo * block : last - lo * block], end
@@ -166,24 +179,106 @@ def ids_at(content: bytes, first: int, last: int) -> np.ndarray:
 # --- words to tokens -----------------------------------------------------------------------------
 
 
-class Words(dict):
-    """Words without white space -> their tokens as little-endian 32-bit integers."""
+class Words:
+    """Texts to tokens, through words that are kept with their tokens (little-endian 32-bit integers) in two generations.
+
+    A word is what stands between ASCII white space, in UTF-8. Letters before punctuation are a piece of their own, whose case
+    doesn't matter; those not met before are tokenised in one go, as each piece ends with a token that ends words.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        out = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-    def tokens(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, SPACES.split(text or ""))))
+        self.new, self.old = {}, {}
+        ends = [i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[ends] = True
+
+    def tokens(self, texts: list[bytes]) -> list[bytes]:
+        """The tokens of each text; texts of about PIECE together, or pieces of a longer one, are looked up in one go."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        lot, size = [], 0
+        for i, text in enumerate(texts):
+            if not any(x in text for x in KEEPS_CASE):
+                text = text.lower()  # ASCII letters, as the tokeniser does it later
+            at = 0
+            while at < len(text):
+                cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
+                to = cut.start() if cut else len(text)
+                lot.append((i, text[at:to].split()))
+                size += to - at
+                at = to
+                if size >= PIECE:
+                    self._look_up(lot, out)
+                    lot, size = [], 0
+        self._look_up(lot, out)
+        return [b"".join(x) for x in out]
+
+    def _look_up(self, lot: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        known = self._learn(set().union(*(words for _, words in lot)).difference(self.new))
+        get = self.new.get
+        for i, words in lot:
+            found = list(map(get, words))
+            if None in found:  # long words, and those of a generation that has just become the old one
+                found = [known.get(w) or self.old[w] if f is None else f for w, f in zip(words, found)]
+            out[i].append(b"".join(found))
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The tokens of words that the new generation doesn't have, which it then has but for long ones."""
+        known, whole, rest, need, cut, old = {}, [], set(), set(), [], self.old
+        for w in words:
+            t = old.get(w)
+            if t is not None:
+                known[w] = t
+                continue
+            letters = w.rstrip(TAILS)
+            if letters.isalpha():  # ASCII letters
+                piece = letters if letters.islower() else letters.lower()
+            else:
+                text = letters.decode("utf-8", "replace")
+                if not text.isalpha() or MOVING.search(text):
+                    whole.append(w)
+                    continue
+                piece = text.lower().encode()
+            if piece == w:
+                rest.add(w)
+            else:
+                tail = w[len(letters) :]
+                need.add(piece)
+                if tail:
+                    need.add(tail)
+                cut.append((w, piece, tail))
+        for p in need - rest:
+            t = self.new.get(p) or old.get(p)
+            if t is None:
+                rest.add(p)
+            else:
+                known[p] = t
+        rest = list(rest)
+        if rest:
+            ids = np.array(self._ids([b" ".join(rest)])[0], "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) != len(rest):
+                raise ValueError("the vocabulary doesn't end each word with a token of its own")
+            data = ids.tobytes()
+            known |= {p: data[4 * a : 4 * b] for p, a, b in zip(rest, [0, *last], last)}
+        for w, piece, tail in cut:
+            known[w] = known[piece] + known[tail] if tail else known[piece]
+        known |= {w: np.array(i, "<u4").tobytes() for w, i in zip(whole, self._ids(whole) if whole else ())}
+        if len(self.new) + len(known) > CACHED_WORDS:
+            self.new, self.old = {}, self.new
+        self.new.update((w, t) for w, t in known.items() if len(w) <= CACHED_BYTES)
+        return known
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+
+@functools.cache
+def words_of_worker(path: str) -> Words:
+    """One for all tasks that a worker runs."""
+    return Words(path)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -206,7 +301,7 @@ def write(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", voca
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, words, start, stop = TaskContext.get().partitionId(), Words(vocabulary), 0, np.array([end], "<u4").tobytes()
+        task, words, start, stop = TaskContext.get().partitionId(), words_of_worker(vocabulary), 0, np.array([end], "<u4").tobytes()
         ids, counts, parts, held = [], [], [], 0
 
         def full():
@@ -214,8 +309,9 @@ def write(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", voca
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["segment"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                tokens = words.tokens(t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else None) + stop
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
+            for i, tokens in zip(b.column(0).to_pylist(), words.tokens(texts)):
+                tokens += stop
                 n = len(tokens) // 4
                 if held and held + n > size:
                     yield full()

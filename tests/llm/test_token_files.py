@@ -60,18 +60,27 @@ def test_empty_table(spark, tmp_path):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x85  'sStTσΣς́ͅİß<|>endoftext1#ǅ"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x85  'sSt,.!&T(σΣς́ͅİß<|>endoftext1#ǅ"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_words_are_tokenised_as_whole_texts_are(text):
     words = all_words()
-    assert np.frombuffer(words.tokens(text), "<u4").tolist() == words.model.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.tokens([text.encode()])[0], "<u4").tolist() == words.model.encode(text, add_special_tokens=False).ids
 
 
 def test_the_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(T, "CACHED_WORDS", 10)
     words = T.Words(T.vocabulary_path())
     for i in range(50):
-        words.tokens(f"w{i} " + "z" * 100)
-    assert len(words) <= 10 and all(len(w) <= T.CACHED_BYTES for w in words)
+        words.tokens([f"w{i} Wx{i}, ".encode() + b"z" * 100])
+    assert len(words.new) <= 13 and len(words.old) <= 13 and all(len(w) <= T.CACHED_BYTES for w in words.new | words.old)
+
+
+def test_pieces_and_generations_give_the_same_tokens(monkeypatch):
+    whole = [t.encode() for t in texts(60, 9)] + [b"Hello, hello HELLO!? &&& hello,, \xc3\x89t\xc3\xa9. \xe2\x84\xabB", "J̌ ǰ É <|ENDOFTEXT|> A<|endoftext|>b".encode()]
+    want = [np.array(all_words().model.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in whole]
+    monkeypatch.setattr(T, "CACHED_WORDS", 7)
+    monkeypatch.setattr(T, "PIECE", 20)
+    small = T.Words(T.vocabulary_path())
+    assert small.tokens(whole) == [small.tokens([t])[0] for t in whole] == want == all_words().tokens(whole)
 
 
 @settings(max_examples=150, deadline=None)
