@@ -46,7 +46,7 @@ BLOCK_HEAD = np.dtype([("least", "<i8"), ("width", "u1"), ("exceptions", "<u2")]
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 KEEPS_CASE = (b"<|", b"\xcc", b"\xcd")  # special tokens; marks that join capitals and small letters differently
 TAILS = b".,;:!?&%#$*()"  # punctuation that may follow letters as a piece of its own: not the apostrophe, nor what special tokens hold
-MOVING = re.compile("[\u03a3\u0130]")  # letters whose lower case differs by place or has more than one character
+WHOLE = re.compile("[\u03a3\u0130\u0530-\U0010ffff]")  # letters whose lower case differs by place or has more than one character, and those beyond Latin, Greek and Cyrillic
 
 
 # --- patched frame-of-reference blocks -----------------------------------------------------------
@@ -63,6 +63,45 @@ def _lane(width: int) -> np.dtype:
     return np.dtype(f"<u{next(b for b in (1, 2, 4, 8) if 8 * b >= width)}")
 
 
+def _in_eights(width: int, block: int) -> np.dtype | None:
+    """Integers wide enough to shift a byte over a value, where eight values of a block fill ``width`` whole bytes; else None."""
+    return None if block % 8 or not 0 < width <= 56 else np.dtype(np.uint32 if width <= 24 else np.uint64)
+
+
+def _to_bytes(off: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values packed at a width, lowest bits first."""
+    rows, block = off.shape
+    kind = _in_eights(width, block)
+    if kind is None:
+        lane = _lane(width)
+        bits = np.unpackbits(off.astype(lane).view(np.uint8).reshape(-1, lane.itemsize), axis=1, count=width, bitorder="little")
+        return np.packbits(bits.reshape(rows, -1), axis=1, bitorder="little")
+    v = (off & off.dtype.type((1 << width) - 1)).astype(kind).reshape(rows, block // 8, 8)
+    out = np.zeros((rows, block // 8, width), np.uint8)
+    for j in range(width):  # a byte has bits of the values k that overlap it
+        for k in range(8 * j // width, min(8, -(-8 * (j + 1) // width))):
+            s = 8 * j - k * width
+            out[:, :, j] |= (v[:, :, k] >> kind.type(s) if s >= 0 else v[:, :, k] << kind.type(-s)).astype(np.uint8)
+    return out.reshape(rows, -1)
+
+
+def _from_bytes(packed: np.ndarray, width: int, block: int) -> np.ndarray:
+    rows = len(packed)
+    kind = _in_eights(width, block)
+    if kind is None:
+        lane = _lane(width)
+        wide = np.zeros((rows * block, 8 * lane.itemsize), np.uint8)
+        wide[:, :width] = np.unpackbits(packed, axis=1, count=block * width, bitorder="little").reshape(-1, width)
+        return np.packbits(wide, axis=1, bitorder="little").view(lane).reshape(rows, block)
+    b = packed.reshape(rows, block // 8, width).astype(kind)
+    out = np.zeros((rows, block // 8, 8), kind)
+    for k in range(8):
+        for j in range(k * width // 8, -(-(k + 1) * width // 8)):
+            s = 8 * j - k * width
+            out[:, :, k] |= b[:, :, j] << kind.type(s) if s >= 0 else b[:, :, j] >> kind.type(-s)
+    return (out & kind.type((1 << width) - 1)).reshape(rows, block)
+
+
 def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """A stream of 64-bit integers."""
     values = np.asarray(values, np.int64)
@@ -72,21 +111,23 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
         return STREAM.pack(0, 0)
     padded = np.concatenate([values, np.full(blocks * block - n, values[-1])]).reshape(blocks, block)
     least = padded.min(axis=1)
-    off = padded.astype(np.uint64) - least.astype(np.uint64)[:, None]  # differences wrap as they should
+    if int(values.max()) - int(values.min()) < 1 << 32:
+        off = (padded - least[:, None]).astype(np.uint32)
+    else:
+        off = padded.astype(np.uint64) - least.astype(np.uint64)[:, None]  # differences wrap as they should
+    kind, most = off.dtype.type, 8 * off.itemsize
     at = min(block - 1, int(percentile * block))
-    width = _bit_length(np.partition(off, at, axis=1)[:, at])
-    over = (off >> np.minimum(width, 63).astype(np.uint64)[:, None] > 0) & (width < 64)[:, None]
+    width = _bit_length(np.partition(off, at, axis=1)[:, at].astype(np.uint64))
+    over = (off >> np.minimum(width, most - 1).astype(kind)[:, None] > 0) & (width < most)[:, None]
     body: list[bytes] = [b""] * blocks
     for w in np.unique(width):  # all blocks of a width at once
         own = np.flatnonzero(width == w)
-        lane = _lane(w)
-        bits = np.unpackbits(off[own].astype(lane).view(np.uint8).reshape(-1, lane.itemsize), axis=1, count=w, bitorder="little")
-        packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
-        for i, row in zip(own, packed):
-            body[i] = row.tobytes()
+        if w:
+            for i, row in zip(own, _to_bytes(off[own], int(w))):
+                body[i] = row.tobytes()
     exceptions = over.sum(axis=1)
     block_of, place = np.nonzero(over)
-    high = off[block_of, place] >> width[block_of].astype(np.uint64)
+    high = off[block_of, place] >> width[block_of].astype(kind)
     ends = np.cumsum(exceptions)
     heads = np.empty(blocks, BLOCK_HEAD)
     heads["least"], heads["width"], heads["exceptions"] = least, width, exceptions
@@ -125,13 +166,9 @@ def unpack(data: memoryview, at: int = 0, first: int = 0, last: int | None = Non
     for w in np.unique(heads["width"]):
         own = np.flatnonzero(heads["width"] == w)
         if w:
-            w, lane = int(w), _lane(w)
-            size = (block * w + 7) // 8
+            size = (block * int(w) + 7) // 8
             packed = np.frombuffer(b"".join([data[at : at + size] for at in body[own].tolist()]), np.uint8)
-            bits = np.unpackbits(packed.reshape(len(own), size), axis=1, count=block * w, bitorder="little")
-            wide = np.zeros((len(own) * block, 8 * lane.itemsize), np.uint8)
-            wide[:, :w] = bits.reshape(-1, w)
-            off[own] = np.packbits(wide, axis=1, bitorder="little").view(lane).reshape(len(own), block)
+            off[own] = _from_bytes(packed.reshape(len(own), size), int(w), block)
     ends = body + sizes(heads)
     for i in np.flatnonzero(heads["exceptions"]):
         k, p = int(heads["exceptions"][i]), int(ends[i])
@@ -187,9 +224,12 @@ class Words:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # pieces are cut already: their tokeniser looks for white space alone
+        self.pieces.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.new, self.old = {}, {}
         ends = [i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
@@ -216,15 +256,13 @@ class Words:
         return [b"".join(x) for x in out]
 
     def _look_up(self, lot: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        known = self._learn(set().union(*(words for _, words in lot)).difference(self.new))
-        get = self.new.get
-        for i, words in lot:
-            found = list(map(get, words))
-            if None in found:  # long words, and those of a generation that has just become the old one
-                found = [known.get(w) or self.old[w] if f is None else f for w, f in zip(words, found)]
-            out[i].append(b"".join(found))
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        words = list(set().union(*(w for _, w in lot)))
+        known = dict(zip(words, map(self.new.get, words)))  # the large table is asked once a lot for each word
+        known |= self._learn([w for w, t in known.items() if t is None])
+        for i, own in lot:
+            out[i].append(b"".join(map(known.__getitem__, own)))
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The tokens of words that the new generation doesn't have, which it then has but for long ones."""
         known, whole, rest, need, cut, old = {}, [], set(), set(), [], self.old
         for w in words:
@@ -237,7 +275,7 @@ class Words:
                 piece = letters if letters.islower() else letters.lower()
             else:
                 text = letters.decode("utf-8", "replace")
-                if not text.isalpha() or MOVING.search(text):
+                if not text.isalpha() or WHOLE.search(text):
                     whole.append(w)
                     continue
                 piece = text.lower().encode()
@@ -257,7 +295,7 @@ class Words:
                 known[p] = t
         rest = list(rest)
         if rest:
-            ids = np.array(self._ids([b" ".join(rest)])[0], "<u4")
+            ids = np.array(self._ids([b" ".join(rest)], self.pieces)[0], "<u4")
             last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(last) != len(rest):
                 raise ValueError("the vocabulary doesn't end each word with a token of its own")
@@ -271,8 +309,8 @@ class Words:
         self.new.update((w, t) for w, t in known.items() if len(w) <= CACHED_BYTES)
         return known
 
-    def _ids(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    def _ids(self, texts: list[bytes], model=None) -> list[list[int]]:
+        return [e.ids for e in (model or self.model).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
 
 @functools.cache
