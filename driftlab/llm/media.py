@@ -1,18 +1,22 @@
 """Operator 9: media columns as MPEG transport streams (ISO/IEC 13818-1).
 
-``media_table`` stores a byte payload losslessly: it is cut into units, each a PES packet with a presentation time,
-carried in 188-byte transport packets beside the program tables (PAT, PMT), which are repeated at each random-access
-point. ``read_media`` reads the stored bytes back: it parses the program tables (with their CRC), checks continuity
-counters, reassembles the PES packets and lists timestamps and random-access points.
+``media_table`` stores a byte payload losslessly: it is cut into units, each a PES packet with a presentation time and
+the CRC of the unit before it, carried in 188-byte transport packets beside the program tables (PAT, PMT), which are
+repeated at each random-access point; an empty PES packet at the end has the last unit's CRC. ``read_media`` reads the
+stored bytes back: it parses the program tables (with their CRC), checks continuity counters, reassembles the PES
+packets, compares their declared lengths and CRCs with what came, and lists timestamps and random-access points.
 
 Defined results: a null or empty text is stored as 64 zero bytes (the padded payload is never empty); null ids,
 repeated rows and ties are rows of their own; an empty table gives no rows; only the id and the text column are read,
-so extra columns don't matter. A null or damaged stream gives ``error`` and null values instead of a failure; lost packets are
-counted in ``continuity_errors``.
+so extra columns don't matter. A null stream, or one that can't be parsed, gives ``error`` and null values instead of a
+failure. A stream with lost or changed bytes has its counts (``continuity_errors``, ``length_errors``, ``crc_errors``),
+an ``error`` that names them, and no payload; ``demux`` itself hands out what came. A stream whose packets have CRCs must
+end with the empty packet, or it counts as cut. Two units in which 16-bit CRCs agree by chance can't be told apart.
 """
 
 from __future__ import annotations
 
+from binascii import crc_hqx
 from functools import lru_cache
 from hashlib import sha256
 
@@ -29,6 +33,7 @@ UNIT = 8192  # payload bytes of a PES packet
 RAP_EVERY = 8  # units from one random-access point to the next
 PTS_FIRST, PTS_STEP, PCR_LEAD = 126_000, 3_600, 63_000  # in 1/90000 s
 PAD = 64
+VIDEO = (0x01, 0x02, 0x1B, 0x24)  # the stream types whose PES packets may leave their length open
 
 
 @lru_cache
@@ -68,6 +73,26 @@ def _pts_bytes(pts: int) -> bytes:
     return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 255, pts >> 14 & 0xFE | 1, pts >> 7 & 255, pts << 1 & 0xFE | 1])
 
 
+def unit_crc(data: bytes) -> int:
+    """previous_PES_packet_CRC: 16 bits of x^16 + x^12 + x^5 + 1 over a packet's data, from all ones."""
+    return crc_hqx(data, 0xFFFF)
+
+
+def _pes_head(size: int, flags: int, fields: bytes) -> bytes:
+    return b"\x00\x00\x01" + bytes([STREAM_ID]) + (size + 3 + len(fields)).to_bytes(2, "big") + bytes([0x80, flags, len(fields)]) + fields
+
+
+def _crc_field(pes: bytes) -> int | None:
+    """The CRC of the packet before, if this one's header has it."""
+    f = pes[7]
+    if not f & 0x02:
+        return None
+    at = 9 + (0, 0, 5, 10)[f >> 6] + 6 * (f >> 5 & 1) + 3 * (f >> 4 & 1) + (f >> 3 & 1) + (f >> 2 & 1)
+    if at + 2 > 9 + pes[8]:
+        raise ValueError("an elementary packet whose header has no room for its fields")
+    return int.from_bytes(pes[at : at + 2], "big")
+
+
 def mux(payload: bytes) -> bytes:
     """A transport stream that carries the payload."""
     out, cc, tables = [], 0, 0
@@ -81,7 +106,9 @@ def mux(payload: bytes) -> bytes:
             tables += 1
         pts = (PTS_FIRST + i * PTS_STEP) & (1 << 33) - 1
         chunk = payload[at : at + UNIT]
-        pes = np.frombuffer(b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(chunk) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _pts_bytes(pts) + chunk, np.uint8)
+        fields = _pts_bytes(pts) + (b"" if i == 0 else before.to_bytes(2, "big"))
+        pes = np.frombuffer(_pes_head(len(chunk), 0x80 | 0x02 * (i > 0), fields) + chunk, np.uint8)
+        before = unit_crc(chunk)
         first = min(len(pes), SIZE - 12)
         full, rest = divmod(len(pes) - first, SIZE - 4)
         n = 1 + full + (rest > 0)
@@ -105,6 +132,9 @@ def mux(payload: bytes) -> bytes:
             packets[-1, 5 : 6 if rest < SIZE - 5 else 5] = 0
             packets[-1, SIZE - rest :] = pes[-rest:]
         out.append(packets.tobytes())
+    last = _pes_head(0, 0x02, before.to_bytes(2, "big"))
+    stuffing = SIZE - 5 - len(last)
+    out.append(bytes([SYNC, 0x40 | DATA_PID >> 8, DATA_PID & 255, 0x30 | cc & 15, stuffing, 0]) + b"\xff" * (stuffing - 1) + last)
     return b"".join(out)
 
 
@@ -168,13 +198,21 @@ def demux(media: bytes) -> dict:
     at = np.concatenate([[0], np.cumsum(SIZE - from_)])
     heads = np.flatnonzero(starts[rows])
     units, pts, rap, pcr = [], [], [], []
+    lengths = crcs = 0
+    checked = False
     for h, to in zip(heads, [*heads[1:], len(rows)]):
         pes = data[at[h] : at[to]]
         if pes[:3] != b"\0\0\1":
             raise ValueError("an elementary packet without its start code")
-        if len(pes) < 14 or pes[8] < 5 and pes[7] & 0x80:
+        if len(pes) < 9 or len(pes) < 9 + pes[8] or pes[7] & 0x80 and pes[8] < 5:
             raise ValueError("an elementary packet that is cut short")
         size, skip = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
+        if size or kind not in VIDEO:
+            lengths += len(pes) != 6 + size
+        crc = _crc_field(pes)
+        if crc is not None:
+            checked = True
+            crcs += not units or crc != unit_crc(units[-1])
         units.append(pes[skip : 6 + size] if size else pes[skip:])
         p = pes[9:14]
         pts.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1 if pes[7] & 0x80 else None)
@@ -182,8 +220,13 @@ def demux(media: bytes) -> dict:
         has = bool(k[3] & 0x20) and k[4] > 0
         rap.append(bool(has and k[5] & 0x40))
         pcr.append(int.from_bytes(k[6:12].tobytes(), "big") >> 15 if has and k[5] & 0x10 else None)
+    if checked and not units[-1] and pts[-1] is None:  # the closing packet is not a unit
+        for x in (units, pts, rap, pcr):
+            x.pop()
+    elif checked:
+        lengths += 1
     stuffing = int((from_ - 4).sum())
-    return {"payload": b"".join(units), "programs": programs, "pid": es, "stream_type": kind, "packets": len(a), "units": len(units), "pts": pts, "pcr": pcr, "random_access": rap, "continuity_errors": errors, "adaptation_bytes": stuffing}
+    return {"payload": b"".join(units), "programs": programs, "pid": es, "stream_type": kind, "packets": len(a), "units": len(units), "pts": pts, "pcr": pcr, "random_access": rap, "continuity_errors": errors, "length_errors": lengths, "crc_errors": crcs, "adaptation_bytes": stuffing}
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +244,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return in_arrow(source, run, "doc_id long, n_bytes long, media binary")
 
 
-READ = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, program int, pid int, stream_type int, packets int, units int, pts array<long>, pcr array<long>, random_access array<boolean>, continuity_errors int, adaptation_bytes int, error string"
+READ = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, program int, pid int, stream_type int, packets int, units int, pts array<long>, pcr array<long>, random_access array<boolean>, continuity_errors int, length_errors int, crc_errors int, adaptation_bytes int, error string"
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -219,12 +262,14 @@ def read_media(media: DataFrame) -> DataFrame:
                 held += len(x or b"")
                 try:
                     d = demux(x)
-                    out.append((len(x), sha256(x).hexdigest(), d["payload"], next(iter(d["programs"])), d["pid"], d["stream_type"], d["packets"], d["units"], d["pts"], d["pcr"], d["random_access"], d["continuity_errors"], d["adaptation_bytes"], None))
+                    bad = {k: d[k] for k in ("continuity_errors", "length_errors", "crc_errors")}
+                    damage = "damaged: " + ", ".join(f"{k} {v}" for k, v in bad.items() if v) if any(bad.values()) else None
+                    out.append((len(x), sha256(x).hexdigest(), None if damage else d["payload"], next(iter(d["programs"])), d["pid"], d["stream_type"], d["packets"], d["units"], d["pts"], d["pcr"], d["random_access"], *bad.values(), d["adaptation_bytes"], damage))
                 except ValueError as e:
-                    out.append((*((len(x), sha256(x).hexdigest()) if x is not None else (None, None)), *[None] * 11, str(e)))
+                    out.append((*((len(x), sha256(x).hexdigest()) if x is not None else (None, None)), *[None] * 13, str(e)))
                 if held >= 4 << 20 or k == batch.num_rows - 1:
                     cols = list(zip(*out))
-                    kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.int32()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int32(), pa.int32(), pa.string()]
+                    kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.int32()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.int32()] * 4, pa.string()]
                     yield pa.RecordBatch.from_arrays([ids.slice(at, k + 1 - at), n.slice(at, k + 1 - at), *[pa.array(c, t) for c, t in zip(cols, kinds)]], [x.split()[0] for x in READ.split(", ")])
                     out, held, at = [], 0, k + 1
 

@@ -23,7 +23,11 @@ def test_round_trip_of_every_size_near_packet_edges():
 def test_lost_packets_and_damage_are_seen():
     s = media.mux(bytes(20_000))
     lost = s[: 188 * 10] + s[188 * 11 :]
-    assert media.demux(lost)["continuity_errors"] == 1
+    d = media.demux(lost)
+    assert (d["continuity_errors"], d["length_errors"], d["crc_errors"]) == (1, 1, 1)
+    sixteen = media.demux(s[: 188 * 10] + s[188 * 26 :])  # the counters fit again
+    assert (sixteen["continuity_errors"], sixteen["length_errors"], sixteen["crc_errors"]) == (0, 1, 1)
+    assert media.demux(s[:-188])["length_errors"] == 1  # cut between two elementary packets
     bad = bytearray(s)
     bad[20] ^= 1  # in the PAT
     with pytest.raises(ValueError, match="CRC"):
@@ -74,3 +78,53 @@ def test_damaged_streams_are_read_or_refused():
     bad[4] = 255
     with pytest.raises(ValueError, match="adaptation"):
         media.demux(bytes(bad))
+
+
+def test_no_change_of_the_payload_is_silent():
+    r = random.Random(11)
+    payload = r.randbytes(30_000)
+    whole = media.mux(payload)
+    n = len(whole) // 188
+    for k in range(10_000):
+        s = bytearray(whole)
+        if k % 4 == 0:  # any single bit
+            at = r.randrange(len(s))
+            s[at] ^= 1 << r.randrange(8)
+        elif k % 4 == 1:  # up to 16 bits in a row
+            at = r.randrange(len(s) - 2)
+            s[at] ^= r.randrange(256)
+            s[at + 1] ^= r.randrange(256)
+        elif k % 4 == 2:  # packets lost, often as many as the counter counts
+            at = 188 * r.randrange(n)
+            del s[at : at + 188 * r.choice((1, 2, 16, 16, 32, 48))]
+        else:  # a packet twice, or in another's place
+            at, of = 188 * r.randrange(n), 188 * r.randrange(n)
+            s[at : at + 188 * r.randint(0, 1)] = whole[of : of + 188]
+        try:
+            d = media.demux(bytes(s))
+        except ValueError:
+            continue
+        assert d["payload"] == payload or d["continuity_errors"] + d["length_errors"] + d["crc_errors"] > 0, k
+
+
+def test_crc_is_the_one_of_the_standard():
+    def plain(data):  # bit by bit, as a shift register
+        c = 0xFFFF
+        for b in data:
+            for i in range(7, -1, -1):
+                c = (c << 1 ^ (0x1021 if (c >> 15 ^ b >> i) & 1 else 0)) & 0xFFFF
+        return c
+
+    for data in (b"", b"a", bytes(64), b"unit of some bytes"):
+        assert media.unit_crc(data) == plain(data)
+        assert plain(data + media.unit_crc(data).to_bytes(2, "big")) == 0
+
+
+def test_damage_is_told_and_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a" * 20_000, b"x", "y"), (2, "b", None, None)], "doc_id long, text string, media binary, payload string")
+    stored = {r.doc_id: r for r in media.media_table(docs).collect()}
+    lost = bytes(stored[1].media[: 188 * 10] + stored[1].media[188 * 26 :])
+    rows = spark.createDataFrame([(1, 20_000, bytearray(lost)), (2, 1, stored[2].media)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.read_media(rows).collect()}
+    assert got[1].payload is None and got[1].error == "damaged: length_errors 1, crc_errors 1" and got[1].units == 3
+    assert got[2].error is None and bytes(got[2].payload) == b"b".ljust(64, b"\0")
