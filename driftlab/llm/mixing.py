@@ -11,7 +11,8 @@ in one pass of running sums over one row per source. Running sums are made in tw
 within each range, so that neither many sources nor a large one are ever in one task.
 
 Rows of one source that agree in id and size can't be told apart in the result, so they are counted and laid end to
-end together: null ids, or an id that is repeated, make no hot key.
+end together: null ids, or an id that is repeated, make no hot key. They become rows again in blocks of ``BLOCK_ROWS``,
+which are dealt out before, so that neither an array nor a task holds all that agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; null ids, repeated ids and
 repeated rows are rows of their own; a source without words has target 0; documents of which nothing is taken have
@@ -32,7 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: For each weight in turn, knots (time, multiplier): what weighs most is shown early, what weighs least late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-BUCKET_ROWS = 4096
+BUCKET_ROWS, BLOCK_ROWS = 4096, 10_000
 BROADCAST_SOURCES, SALTS = 100_000, 32
 
 
@@ -122,7 +123,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules:
     sums = ranged.groupBy(*place).agg(F.sum("words_here").alias("in_bucket"))
     before = sums.select(*place, (F.sum("in_bucket").over(Window.partitionBy("no_source", "name").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
     inside = Window.partitionBy(*place).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = ranged.withColumn("upto", F.sum("words_here").over(inside)).join(before, place).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cum = ranged.withColumn("upto", F.sum("words_here").over(inside)).join(before, place)
+    block = F.lit(BLOCK_ROWS).cast("long")
+    cum = cum.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block)))).repartition("key", "size", "block")
+    cum = cum.withColumn("nth", F.explode(F.sequence(F.col("block") * block, F.least(F.col("n"), (F.col("block") + 1) * block) - 1))).drop("block")
     cum = cum.withColumn("start", F.col("before") + F.col("upto") - F.col("words_here") + F.col("nth") * F.col("size"))
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0))

@@ -73,3 +73,16 @@ def test_what_weighs_most_comes_early(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i % 2 else "b", 0, "") for i in range(2000)], DOCS)
     mean = {r.source: r.m for r in mixing.mix_sources(docs).groupBy("source").agg(F.avg("position").alias("m")).collect()}
     assert mean["a"] < 0.45 and mean["b"] == pytest.approx(0.5, abs=0.02)
+
+
+def test_rows_that_agree_are_laid_out_in_blocks(spark, monkeypatch):
+    long = "word " * 300_000
+    rows = [(None, "a b", "s", 1, "x")] * 25 + [(7, None, "s", 1, "x")] * 11 + [(8, "c", None, 1, "x")] * 10 + [(9, long, "t", 1, "x"), (1, "d e f", "t", 1, "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    facts = lambda: sorted(map(str, mixing.mix_sources(docs).collect()))
+    whole = facts()
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    assert facts() == whole and len(whole) == len(rows)
+    got = mixing.mix_sources(docs).collect()
+    assert [r.size for r in got if r.doc_id == 9] == [300_000]
+    assert len({str(r.positions) for r in got if r.doc_id is None and r.taken}) == sum(r.doc_id is None and r.taken > 0 for r in got)  # each has places of its own
