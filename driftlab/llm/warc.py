@@ -18,10 +18,18 @@ Defined results: a null html is an empty payload; a null URL has the key ''; lin
 a null page id counts as less than any other and is read back as null; rows that share the largest page id of equal
 payloads are all responses; repeated rows are records of their own; extra columns don't matter; an empty table
 gives no records. A record that is cut short or whose payload has another digest raises ValueError.
+
+Archives of other writers are read too: captures are the records of type response, resource and revisit, others
+(warcinfo, request, metadata) are passed over; field names are read in any case, continued lines are joined, of a
+repeated field the first counts; digests may be in base 16 or 32 or of another kind, then the index has the payload's
+own SHA-1 (for revisits the digest as it stands); ids that are no page ids are null; a revisit may refer to nothing. Of
+a chunked body the digest may be that of its content or that of its bytes; the payload is the bytes as they stand.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import bisect
 import hashlib
 import math
@@ -91,10 +99,26 @@ def _unpacked(content: bytes) -> Iterator[bytes]:
                 stream = zlib.decompressobj(31)
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by their names in lower case: continued lines joined, of a repeated field the first."""
+    held: list[str] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and held:
+            held[-1] += " " + line.strip()
+        else:
+            held.append(line)
+    out: dict[str, str] = {}
+    for line in held:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.removeprefix(" "))  # a URL may end in spaces
+    return out
+
+
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, header, block) of each record of an archive, plain or gzip-compressed; one record is held at a time.
 
-    Positions are those in the plain archive.
+    Header fields have names in lower case. Positions are those in the plain archive.
     """
     parts, buffer, base, at = _unpacked(content), b"", 0, 0
 
@@ -118,11 +142,13 @@ def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         while (end := buffer.find(b"\r\n\r\n", at)) < 0:
             if not more(want := want * 2) and buffer.find(b"\r\n\r\n", at) < 0:
                 raise ValueError("a record without the end of its header")
-        head = buffer[at:end].decode().split("\r\n")
+        head = buffer[at:end].decode("utf-8", "replace").split("\r\n")
         if not head[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        header = dict(x.split(": ", 1) for x in head[1:])
-        skip, size = end + 4 - at, int(header["Content-Length"])
+        header = _fields(head[1:])
+        skip, size = end + 4 - at, _number(header.get("content-length"))
+        if size is None:
+            raise ValueError("a record without its length")
         if not more(skip + size + 4) or buffer[at + skip + size : at + skip + size + 4] != b"\r\n\r\n":
             raise ValueError("a record that is cut short")
         yield base + at, skip + size + 4, header, buffer[at + skip : at + skip + size]
@@ -139,16 +165,76 @@ INDEX = "url_key string, capture_time string, page_id long, record_type string,
 
 
 def _number(x: str | None) -> int | None:
-    return int(x) if x and x.isdigit() else None
-
-
-def _page(urn: str) -> int | None:
-    x = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if x == "null" else int(x)
-
-
-def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """The captures of all archives in path, each archive's as a sorted run; payload_bytes is null for revisits that don't name it (other writers')."""
+    return int(x) if x and re.fullmatch(r"\s*[0-9]+\s*", x) else None
+
+
+def _page(urn: str | None) -> int | None:
+    """The page that an id of write_warc names; null for ids of other writers."""
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", (urn or "").strip())
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a chunked body, None if it is not one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"[0-9A-Fa-f]+", body[at:end]) if end >= 0 else None
+        if not size:
+            return None
+        n = int(size[0], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        if body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return None
+        at = end + 4 + n
+
+
+def _hex_digest(digest: str | None) -> tuple[str, str] | None:
+    """(kind, digits in base 16) of a digest in base 16 or 32; None where the digits don't fit a kind that can be checked."""
+    kind, _, digits = (digest or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    n, digits = hashlib.new(kind).digest_size, digits.strip()
+    if re.fullmatch(rf"[0-9A-Fa-f]{{{2 * n}}}", digits):
+        return kind, digits.lower()
+    try:
+        raw = base64.b32decode(digits.rstrip("=").upper() + "=" * (-len(digits.rstrip("=")) % 8))
+    except binascii.Error:
+        return None
+    return (kind, raw.hex()) if len(raw) == n else None
+
+
+def _capture(archive: str, offset: int, length: int, h: dict[str, str], block: bytes) -> tuple | None:
+    """The row of INDEX, and the payload, of a record; None if it is no capture."""
+    kind = h.get("warc-type", "").strip().lower()
+    if kind not in ("response", "resource", "revisit"):
+        return None
+    head, ends, rest = block.partition(b"\r\n\r\n")
+    http = kind != "resource" and head.startswith(b"HTTP/")
+    payload = (rest if ends else b"") if http else block
+    stated, named = _hex_digest(h.get("warc-payload-digest")), h.get("warc-payload-digest")
+    url, when, name = h.get("warc-target-uri", ""), h.get("warc-date", "").strip(), h.get("warc-record-id", "").strip()
+    page = _page(name)
+    if not name.startswith("<urn:page:"):  # other writers pad URLs and put them in brackets
+        url = url.strip().removeprefix("<").removesuffix(">")
+    if kind == "revisit":
+        digest = stated[1] if stated and stated[0] == "sha1" else named
+        return url_key(url), when, page, kind, _page(h.get("warc-refers-to")), _number(h.get(LENGTH_FIELD.lower())), digest, archive, offset, length, payload
+    own = hashlib.sha1(payload).hexdigest()
+    if stated:
+        found = own if stated[0] == "sha1" else hashlib.new(stated[0], payload).hexdigest()
+        if found != stated[1]:
+            content = _unchunked(payload) if http and re.search(rb"(?i)\r\ntransfer-encoding:[^\r]*chunked", head) else None
+            if content is None or hashlib.new(stated[0], content).hexdigest() != stated[1]:
+                raise ValueError(f"{archive} at {offset}: the payload has another digest")
+    return url_key(url), when, page, kind, None, len(payload), own, archive, offset, length, payload
+
+
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False, pattern: str = "{part-*,*.warc,*.warc.gz}") -> DataFrame:
+    """The captures of all archives in path whose file names fit, each archive's as a sorted run; payload_bytes is null for revisits that don't name it (other writers')."""
 
     def run(batches):
         import pyarrow as pa
@@ -158,17 +244,15 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out = []
-                for offset, length, h, block in records(content.as_py()):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    digest, response = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "response"
-                    if response and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"{archive} at {offset}: the payload has another digest")
-                    out.append((url_key(h["WARC-Target-URI"]), h["WARC-Date"], _page(h["WARC-Record-ID"]), h["WARC-Type"], None if response else _page(h["WARC-Refers-To"]), len(payload) if response else _number(h.get(LENGTH_FIELD)), digest, archive, offset, length, *([payload] if with_payload else [])))
+                for record in records(content.as_py()):
+                    row = _capture(archive, *record)
+                    if row:
+                        out.append(row if with_payload else row[:-1])
                 out.sort(key=_key)
                 for i in range(0, len(out), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500]), kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
     return in_arrow(files, run, INDEX + ", payload binary" * with_payload)
 
 

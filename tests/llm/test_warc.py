@@ -26,7 +26,7 @@ def pages(spark):
     r = random.Random(4)
     big = ["".join(r.choices("abé\r\n <>", k=1500)) for _ in range(5)]
     rows = [(i, f"http://h{r.randint(0, 3)}.example.org/{r.randint(0, 40)}", r.choice(big + ["small", None, "\r\n\r\n" * 3, "x" * 999, "y" * 1000]), "z", 1) for i in range(1, 400)]
-    rows += [(None, None, big[0], None, None), (None, "a\nb\r\n", "null id", None, None), (399, "http://again/", rows[-1][2], None, None), (1000, "http://long/", "long " * 60_000, None, None), (7, "http://m/", big[1], "", 0), (1001, "http://c/", big[1], "", 0), (1001, "http://c/", big[1], "", 0)]
+    rows += [(None, None, big[0], None, None), (None, "a\nb\r\n", "null id", None, None), (399, "http://again/", rows[-1][2], None, None), (1000, "http://long/", "long " * 60_000, None, None), (7, "http://m/", big[1], "", 0), (1002, " <http://n/o p> ", "spaces", "", 0), (1001, "http://c/", big[1], "", 0), (1001, "http://c/", big[1], "", 0)]
     return spark.createDataFrame(rows, PAGES), rows
 
 
@@ -46,6 +46,7 @@ def test_round_trip_and_revisits(spark, pages):
     assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
     order = [(r.url_key, r.capture_time, r.page_id is not None, r.page_id or 0) for r in got]
     assert order == sorted(order)
+    assert [r.url_key for r in got if r.page_id == 1002] == [W.url_key(" <http://n/o p> ")]
     payloads = W.read_warc(spark, path, with_payload=True).filter("record_type = 'response'").collect()
     assert {bytes(p.payload).decode() for p in payloads} == {r[2] or "" for r in rows}
 
@@ -92,3 +93,47 @@ def test_empty_table_and_damage(spark, pages):
         for packed in (gzip.compress(bad), bad):
             with pytest.raises(ValueError):
                 list(W.records(packed))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+
+    def record(*fields, block=b""):
+        return "\r\n".join(["WARC/1.0", *fields, f"content-length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    sha = lambda b: hashlib.sha1(b).digest()
+    b32 = lambda b: base64.b32encode(sha(b)).decode()
+    chunked = b"4\r\nwiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n"
+    parts = [
+        record("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>", block=b"software: x\r\n"),
+        record("WARC-Type: request", "WARC-Target-URI: http://a.org/", block=b"GET / HTTP/1.1\r\n\r\n"),
+        record("WARC-Type: metadata", block=b"via: x"),
+        record("warc-type: response", "WARC-TARGET-URI: <http://a.org/1>", "WARC-Date:2020-01-01T00:00:00Z", "WARC-Record-ID: <urn:uuid:1>", f"WARC-Payload-Digest: sha1:{b32(b'one')}", "X-Note: a", "\tgoes: on", "X-Note: b", block=http + b"one"),
+        record("WARC-Type: response", "WARC-Target-URI: http://a.org/2", "WARC-Date: 2020-01-02T00:00:00Z", f"WARC-Payload-Digest: SHA-256:{hashlib.sha256(b'two').hexdigest().upper()}", block=http + b"two"),
+        record("WARC-Type: response", "WARC-Target-URI: http://a.org/3", f"WARC-Payload-Digest: sha1:{b32(b'wikipedia')}", block=b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked),
+        record("WARC-Type: resource", "WARC-Target-URI: http://a.org/4", block=b"plain\r\n\r\nbytes"),
+        record("WARC-Type: response", "WARC-Target-URI: http://a.org/5", "WARC-Payload-Digest: odd:xyz", block=b"HTTP/1.1 204 No Content"),
+        record("WARC-Type: revisit", "WARC-Target-URI: http://a.org/1", "WARC-Date: 2021", "WARC-Record-ID: <urn:uuid:9>", f"WARC-Payload-Digest: sha1:{b32(b'one')}", block=http),
+    ]
+    folder = tmp_path / "foreign"
+    folder.mkdir()
+    (folder / "crawl.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (folder / "crawl.idx").write_bytes(b"not an archive")
+    got = [(r.url_key, r.capture_time, r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in W.capture_index(spark, str(folder)).collect()]
+    assert got == [
+        ("org,a)/1", "2020-01-01T00:00:00Z", None, "response", None, 3, sha(b"one").hex()),
+        ("org,a)/1", "2021", None, "revisit", None, None, sha(b"one").hex()),
+        ("org,a)/2", "2020-01-02T00:00:00Z", None, "response", None, 3, sha(b"two").hex()),
+        ("org,a)/3", "", None, "response", None, len(chunked), sha(chunked).hex()),
+        ("org,a)/4", "", None, "resource", None, 14, sha(b"plain\r\n\r\nbytes").hex()),
+        ("org,a)/5", "", None, "response", None, 0, sha(b"").hex()),
+    ]
+    wrong = record("WARC-Type: response", f"WARC-Payload-Digest: sha1:{b32(b'1')}", block=http + b"2")
+    offset, length, header, block = next(W.records(wrong))
+    with pytest.raises(ValueError, match="another digest"):
+        W._capture("x", offset, length, header, block)
+    assert header["warc-type"] == "response"
+    with pytest.raises(ValueError):
+        next(W.records(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"))
