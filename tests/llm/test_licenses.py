@@ -12,6 +12,9 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
+WIDTH = {k: int(len(WORD.findall(lower(t))) / L.THRESHOLD + 1e-9) for k, t in L.TEMPLATES.items()}
+
+
 def brute(text):
     words = WORD.findall(lower(text))
     places, base = [], set()
@@ -22,12 +25,15 @@ def brute(text):
         base |= {label} if at else set()
     labels, best = set(base), 0.0
     for line in lower(text).split("\n"):
-        own = set(WORD.findall(line))
+        own = WORD.findall(line)
         for label, t in L.TEMPLATES.items():
-            t = set(WORD.findall(lower(t)))
-            if len(own & t) >= L.THRESHOLD * len(t) - 1e-9:
+            width, t = WIDTH[label], set(WORD.findall(lower(t)))
+            if len(set(own) & t) < L.THRESHOLD * len(t) - 1e-9:
+                continue
+            most = max(len(set(own[i : i + width]) & t) for i in range(max(1, len(own) - width + 1)))
+            if most >= L.THRESHOLD * len(t) - 1e-9:
                 labels.add(label)
-                best = max(best, len(own & t) / len(t))
+                best = max(best, most / len(t))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best
 
 
@@ -52,6 +58,7 @@ def test_matches_brute_force(spark):
         assert tuple(x)[1:8] == brute(texts[x.doc_id or 0]), x
         for b in x.blocks:
             line = (texts[x.doc_id or 0] or "").encode()[b.start : b.end].decode()
+            assert len(WORD.findall(lower(line))) <= WIDTH[b.label] and "\n" not in line
             own, t = set(WORD.findall(lower(line))), set(WORD.findall(lower(L.TEMPLATES[b.label])))
             assert b.containment == len(own & t) / len(t)
     assert sum(len(x.blocks) for x in got) > 100
@@ -85,6 +92,11 @@ def test_wrapped_notices(spark):
         texts[10 + i] = "".join(x + r.choice([" ", " ", " ", "\n# "]) for x in w)
     docs = spark.createDataFrame([(i, t, "") for i, t in texts.items()], DOCS)
     got = {x.doc_id: x for x in L.scan_licenses(docs, wrapped=True).collect()}
+    for i, t in texts.items():
+        shares = {k: brute_windows(t, k) for k in L.TEMPLATES}
+        want = {k: v for k, v in shares.items() if v >= L.THRESHOLD - 1e-9}
+        base = got[i].base_labels.split(",") if got[i].base_labels else []
+        assert got[i].labels == ",".join(sorted({*want, *base})) and got[i].score == (1.0 if base else max(want.values(), default=0.0))
     assert [got[i].labels for i in range(1, 7)] == ["bsd-conditions", "bsd-conditions,mit-grant", "", "cc-by-4.0-licensed", "", ""]
     assert [(b.start, b.end, b.containment) for b in got[1].blocks] == [(0, len(bsd) - 1, 1.0)]
     lines, found = {x.doc_id: x for x in L.scan_licenses(docs).collect()}, 0
@@ -107,3 +119,34 @@ def test_whole_licenses_are_found_however_they_are_wrapped(spark):
         rows.append((i, "Some words before it.\n\n" + body + "\n\nand others after.", label))
     for x in L.scan_licenses(spark.createDataFrame(rows, DOCS), wrapped=True).collect():
         assert rows[x.doc_id][2] in x.labels.split(",") and x.score == 1.0
+
+
+def test_scattered_words_are_no_notice(spark):
+    far = "The software team met under the oak. Nobody was licensed to drive; MIT sent a student and the fishing license expired, so this is the end of the story."
+    near = "One more long line of words without any break, " * 3 + "which is licensed under CC BY 4.0 as a whole " + "and goes on for a while after that " * 3
+    docs = spark.createDataFrame([(1, far, ""), (2, near, "")], DOCS)
+    for wrapped in (False, True):
+        got = {x.doc_id: x for x in L.scan_licenses(docs, wrapped=wrapped).collect()}
+        assert (got[1].labels, got[1].score, got[2].labels, got[2].score) == ("", 0.0, "cc-by-4.0-licensed", 1.0)
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    """On wrapped, changed, scattered and very long texts, as the given tables have next to no notices."""
+    import duckdb
+    import pandas as pd
+
+    r, texts = random.Random(12), [None, "", "MIT License", "x " * 50_000 + "licensed under\nCC BY 4.0 " + "license " * 2_000]
+    for _ in range(150):
+        w = [x for x in L.TEMPLATES[r.choice(list(L.TEMPLATES))].split() if r.random() > 0.04]
+        w = [y for x in w for y in [x, *["extra"] * (r.random() < r.choice((0.02, 0.3)))]]
+        texts.append("".join(x + r.choice([" ", " ", " ", "\n"]) for x in r.choices(["the", "license"], k=r.randint(0, 20)) + w))
+    rows = [(i if i else None, t) for i, t in enumerate(texts)]
+    documents = pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    cur = con.execute(L.SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted(map(str, cur.fetchall()))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS)
+    got = L.scan_licenses(docs, wrapped=True).select(*names).collect()
+    assert sorted(str(tuple(x)) for x in got) == want and sum("," in x.labels for x in got) > 20
