@@ -23,6 +23,9 @@ surroundings in a sample of documents is not used: each of its windows has its o
 4 alike. In the same way a key of over ``CROWD`` different pieces is divided within its task into keys by windows of 50
 bytes. Both only divide the work: every piece of a key that two documents have goes through the suffix order.
 
+Rows that share an id, null ids above all, are told apart by a tag, a hash of their text (0 where an id is the only one
+of its kind): anchors and verdicts come back to a row and not to an id, so the work stays linear in such rows.
+
 Hashes of 64 bits or more stand for bytes when pieces or texts are compared for equality.
 
 Defined results: a null text is empty; ids that are null count as larger than all others and equal to each other;
@@ -129,9 +132,9 @@ def _blocks(batches, most: int, *columns: str):
 
 def hot_keys(docs: DataFrame) -> np.ndarray:
     """Anchors with HOT or more different surroundings in the sample: the first SAMPLE documents by a hash of their id, and of these as many as SAMPLE_BYTES hold."""
-    drawn = docs.select("did", F.octet_length("text").alias("size"), F.xxhash64("did", F.lit(3)).alias("draw")).orderBy("draw", "size").limit(SAMPLE)
+    drawn = docs.select("did", "tag", F.octet_length("text").alias("size"), F.xxhash64("did", "tag", F.lit(3)).alias("draw")).orderBy("draw", "size").limit(SAMPLE)
     upto = F.sum("size").over(Window.orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over at most SAMPLE rows
-    ids = drawn.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("did", "size").distinct()
+    ids = drawn.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("did", "tag", "size").distinct()
 
     def run(batches):
         import pyarrow as pa
@@ -142,7 +145,7 @@ def hot_keys(docs: DataFrame) -> np.ndarray:
                 around = _content(a["h50"], a["start"], a["count"])
                 yield pa.RecordBatch.from_arrays([pa.array(a["key"].view(np.int64)), pa.array(around.view(np.int64))], ["k", "around"])
 
-    few = docs.withColumn("size", F.octet_length("text")).join(F.broadcast(ids), ["did", "size"], "left_semi").select("text")
+    few = docs.withColumn("size", F.octet_length("text")).join(F.broadcast(ids), ["did", "tag", "size"], "left_semi").select("text")
     found = in_arrow(few, run, "k long, around long").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
     return np.sort(found.select("k").toPandas()["k"].to_numpy(np.int64).view(_U))  # at most SAMPLE_BYTES / HOT numbers
 
@@ -167,7 +170,7 @@ def _pack_by_document(did: np.ndarray, tid: np.ndarray, first: np.ndarray, secon
 
     if not len(did):
         return
-    home = (mix64(did.view(_U)) % _U(homes)).astype(np.int64)
+    home = (mix64(did.view(_U) ^ mix64(tid.view(_U))) % _U(homes)).astype(np.int64)
     order = np.lexsort((tid, did, home))
     home, did, tid, first, second = home[order], did[order], tid[order], first[order], second[order]
     new = np.append(True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]))
@@ -181,8 +184,8 @@ def _pack_by_document(did: np.ndarray, tid: np.ndarray, first: np.ndarray, secon
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[i : i + 32]), (pa.int64(), *[pa.binary()] * 5))], [x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype) -> DataFrame:
-    """(did, tid, first, second): the entries of each document in one row, from rows packed for groups of documents."""
+def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype, once: bool = False) -> DataFrame:
+    """(did, tid, first, second): the entries of each document in one row, from rows packed for groups of documents; once: equal ones of tagged rows are one."""
 
     def run(batches):
         import pyarrow as pa
@@ -193,8 +196,12 @@ def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype) -> DataFrame
             many = np.concatenate([np.frombuffer(r[2], np.uint32) for r in held])
             did, tid = (np.repeat(np.concatenate([np.frombuffer(r[k], np.int64) for r in held]), many) for k in (0, 1))
             x, y = (np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((3, first), (4, second)))
-            order = np.lexsort((tid, did))
+            several = once and tid.any()  # rows that agree in id and text send what they have alike
+            order = np.lexsort((y, x, tid, did) if several else (tid, did))
             did, tid, x, y = did[order], tid[order], x[order], y[order]
+            if several:
+                new = np.append(True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+                did, tid, x, y = did[new], tid[new], x[new], y[new]
             at = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (tid[1:] != tid[:-1])))
             ends = np.append(at[1:], len(did))
             for i in range(0, len(at), 2_000):
@@ -215,70 +222,74 @@ def _gathered(packed: DataFrame, first: np.dtype, second: np.dtype) -> DataFrame
 
 
 def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, homes: int) -> DataFrame:
-    """(did, high, low): for each document its anchors that other documents have too, 48 bits each."""
+    """(did, tag, high, low): for each document its anchors that documents with other ids have too, 48 bits each."""
 
-    names = ["bucket", "dids", "many", "high", "low"]
+    names = ["bucket", "dids", "tags", "many", "high", "low"]
 
-    def emit(did, key):
+    def emit(did, tag, key):
         """Rows for documents themselves, with bucket -1."""
         import pyarrow as pa
 
         if len(did):
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x], pa.binary()) for x in (did.tobytes(), b"", key.tobytes(), b""))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x], pa.binary()) for x in (did.tobytes(), tag.tobytes(), b"", key.tobytes(), b""))], names)
 
     def pack(batches):
         import pyarrow as pa
 
-        for held in _blocks(batches, BLOCK_TEXT, "did"):
-            keys, dids = [], []
-            for (ids,), data, offsets in held:
-                ids = ids.to_numpy()
+        for held in _blocks(batches, BLOCK_TEXT, "did", "tag"):
+            keys, dids, tags = [], [], []
+            for (ids, marks), data, offsets in held:
+                ids, marks = ids.to_numpy(), marks.to_numpy()
                 for first, part, cuts, _ in _pieces(data, offsets, PIECE):
                     a = _runs(part, cuts, hot)
+                    doc = first + np.searchsorted(cuts, a["start"], "right") - 1
                     keys.append(a["key"] >> _U(16))
-                    dids.append(ids[first + np.searchsorted(cuts, a["start"], "right") - 1])
-            key, did = np.concatenate(keys), np.concatenate(dids)
-            order = np.lexsort((did, key))
-            key, did = key[order], did[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (did[1:] != did[:-1])) if len(key) else np.zeros(0, bool)
-            key, did = key[new], did[new]
+                    dids.append(ids[doc])
+                    tags.append(marks[doc])
+            key, did, tag = np.concatenate(keys), np.concatenate(dids), np.concatenate(tags)
+            order = np.lexsort((tag, did, key) if tag.any() else (did, key))
+            key, did, tag = key[order], did[order], tag[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (did[1:] != did[:-1]) | (tag[1:] != tag[:-1])) if len(key) else np.zeros(0, bool)
+            key, did, tag = key[new], did[new], tag[new]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             many = np.diff(np.append(at, len(key)))
-            both = np.repeat(many > 1, many)  # shared within the block: all of these know already
-            yield from emit(did[both], key[both].view(np.int64))
-            key, did = key[at], did[at]  # to its bucket an anchor goes once, with its least id
+            both = np.repeat(did[at] != did[at + many - 1], many)  # shared within the block: all of these know already
+            yield from emit(did[both], tag[both], key[both].view(np.int64))
+            go = ~both
+            go[at] = True  # to its bucket such an anchor goes once, with its least id; rows of one id all ask there
+            key, did, tag = key[go], did[go], tag[go]
             bucket = (key % _U(buckets)).astype(np.int64)
-            order = np.lexsort((did, bucket))
-            key, did, bucket = key[order], did[order], bucket[order]
+            order = np.lexsort((tag, did, bucket) if tag.any() else (did, bucket))
+            key, did, tag, bucket = key[order], did[order], tag[order], bucket[order]
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
             out = []
             for s, e in zip(edges, [*edges[1:], len(bucket)]):
-                own, many = np.unique(did[s:e], return_counts=True)
-                out.append((int(bucket[s]), own.tobytes(), many.astype(np.uint32).tobytes(), (key[s:e] >> _U(16)).astype(np.uint32).tobytes(), (key[s:e] & _U(0xFFFF)).astype(np.uint16).tobytes()))
+                own = s + np.flatnonzero(np.append(True, (did[s + 1 : e] != did[s : e - 1]) | (tag[s + 1 : e] != tag[s : e - 1])))
+                many = np.diff(np.append(own, e))
+                out.append((int(bucket[s]), did[own].tobytes(), tag[own].tobytes(), many.astype(np.uint32).tobytes(), (key[s:e] >> _U(16)).astype(np.uint32).tobytes(), (key[s:e] & _U(0xFFFF)).astype(np.uint16).tobytes()))
             for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), (pa.int64(), *[pa.binary()] * 4))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), (pa.int64(), *[pa.binary()] * 5))], names)
 
     def meet(held):
-        did = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(m, np.uint32)) for d, m, _, _ in held])
+        did, tag = (np.concatenate([np.repeat(np.frombuffer(r[k], np.int64), np.frombuffer(r[2], np.uint32)) for r in held]) for k in (0, 1))
         key = np.concatenate([np.frombuffer(h, np.uint32).astype(np.int64) << 16 | np.frombuffer(x, np.uint16) for *_, h, x in held])
         order = np.lexsort((did, key))
-        did, key = did[order], key[order]
+        did, tag, key = did[order], tag[order], key[order]
         new = np.append(True, key[1:] != key[:-1])
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(key)) - 1
         shared = np.repeat(did[at] != did[last], last - at + 1)
-        did, key = did[shared], key[shared]
-        return did, key
+        return did[shared], tag[shared], key[shared]
 
     def run(batches):
         bucket, held = None, []
 
         def done():
             if bucket < 0:
-                did, key = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 2))
+                did, tag, key = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 1, 3))
             else:
-                did, key = meet(held)
-            yield from _pack_by_document(did, np.zeros(len(did), np.int64), (key >> 16).astype(np.uint32), (key & 0xFFFF).astype(np.uint16), homes)
+                did, tag, key = meet(held)
+            yield from _pack_by_document(did, tag, (key >> 16).astype(np.uint32), (key & 0xFFFF).astype(np.uint16), homes)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -291,9 +302,9 @@ def _shared_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, homes: int)
             yield from done()
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("dids", "high")).otherwise(F.col("bucket"))
-    packed = in_arrow(docs.select("did", "text"), pack, "bucket long, dids binary, many binary, high binary, low binary")
+    packed = in_arrow(docs.select("did", "tag", "text"), pack, "bucket long, dids binary, tags binary, many binary, high binary, low binary")
     found = in_arrow(packed.repartition(spread).sortWithinPartitions("bucket"), run, _PACKED)
-    return _gathered(found, np.uint32, np.uint16).select("did", F.col("first").alias("high"), F.col("second").alias("low"))
+    return _gathered(found, np.uint32, np.uint16, once=True).select("did", F.col("tid").alias("tag"), F.col("first").alias("high"), F.col("second").alias("low"))
 
 
 _PIECES = "bucket long, dids binary, tids binary, docs binary, starts binary, counts binary, keys binary, hashes binary, bytes binary"
@@ -599,9 +610,16 @@ def _repeated(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
 
     texts = docs.withColumn("tid", F.xxhash64("text", F.lit(1)))
     texts = only(texts, copies, ["did", "tid"], "left_anti")  # one row for each text, but for rows that repeat id and text
+    again = cut(base.groupBy("did").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("did"), "dedup-again")
+    keys, none = ["did"], F.lit(0).cast("long")
+    if again.isEmpty():
+        texts = texts.withColumn("tag", none)
+    else:
+        keys = ["did", "tag"]
+        texts = only(texts, again, "did", "left_anti").withColumn("tag", none).unionByName(only(texts, again, "did", "left_semi").withColumn("tag", F.col("tid")))
     hot = hot_keys(texts)
     shared = cut(_shared_anchors(texts, hot, buckets, homes), "dedup-anchors")
-    affected = only(texts, shared.select("did"), "did", "left_semi").join(shared, "did")
+    affected = only(texts, shared.select(*keys), keys, "left_semi").join(shared.drop(*({"tag"} - {*keys})), keys)
     verdicts = cut(_verdicts(_cut_pieces(affected.select("did", "tid", "text", "high", "low"), hot, buckets), homes), "dedup-verdicts")
     losing = only(texts, verdicts.select("did", "tid"), ["did", "tid"], "left_semi").join(verdicts, ["did", "tid"])
     return base, _apply(losing.select("did", "tid", "text", "first", "second"), with_text)

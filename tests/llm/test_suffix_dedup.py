@@ -148,3 +148,28 @@ def test_empty(spark):
     assert S.deduplicate(docs).count() == 0 and S.remove_repeated(docs).count() == 0
     some = frame(spark, [(1, None), (2, "")])
     assert result(S.deduplicate(some)) == sorted(brute([(1, None), (2, "")]))
+
+
+def test_rows_without_an_id_take_linear_work(spark, monkeypatch):
+    """Half of all rows share the null id: what comes back to rows grows as these do, and so does the number of their homes."""
+    monkeypatch.setattr(S, "LEAST_TEXT", 1 << 14)
+    r, sizes = random.Random(4), []
+    base = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(3)]
+    seen = []
+    gathered = S._gathered
+
+    def spy(packed, *args, **kw):
+        out = S.cut(gathered(packed, *args, **kw), "spied")
+        seen.append((out, packed.select("home").distinct().count()))
+        return out
+
+    monkeypatch.setattr(S, "_gathered", spy)
+    for n in (200, 400):
+        rows = [(None if i % 2 else i, f"{r.choice(base)[r.randint(0, 9) :]} {i} {r.choice(base)[: r.randint(60, 200)]}") for i in range(n)]
+        rows += [(None, rows[1][1])] * 20 + [(4, rows[2][1]), (4, rows[2][1] + "!")]
+        seen.clear()
+        assert result(S.deduplicate(frame(spark, rows))) == sorted(brute(rows))
+        anchors, homes = seen[0]
+        sizes.append(sum(len(x.first) + len(x.second) for x in anchors.collect()))
+        assert homes > 1 and seen[1][1] > 1
+    assert sizes[1] < 2.4 * sizes[0]
