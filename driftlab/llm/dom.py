@@ -20,8 +20,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes".split())
-#: Elements that are no article by what they are: scripts, styles, the page's head and forms. On all others the trees decide.
-NEVER = RAW | frozenset("head template form button select option label legend fieldset datalist".split())
+#: Elements that are no article by what they are: scripts, styles, drawings, the page's head and the controls of forms. On all others the trees decide.
+NEVER = RAW | frozenset("head template noscript svg math button select optgroup option label legend datalist output meter progress".split())
+#: What is counted for an element that may be a form, or hold one.
+CONTROLS = frozenset("input button select textarea label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: A start tag closes an open element of these, up to the given scopes.
@@ -39,7 +41,7 @@ _GROUPS = {
 }
 _TOKENS = {w: g for g, ws in _GROUPS.items() for w in ws}
 GROUPS = list(_GROUPS)
-TAGS = [{"p", "blockquote", "pre", "dd", "dt"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li"}, {"ul", "ol", "menu", "dl"}, {"div", "section", "center"}, {"article"}, {"main"}, {"nav"}, {"aside"}, {"footer", "address"}, {"header", "hgroup"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"figure", "figcaption"}, {"body", "html"}]
+TAGS = [{"p", "blockquote", "pre", "dd", "dt"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li"}, {"ul", "ol", "menu", "dl"}, {"div", "section", "center"}, {"article"}, {"main"}, {"nav"}, {"aside"}, {"footer", "address"}, {"header", "hgroup"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"figure", "figcaption"}, {"body", "html"}, {"form", "fieldset"}]
 _TAG_CODE = {t: i + 1 for i, ts in enumerate(TAGS) for t in ts}
 
 
@@ -65,11 +67,12 @@ def tag_end(source: str, at: int) -> tuple[int, int]:
 class Page:
     """tags, parents and attribute words of the elements, and the text as (element, raw text) with None between blocks."""
 
-    __slots__ = ("tag", "parent", "words", "never", "pieces", "at", "size")
+    __slots__ = ("tag", "parent", "words", "never", "pieces", "at", "size", "controls")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.words, self.never, self.at = ["html"], [-1], [()], [False], [0]
         self.pieces: list = []
+        self.controls: list[int] = []  # the element that holds each control
         self.size = max(1, len(source))
         stack, pos = [0], 0
         tag, pieces, body = self.tag, self.pieces, False
@@ -124,6 +127,8 @@ class Page:
                 continue
             if name in BLOCK:
                 pieces.append(None)
+            if name in CONTROLS and "hidden" not in attrs.lower():
+                self.controls.append(stack[-1])
             if name in VOID:
                 continue
             if name in _ENDS_P and opened["p"]:
@@ -196,6 +201,9 @@ class Page:
             digits[k] += size if size < 4 else 0
         parent = [index[of[self.parent[v]]] if v else -1 for v in nodes]
         sub, sub_link, sub_stops, tags, kids, blocks = own[:], linked[:], stops[:], [1] * n, [0] * n, [1 if x else 0 for x in own]
+        asks = [0] * n
+        for e in self.controls:
+            asks[index[of[e]]] += 1
         for k in range(n - 1, 0, -1):
             p = parent[k]
             sub[p] += sub[k]
@@ -203,6 +211,7 @@ class Page:
             sub_stops[p] += sub_stops[k]
             tags[p] += tags[k]
             blocks[p] += blocks[k]
+            asks[p] += asks[k]
             kids[p] += 1
         total = max(1, sub[0])
         rows, depth, code, hit, above, place, same = [], [0] * n, [0] * n, [None] * n, [None] * n, [0] * n, {}
@@ -233,7 +242,7 @@ class Page:
             rows.append([
                 code[k], code[p], depth[k], kids[k], place[k], place[k] / max(1, seen[p]), same.get((p, code[k]), 1),
                 math.log1p(own[k]), math.log1p(sub[k]), sub[k] / total, sub_link[k] / max(1, sub[k]), sub_link[p] / max(1, sub[p]), sub[k] / tags[k], sub_stops[k] / max(1, sub[k]) * 100,
-                blocks[k], sub[k] / max(1, sub[p]), self.at[v] / self.size, *hit[k], *above[k], *hit[p],
+                blocks[k], sub[k] / max(1, sub[p]), self.at[v] / self.size, asks[k], asks[k] / (1 + sub[k]) * 100, *hit[k], *above[k], *hit[p],
             ])
         return nodes, np.array(rows, np.float32)
 

@@ -124,7 +124,9 @@ def synthetic_page(r: random.Random) -> str:
     top = lambda: wrap("header", ["header", "masthead", "site-header", "topbar"], r.choice(("", f"<h1>{sentence(1, 4)}</h1>", f"<div class=\"logo\">{word()}</div>")) + r.choice((f"<p>{sentence(2, 8)}</p>", menu(), sentence(1, 6))))
     foot = lambda: wrap("footer", ["footer", "site-footer", "copyright", "legal"], r.choice((f"&copy; {word()} {sentence(2, 20)}", f"<p>{prose(3)}</p>", f"<p>{sentence(2, 9)}</p><ul><li>{link()}</li><li>{link()}</li></ul>")))
     share = lambda: wrap("", ["share", "social-share", "share-links"], " ".join(link() for _ in range(3)))
-    form = lambda: wrap("", ["newsletter", "subscribe", "login", "search"], f"<form><p>{sentence(2, 9)}</p><label>{word()}</label><input name=q><button>{word()}</button></form>")
+    control = lambda: r.choice((f"<label>{word()}</label><input name={word()}>", f"<input placeholder={word()}>", f"<select><option>{word()}<option>{word()}</select>", "<textarea></textarea>"))
+    bare_form = lambda: f"<form{r.choice(("", "", f" id={word()}", " class=search-form", " action=/send method=post"))} data-y=\"0\">" + r.choice((f"<p>{sentence(2, 9)}</p>", f"<h3>{sentence(1, 4)}</h3>", sentence(1, 6), f"<fieldset><legend>{word()}</legend>{sentence(1, 4)}</fieldset>", "")) + "".join(r.choice((control(), f"<div>{word()} {control()}</div>", f"<p>{sentence(1, 4)} {control()}</p>")) for _ in range(r.randint(1, 4))) + f"<button>{word()}</button>" * (r.random() < 0.7) + "</form>"
+    form = lambda: bare_form() if r.random() < 0.5 else wrap("", ["newsletter", "subscribe", "login", "search"], bare_form())
 
     def talk() -> str:
         one = lambda: wrap("" if r.random() < 0.7 else "article", ["comment", "reply", "comment-body"], f"<p>{prose(3)}</p>" if r.random() < 0.8 else prose(2), 0, 0.1)
@@ -149,11 +151,14 @@ def synthetic_page(r: random.Random) -> str:
             return f'<figure data-y="1"><img src=x><figcaption data-y="1">{sentence(2, 12)}</figcaption></figure>'
         return f'<p data-y="1">{prose(2)} {link()} {prose(2)}</p>'
 
+    if r.random() < 0.06:  # a page that is nothing but a few blocks, often of a word or a letter
+        few = "".join(f'<p data-y="1">{r.choice((r.choice("abcdefgh"), word(), sentence(1, 3), prose(2)))}</p>' for _ in range(r.randint(1, 4)))
+        return few if r.random() < 0.5 else f"<html><body>{few}</body></html>"
     body = [part() for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 14)))]
     head = f'<h1 data-y="1">{sentence(1, 12)}</h1>' if r.random() < 0.85 or not body else ""
     if head and r.random() < 0.15:
         head = f'<header data-y="1">{head}</header>'
-    for extra, p in ((ad, 0.3), (share, 0.15), (side, 0.15), (form, 0.1), (notice, 0.05)):
+    for extra, p in ((ad, 0.3), (share, 0.15), (side, 0.15), (form, 0.2), (notice, 0.05)):
         if r.random() < p:
             body.insert(r.randint(0, len(body)), extra())
     if r.random() < 0.12:
@@ -167,6 +172,8 @@ def synthetic_page(r: random.Random) -> str:
     page = "".join([*before, core, *after])
     if r.random() < 0.3:
         page = f'<div id="{r.choice(("wrapper", "page", "container", "root", word()))}" data-y="1">{page}</div>'
+    if r.random() < 0.15:  # some sites put a form around the whole page
+        page = f'<form{r.choice(("", f" id={word()}", " id=aspnetForm", " action=/ method=post"))} data-y="1"><input type=hidden name={word()}>{page}</form>'
     return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{page}</body></html>"
 
 
@@ -193,7 +200,7 @@ def _weak_labels(page: Page, nodes: list[int]) -> np.ndarray | None:
             v = page.parent[v]
     for v in range(1, len(page.tag)):
         inside[v] = inside[page.parent[v]] or page.tag[v] in ("article", "main")
-        out[v] = out[page.parent[v]] or page.tag[v] in ("nav", "aside", "footer") or page.never[v]
+        out[v] = out[page.parent[v]] or page.tag[v] in ("nav", "aside", "footer") or page.tag[v] == "form" and v not in holds or page.never[v]
     return np.array([int(v in holds or inside[v] and not out[v]) for v in nodes])
 
 

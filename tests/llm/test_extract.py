@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -94,3 +95,31 @@ def test_hostile_pages_take_linear_time(page):
     p.text([True] * len(p.tag))
     E._weak_labels(p, p.deciding())
     assert time.perf_counter() - began < 5
+
+
+HAND = [
+    ("<body><form id=aspnetForm><div class=content><h1>Title</h1><p>First words of it, and more.</p><p>Second words of it, at last.</p></div></form>", "Title\nFirst words of it, and more.\nSecond words of it, at last."),
+    ("<form id=aspnetForm action=/ method=post><input type=hidden name=v><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><article><h1>The river</h1><p>It rose in the night, and by noon it stood in the street.</p><p>Nobody was hurt.</p></article><form class=search><label>Find</label><input name=q><button>Go</button></form><footer>&copy; us</footer></form>", "The river\nIt rose in the night, and by noon it stood in the street.\nNobody was hurt."),
+    ("<article><h1>Bread</h1><p>Mix flour and water, then wait for an hour.</p><form action=/send><p>Your mail</p><input name=mail><button>Send</button></form><p>Bake it until it is brown.</p></article>", "Bread\nMix flour and water, then wait for an hour.\nBake it until it is brown."),
+    ("<main><h1>Map</h1><noscript>Enable JavaScript</noscript><svg><text>chart</text><title>t</title></svg><p>The town lies between two hills, south of the lake.</p></main>", "Map\nThe town lies between two hills, south of the lake."),
+    ("<div class=header><p>The Daily</p></div><div class=post><h2>Frost</h2><p>The frost came early this year, growers say.</p><ul><li>Apples were lost.<li>Pears were not.</ul></div><div class=comments><div class=comment><p>So sad!</p></div></div>", "Frost\nThe frost came early this year, growers say.\nApples were lost.\nPears were not."),
+    ("<div id=cookie-notice><p>We use cookies.</p></div><section class=entry><h1>Two ships</h1><blockquote><p>We saw them at dawn, side by side.</p></blockquote><table><tr><td>Length</td><td>Forty metres</td></tr></table></section><aside class=sidebar><h3>Popular</h3><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></aside>", "Two ships\nWe saw them at dawn, side by side.\nLength\nForty metres"),
+    ("<form class=login><label>Name</label><input name=n><label>Word</label><input type=password name=p><button>Enter</button></form><article><h1>A short note</h1><p>Shops open at nine from Monday on.</p></article>", "A short note\nShops open at nine from Monday on."),
+]
+
+
+@pytest.mark.parametrize("page,want", HAND)
+def test_pages_labelled_by_hand(model, page, want):
+    assert E.main_text(f"<!DOCTYPE html><html><head><title>x</title></head>{page}</html>", model) == want
+
+
+def test_tags_and_names_are_not_all_that_the_trees_go_by(model):
+    """Generated pages keep their text when every telling tag becomes a div and every class, id and role goes."""
+    r, same, n = random.Random(41), 0, 100
+    for _ in range(n):
+        source = E.synthetic_page(r)
+        want = E.main_text(source, model)
+        bare = re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"(</?)(article|main|nav|aside|footer|header|section)\b", r"\1div", source))
+        a, b = set(want.split()), set(E.main_text(bare, model).split())
+        same += 2 * len(a & b) / max(1, len(a) + len(b))
+    assert same / n > 0.75
