@@ -21,7 +21,10 @@ the least of their ids.
 Frequent strings: a key must not gather all documents that hold a common line. An anchor with ``HOT`` or more different
 surroundings in a sample of documents is not used: each of its windows has its own 50 bytes for an anchor, in steps 2 to
 4 alike. In the same way a key of over ``CROWD`` different pieces is divided within its task into keys by windows of 50
-bytes. Both only divide the work: every piece of a key that two documents have goes through the suffix order.
+bytes. Both only divide the work.
+
+So of a passage that is copied unchanged the least piece goes on, and its copies are told by the hash of their bytes, not
+by the suffix order; that order decides the windows of pieces that differ.
 
 Rows that share an id, null ids above all, are told apart by a tag, a hash of their text (0 where an id is the only one
 of its kind): anchors and verdicts come back to a row and not to an id, so the work stays linear in such rows.
