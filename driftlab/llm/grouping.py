@@ -24,7 +24,7 @@ def suffix_order(t: np.ndarray, problem: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     slots = np.arange(n)
-    sa = np.lexsort((t, problem))
+    sa = np.sort((problem * (int(t.max()) + 1) + t) * n + slots) % n  # by problem, number and place
     pos = np.empty(n, np.int64)
     pos[sa] = slots
     ts, ps = t[sa], problem[sa]

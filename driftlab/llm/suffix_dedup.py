@@ -14,22 +14,21 @@ least hash among its 35 (the leftmost of equal ones); consecutive windows mostly
    neighbours in that order that agree in 50 bytes form a group, and the group's least id tells for each window whether
    it is a repetition. The verdicts go back to the documents as bit masks.
 
-Copies of a piece are combined before they are sorted, by a hash of their bytes: of the equal pieces of a block of
-documents the one of the least id goes on (the others repeat it), and those that meet in a key are sorted as one, with
-the least of their ids.
+A hash of a piece's bytes says which pieces are sorted together first, and the suffix order which of them are equal: within
+a block of documents pieces are sorted beside the one of their hash with the least id (as runs, where they go on from each
+other), and only that one goes on; those that meet in a key are sorted ``FOLD`` at a time until one of each is left,
+and then all that differ together. No piece is sorted alone.
 
 Frequent strings: a key must not gather all documents that hold a common line. An anchor with ``HOT`` or more different
 surroundings in a sample of documents is not used: each of its windows has its own 50 bytes for an anchor, in steps 2 to
 4 alike. In the same way a key of over ``CROWD`` different pieces is divided within its task into keys by windows of 50
 bytes. Both only divide the work.
 
-So of a passage that is copied unchanged the least piece goes on, and its copies are told by the hash of their bytes, not
-by the suffix order; that order decides the windows of pieces that differ.
-
 Rows that share an id, null ids above all, are told apart by a tag, a hash of their text (0 where an id is the only one
 of its kind): anchors and verdicts come back to a row and not to an id, so the work stays linear in such rows.
 
-Hashes of 64 bits or more stand for bytes when pieces or texts are compared for equality.
+A window counts as repeated only in a group of the suffix order, whose neighbours agree in all 50 bytes. Hashes only rule
+windows out; of whole texts SHA-256 stands for the bytes.
 
 Defined results: a null text is empty; ids that are null count as larger than all others and equal to each other;
 documents with the same id don't remove anything from each other; ties and repeated rows are documents of their own;
@@ -55,6 +54,7 @@ PIECE = 1 << 18  # bytes that are looked at together; a place among them has 24
 BLOCK_TEXT = 8 << 20  # bytes of documents whose anchors or pieces leave a task together
 BUCKET_TEXT, HOME_TEXT, LEAST_TEXT = 8 << 20, 32 << 20, 1 << 20  # bytes of documents for each bucket of anchors, each group of documents that verdicts come back to, and each task at least
 LOT_PIECES, LOT_BYTES = 10_000, 1 << 17  # pieces that are judged, and numbers that are sorted, together
+FOLD, RUN = 8, 256  # copies that are sorted together, and windows of a run of pieces
 SALTS = 32  # parts of a text's copies
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -348,15 +348,11 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             if not cols["key"]:
                 continue
             key, did, tid, start, count, hash_, of, raw = (np.concatenate(cols[k]) for k in ("key", "did", "tid", "start", "count", "hash", "of", "raw"))
-            # of equal pieces those of the least id go on; for the others every window is a repetition
-            order = np.lexsort((did, hash_))
-            same = np.append(False, hash_[order][1:] == hash_[order][:-1])
-            heads = np.flatnonzero(~same)
-            least = np.repeat(did[order][heads], np.diff(np.append(heads, len(order))))
-            known = did[order] > least
-            yield from _packed(pa, np.full(known.sum(), -1), *(x[order][known] for x in (key, did, tid, start, count, hash_)), None)
-            go = order[~known]
             parts = [p for p, _ in cols["bytes"]]
+            at = np.cumsum([0, *map(len, parts)])[of] + raw
+            known = _repeat_in_block(did, count, hash_, at, np.concatenate(parts))
+            yield from _packed(pa, np.full(known.sum(), -1), *(x[known] for x in (key, did, tid, start, count, hash_)), None)
+            go = np.flatnonzero(~known)
             bucket = (key[go] % _U(buckets)).astype(np.int64)
             o = np.lexsort((key[go], bucket))
             go, bucket = go[o], bucket[o]
@@ -365,6 +361,51 @@ def _cut_pieces(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return in_arrow(docs, run, _PIECES)
 
 
+def _repeat_in_block(did: np.ndarray, count: np.ndarray, hash_: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which pieces a document of the block with a smaller id has too, as the suffix order shows.
+
+    Each piece is held against the one of its hash with the least id; pieces that go on from each other, as those do, are one run.
+    """
+    order = np.lexsort((did, hash_))
+    heads = np.flatnonzero(np.append(True, hash_[order][1:] != hash_[order][:-1]))
+    other = np.empty(len(order), np.int64)
+    other[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    known = did > did[other]
+    own = np.flatnonzero(known)
+    own = own[np.argsort(at[own])]
+    if len(own):
+        a, b, n = at[other[own]], at[own], count[own]
+        new = np.append(True, (b[1:] != b[:-1] + n[:-1]) | (a[1:] != a[:-1] + n[:-1]))
+        first = np.flatnonzero(new)
+        before = np.cumsum(n) - n
+        inside = before - np.repeat(before[first], np.diff(np.append(first, len(n))))
+        first = np.flatnonzero(new | np.append(False, inside[1:] // RUN != inside[:-1] // RUN))
+        shown = _shown(a[first], b[first], np.add.reduceat(n, first), data)
+        known[own] = np.logical_and.reduceat(shown, before)
+    return known
+
+
+def _shown(a: np.ndarray, b: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For pairs of runs of windows, at a and b in data: which windows of the second ones, end to end, are in a group with one of the first."""
+    out, starts = np.zeros(size.sum(), bool), np.cumsum(size) - size
+    order = np.lexsort((b, size, a))
+    cost = np.cumsum(size[order] + LENGTH)
+    s = 0
+    while s < len(order):
+        e = max(s + 1, int(np.searchsorted(cost, (cost[s - 1] if s else 0) + LOT_BYTES, "right")))
+        own = order[s:e]
+        new = np.append(True, (a[own][1:] != a[own][:-1]) | (size[own][1:] != size[own][:-1]))
+        rank = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = rank % (FOLD - 1) == 0  # a run and FOLD - 1 of those that may be its copies are sorted together
+        lots, lot = int(first.sum()), np.cumsum(first) - 1
+        group, label = np.append(np.arange(lots), lot), np.append(np.zeros(lots, np.int64), np.ones(len(own), np.int64))
+        least = _sorted(group, label, np.append(size[own][first], size[own]), np.append(a[own][first], b[own]), data)[lots:]
+        p, w = _windows(size[own])
+        out[starts[own][p] + w] = least[p, w] == 0
+        s = e
+    return out
+
+
 def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
     """Rows of pieces of one bucket, each with a list of its documents; without source (verdicts known already) neither keys nor bytes."""
     names = [x.split()[0] for x in _PIECES.split(", ")]
@@ -389,16 +430,24 @@ def _packed(pa, bucket, key, did, tid, start, count, hash_, source):
 
 def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarray, at: np.ndarray, data: np.ndarray, crowded: int = CROWD) -> np.ndarray:
     """For each piece, the windows (as bits) that also start in a document with a smaller id. at: where its bytes begin in data."""
-    # equal pieces of a key are one piece, with the least of their ids
     order = np.lexsort((did, hash_, key))
     k, h = key[order], hash_[order]
-    new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))
+    keys = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    several = np.maximum.reduceat(did[order], keys) > np.minimum.reduceat(did[order], keys)
+    met = np.empty(len(order), bool)
+    met[order] = np.repeat(several, np.diff(np.append(keys, len(order))))  # a key that only one document has repeats nothing
+    # equal pieces of a key are one piece, with the least of their ids
+    kin, root = np.empty(len(order), np.int64), np.arange(len(order))
+    kin[order] = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
+    some = np.flatnonzero(met)
+    root[some] = some[_alike(kin[some], did[some], count[some], at[some], data)]
+    one = order[root[order] == order]
     of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    met = np.maximum.reduceat(did[order], (heads := np.flatnonzero(np.append(True, k[1:] != k[:-1])))) > np.minimum.reduceat(did[order], heads)
-    one, starts = order[new], np.flatnonzero(new)
-    lone = np.maximum.reduceat(did[order], starts) == did[one]
-    go = met[(np.cumsum(np.append(True, k[1:] != k[:-1])) - 1)[new]]  # a key that only one document has repeats nothing
+    of[one] = np.arange(len(one))
+    of = of[root]
+    most = did[one]
+    np.maximum.at(most, of, did)
+    lone, go = most == did[one], met[one]
     least = np.repeat(did[one][:, None], int(count.max()), 1)
     if go.any():
         least[go, : int(count[one[go]].max())] = _least(key[one[go]], did[one[go]], lone[go], count[one[go]], at[one[go]], data, crowded)
@@ -408,6 +457,36 @@ def _judge(key: np.ndarray, did: np.ndarray, count: np.ndarray, hash_: np.ndarra
     return bits
 
 
+def _alike(kin: np.ndarray, did: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each piece the one with the least id of those that the suffix order shows to be equal to it.
+
+    Pieces of one kin, a hash of their bytes, are sorted FOLD at a time; those that are left of each lot meet those of the others.
+    """
+    root = np.arange(len(kin))
+    todo = np.lexsort((did, kin))
+    while True:
+        heads = np.flatnonzero(np.append(True, kin[todo][1:] != kin[todo][:-1]))
+        many = np.diff(np.append(heads, len(todo)))
+        rank, many = np.arange(len(todo)) - np.repeat(heads, many), np.repeat(many, many)
+        todo, rank, many = todo[many > 1], rank[many > 1], many[many > 1]
+        if not len(todo):
+            break
+        first = rank % FOLD == 0
+        busy = ~first | (rank + 1 < many)  # the last lot of a kin may be one piece
+        own = todo[busy]
+        group = _sorted(np.cumsum(first[busy]), np.arange(len(own)) << 6, size[own], at[own], data, 1)
+        lead = group[:, 0] >> 6
+        same = (group == group[lead]) | (np.arange(group.shape[1]) >= size[own][:, None])
+        root[own] = np.where(same.all(1) & (size[own] == size[own][lead]), own[lead], own)
+        left = todo[root[todo] == todo]
+        if len(left) == len(todo):
+            break
+        todo = left
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
 def _windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For all windows of pieces of the given sizes: the piece and the place in it."""
     piece = np.repeat(np.arange(len(size)), size)
@@ -459,17 +538,21 @@ def _least(key: np.ndarray, did: np.ndarray, lone: np.ndarray, size: np.ndarray,
     low = np.repeat(did[some][:, None], int(size.max()), 1)
     crowd = np.bincount(group)[group] > crowded
     if crowd.any():
-        # each shared window of a crowded key is a key of its own, and equal ones are one piece
+        # each shared window of a crowded key is a key of its own
         p, w = _windows(size[crowd])
         c = np.flatnonzero(crowd)[p]
-        k = h[first[c] + w]
-        go = np.flatnonzero(shared[first[c] + w])
-        order = go[np.lexsort((did[some][c[go]], k[go]))]
-        new = np.append(True, k[order][1:] != k[order][:-1])
-        one = order[new]
-        found = _sorted(np.arange(len(one)), did[some][c[one]], np.ones(len(one), np.int64), (at[c] + w)[one], data)[:, 0]
-        low[c[order], w[order]] = found[np.cumsum(new) - 1]
-    rest = np.flatnonzero(~crowd)
+        go = shared[first[c] + w]
+        c, w = c[go], w[go]
+        k, ids, one = h[first[c] + w], did[some][c], np.ones(len(c), np.int64)
+        root = _alike(k, ids, one, at[c] + w, data)
+        top = np.flatnonzero(root == np.arange(len(root)))
+        _, of, many = np.unique(k[top], return_inverse=True, return_counts=True)
+        if (many > 1).any():  # different windows of one hash
+            own = many[of] > 1
+            ids[top[own]] = _sorted(of[own], ids[top[own]], one[top[own]], (at[c] + w)[top[own]], data)[:, 0]
+        low[c, w] = ids[root]
+    group = np.where(crowd, group.max() + 1, group)
+    rest = np.flatnonzero(~crowd & (np.bincount(group)[group] > 1))
     if len(rest):
         found = _sorted(group[rest], did[some][rest], size[rest], at[rest], data)
         low[rest, : found.shape[1]] = found
@@ -478,9 +561,9 @@ def _least(key: np.ndarray, did: np.ndarray, lone: np.ndarray, size: np.ndarray,
     return out
 
 
-def _sorted(group: np.ndarray, did: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For each piece and window the least id of its group's pieces that hold the window, by their suffixes."""
-    out = np.repeat(did[:, None], int(size.max()), 1)
+def _sorted(group: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray, step: int = 0) -> np.ndarray:
+    """For each piece and window the least label (ids, mostly) of its group's pieces that hold the window, by their suffixes; the labels of a piece's windows rise by step."""
+    out = label[:, None] + step * np.arange(int(size.max()))
     total = np.bincount(group, size + LENGTH)
     todo = np.lexsort((np.arange(len(group)), group, total[group]))  # groups of about the same size together
     ends = np.cumsum(size[todo] + LENGTH)
@@ -489,12 +572,12 @@ def _sorted(group: np.ndarray, did: np.ndarray, size: np.ndarray, at: np.ndarray
         e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + LOT_BYTES, "right")))
         while e < len(todo) and group[todo[e]] == group[todo[e - 1]]:
             e += 1
-        _by_suffixes(todo[s:e], group, at, size, did, data, out)
+        _by_suffixes(todo[s:e], group, at, size, data, out)
         s = e
     return out
 
 
-def _by_suffixes(todo, group, at, size, did, data, out) -> None:
+def _by_suffixes(todo, group, at, size, data, out) -> None:
     length = size[todo] + LENGTH  # the bytes of a piece and its end
     first = np.cumsum(length) - length
     n = int(length.sum())
@@ -515,8 +598,9 @@ def _by_suffixes(todo, group, at, size, did, data, out) -> None:
     for j in (0, 7, 14, 21, 28, 35, 42, 43):
         agree &= w7[a + j] == w7[b + j]
     start = np.flatnonzero(np.append(True, ~agree))
-    low = np.minimum.reduceat(did[todo][piece[sa]], start)
-    out[todo[piece[sa]], inside[sa]] = np.repeat(low, np.diff(np.append(start, len(sa))))
+    own, at_window = todo[piece[sa]], inside[sa]
+    low = np.minimum.reduceat(out[own, at_window], start)
+    out[own, at_window] = np.repeat(low, np.diff(np.append(start, len(sa))))
 
 
 def _verdicts(pieces: DataFrame, homes: int) -> DataFrame:

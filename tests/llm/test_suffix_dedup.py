@@ -73,15 +73,18 @@ def test_matches_brute_force(spark, monkeypatch, hot, crowd, block):
 
 @pytest.mark.parametrize("hot,crowd", [(False, 64), (True, 64), (False, 2)])
 def test_repetitions_are_found_by_suffix_order(monkeypatch, hot, crowd):
-    """Every removed window was sorted into a group of the suffix order, whatever way it came, with its least id."""
+    """Every removed window was in a group of the suffix order with windows of other pieces, the least id's among them; nothing is sorted alone."""
     rows = [(i, t) for i, t in corpus(3) if t]
-    seen, sort = {}, S._by_suffixes
+    paired, sort = set(), S._by_suffixes
 
-    def watched(todo, group, at, size, did, data, out):
+    def watched(todo, group, at, size, data, out):
+        met = {}
         for k in todo.tolist():
             for w in range(int(size[k])):
-                seen.setdefault(data[at[k] + w : at[k] + w + 50].tobytes(), set()).add(int(did[k]))
-        sort(todo, group, at, size, did, data, out)
+                met.setdefault((int(group[k]), data[at[k] + w : at[k] + w + 50].tobytes()), set()).add(k)
+        sort(todo, group, at, size, data, out)
+        assert np.unique(group[todo], return_counts=True)[1].min() > 1
+        paired.update(x for (_, x), pieces in met.items() if len(pieces) > 1)
 
     monkeypatch.setattr(S, "_by_suffixes", watched)
     cols = [[] for _ in range(6)]
@@ -110,10 +113,37 @@ def test_repetitions_are_found_by_suffix_order(monkeypatch, hot, crowd):
             assert (b >> w & 1) == (least[x] < d)
             if b >> w & 1:
                 removed += 1
-                assert least[x] in seen[x]
+                assert x in paired
     assert removed > 1_000
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_equal_pieces_are_told_by_suffix_order_whatever_their_hashes(alike):
+    """alike: all hashes are the same, so that only the order can tell pieces apart."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("ab", k=r.choice((50, 50, 51, 60, 84)))).encode() for _ in range(6)] + [b"a" * 60, b"ab" * 30]
+    pieces = [(r.randint(0, 9), r.choice(texts)) for _ in range(90)]
+    data = np.frombuffer(b"".join(t for _, t in pieces), np.uint8)
+    at = np.cumsum([0] + [len(t) for _, t in pieces])[:-1]
+    did, count = np.array([d for d, _ in pieces]), np.array([len(t) - 49 for _, t in pieces])
+    hash_ = np.array([0 if alike else texts.index(t) for _, t in pieces]).astype(np.uint64)
+    known = S._repeat_in_block(did, count, hash_, at, data)
+    for (d, t), k in zip(pieces, known.tolist()):
+        truth = min(x for x, y in pieces if t in y) < d
+        assert truth >= k and (alike or k == (min(x for x, y in pieces if y == t) < d))
+    for crowd in (64, 1):
+        bits = S._judge(np.zeros(90, np.uint64), did, count, hash_, at, data, crowd)
+        for (d, t), b in zip(pieces, bits.tolist()):
+            for w in range(len(t) - 49):
+                assert (b >> w & 1) == (min(x for x, y in pieces if t[w : w + 50] in y) < d)
+
+
+def test_copies_that_go_on_from_each_other_are_one_run(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 40)
+    rows = corpus(13)
+    assert result(S.deduplicate(frame(spark, rows, 1))) == sorted(brute(rows))
+
+
 def test_long_documents_are_looked_at_in_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 300)
     rows = corpus(11, 60) + [(70_000, " ".join(t or "" for _, t in corpus(11, 60)))]
