@@ -24,7 +24,11 @@ def suffix_order(t: np.ndarray, problem: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     slots = np.arange(n)
-    sa = np.sort((problem * (int(t.max()) + 1) + t) * n + slots) % n  # by problem, number and place
+    letters = int(t.max()) + 1
+    if (int(problem[-1]) + 1) * letters * n < 1 << 63:
+        sa = np.sort((problem * letters + t) * n + slots) % n  # by problem, number and place
+    else:
+        sa = np.lexsort((t, problem))
     pos = np.empty(n, np.int64)
     pos[sa] = slots
     ts, ps = t[sa], problem[sa]

@@ -16,8 +16,8 @@ least hash among its 35 (the leftmost of equal ones); consecutive windows mostly
 
 A hash of a piece's bytes says which pieces are sorted together first, and the suffix order which of them are equal: within
 a block of documents pieces are sorted beside the one of their hash with the least id (as runs, where they go on from each
-other), and only that one goes on; those that meet in a key are sorted ``FOLD`` at a time until one of each is left,
-and then all that differ together. No piece is sorted alone.
+other), and only that one goes on; those that meet in a key are sorted ``FOLD`` at a time, over letters of four bytes, until one of
+each is left, and then all that differ together. No piece is sorted alone.
 
 Frequent strings: a key must not gather all documents that hold a common line. An anchor with ``HOT`` or more different
 surroundings in a sample of documents is not used: each of its windows has its own 50 bytes for an anchor, in steps 2 to
@@ -474,10 +474,7 @@ def _alike(kin: np.ndarray, did: np.ndarray, size: np.ndarray, at: np.ndarray, d
         first = rank % FOLD == 0
         busy = ~first | (rank + 1 < many)  # the last lot of a kin may be one piece
         own = todo[busy]
-        group = _sorted(np.cumsum(first[busy]), np.arange(len(own)) << 6, size[own], at[own], data, 1)
-        lead = group[:, 0] >> 6
-        same = (group == group[lead]) | (np.arange(group.shape[1]) >= size[own][:, None])
-        root[own] = np.where(same.all(1) & (size[own] == size[own][lead]), own[lead], own)
+        root[own] = own[_first_equal(np.cumsum(first[busy]), size[own] + LENGTH - 1, at[own], data)]
         left = todo[root[todo] == todo]
         if len(left) == len(todo):
             break
@@ -487,6 +484,38 @@ def _alike(kin: np.ndarray, did: np.ndarray, size: np.ndarray, at: np.ndarray, d
     return root
 
 
+def _first_equal(group: np.ndarray, length: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each piece the first of its group (these ascend) that equals it, by the order of their suffixes over letters of four bytes."""
+    out = np.arange(len(group))
+    letters = (length + 3) // 4 + 1  # with an end
+    ends = np.cumsum(letters)
+    s = 0
+    while s < len(group):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + LOT_BYTES, "right")))
+        while e < len(group) and group[e] == group[e - 1]:
+            e += 1
+        own, n = length[s:e], letters[s:e]
+        piece, place = _windows(n)
+        t = np.zeros(len(piece), np.int64)
+        for j in range(4):
+            inside = 4 * place + j < own[piece]
+            t[inside] |= data[at[s:e][piece[inside]] + 4 * place[inside] + j].astype(np.int64) << (8 * (3 - j))
+        t[place < n[piece] - 1] += 1
+        problem = np.cumsum(np.append(True, group[s + 1 : e] != group[s : e - 1]))[piece]
+        sa = suffix_order(t, problem)
+        sa = sa[place[sa] == 0]
+        a, b = sa[:-1], sa[1:]
+        agree = (problem[a] == problem[b]) & (own[piece[a]] == own[piece[b]])
+        for j in range(int(n.max()) - 1):
+            both = np.flatnonzero(agree & (j < n[piece[a]] - 1))
+            agree[both] = t[a[both] + j] == t[b[both] + j]
+        start = np.flatnonzero(np.append(True, ~agree))
+        found = s + piece[sa]
+        out[found] = np.repeat(np.minimum.reduceat(found, start), np.diff(np.append(start, len(sa))))
+        s = e
+    return out
+
+
 def _windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For all windows of pieces of the given sizes: the piece and the place in it."""
     piece = np.repeat(np.arange(len(size)), size)
@@ -561,9 +590,9 @@ def _least(key: np.ndarray, did: np.ndarray, lone: np.ndarray, size: np.ndarray,
     return out
 
 
-def _sorted(group: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray, step: int = 0) -> np.ndarray:
-    """For each piece and window the least label (ids, mostly) of its group's pieces that hold the window, by their suffixes; the labels of a piece's windows rise by step."""
-    out = label[:, None] + step * np.arange(int(size.max()))
+def _sorted(group: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each piece and window the least label (ids, mostly) of its group's pieces that hold the window, by their suffixes."""
+    out = np.repeat(label[:, None], int(size.max()), 1)
     total = np.bincount(group, size + LENGTH)
     todo = np.lexsort((np.arange(len(group)), group, total[group]))  # groups of about the same size together
     ends = np.cumsum(size[todo] + LENGTH)

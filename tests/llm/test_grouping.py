@@ -39,5 +39,13 @@ def test_fibonacci_and_long_runs():
         assert suffix_order(t, np.zeros(len(t), int)).tolist() == brute(t, [0] * len(t))
 
 
+def test_large_numbers():
+    r = random.Random(2)
+    for top in (1 << 32, 1 << 61):
+        t = [x for _ in range(40) for x in [*(r.choice((1, 256, top - 1, top)) for _ in range(r.randint(0, 6))), 0]]
+        problem = np.cumsum(np.append(0, np.array(t[:-1]) == 0)) // 4
+        assert suffix_order(np.array(t), problem).tolist() == brute(t, problem.tolist())
+
+
 def test_nothing():
     assert len(suffix_order(np.zeros(0, int), np.zeros(0, int))) == 0

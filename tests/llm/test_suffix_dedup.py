@@ -86,7 +86,21 @@ def test_repetitions_are_found_by_suffix_order(monkeypatch, hot, crowd):
         assert np.unique(group[todo], return_counts=True)[1].min() > 1
         paired.update(x for (_, x), pieces in met.items() if len(pieces) > 1)
 
+    def watched_whole(group, length, at, data):
+        met = {}
+        for k in range(len(group)):
+            met.setdefault((int(group[k]), data[at[k] : at[k] + length[k]].tobytes()), []).append(k)
+        out = whole(group, length, at, data)
+        assert out.tolist() == [met[int(group[k]), data[at[k] : at[k] + length[k]].tobytes()][0] for k in range(len(group))]
+        assert np.unique(group, return_counts=True)[1].min() > 1
+        for (_, x), pieces in met.items():
+            if len(pieces) > 1:
+                paired.update(x[w : w + 50] for w in range(len(x) - 49))
+        return out
+
+    whole = S._first_equal
     monkeypatch.setattr(S, "_by_suffixes", watched)
+    monkeypatch.setattr(S, "_first_equal", watched_whole)
     cols = [[] for _ in range(6)]
     texts, base = [], 0
     for i, t in rows:
