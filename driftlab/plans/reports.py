@@ -140,7 +140,7 @@ def curve_points(spark, sf_dir):
 def prediction_lines(spark, sf_dir):
     """Predictions as JSON lines."""
     s = data.scores(spark, sf_dir, ["clean"])
-    return s.select("path", F.concat(F.lit('{"image_path":"'), "path", F.lit('","pred":'), F.format_string("%.6f", "p"), F.lit("}")).alias("line"))
+    return s.select("path", F.concat(F.lit('{"image_path":"'), "path", F.lit('","pred":'), V.six_digits(F.col("p")), F.lit("}")).alias("line"))
 
 
 @query(_CLEAN + f" SELECT view, sum((p >= {SHIP} AND y = 1)::INT)::BIGINT AS tp, sum((p >= {SHIP} AND y = 0)::INT)::BIGINT AS fp, sum((p < {SHIP} AND y = 1)::INT)::BIGINT AS fn, sum((p < {SHIP} AND y = 0)::INT)::BIGINT AS tn FROM scores GROUP BY view")

@@ -3,7 +3,9 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from driftlab.functions import vectors as V
 from driftlab.operators import metrics as M
 
 
@@ -83,3 +85,10 @@ def test_quantile_matches_numpy(spark):
     for q in (0.0, 0.1, 0.975, 1.0):
         for x in M.quantile(frame(spark, rows), q, ("g",)).collect():
             assert x.value == pytest.approx(np.quantile([p for p, _, g in rows if g == x.g], q))
+
+
+def test_six_digits_round_as_printf_does(spark):
+    r = random.Random(4)
+    p = [0.0, 1.0, 0.0078125, 0.0234375, 0.1234565, 0.572168500, 0.9999995, 0.99999949999, 5e-7, 1e-9, 2.5e-6] + [(2 * r.randrange(500_000) + 1) / 2e6 for _ in range(2000)] + [round(r.random(), 9) for _ in range(1000)]
+    got = spark.createDataFrame([(x,) for x in [*p, None, float("nan")]], "p double").select("p", V.six_digits(F.col("p")).alias("t")).collect()
+    assert [x.t for x in got] == [*("%.6f" % x for x in p), None, "nan"]
