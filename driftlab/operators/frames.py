@@ -92,13 +92,14 @@ def neighbours(left: DataFrame, right: DataFrame, at: str, take: Sequence[str],
     dealt = _dealt(readings.unionByName(rows).withColumn("_h", F.xxhash64("_row")), [*by, "_at", "_kind", "_h"])
     per = dealt.groupBy("_part", *by).agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
     ranges = Window.partitionBy(*by)
-    seen = lambda f, c, a, b: f(c, ignorenulls=True).over(ranges.orderBy("_part").rowsBetween(a, b))  # noqa: E731  a row a range and key
-    per = per.select("_part", *by, F.count(F.lit(1)).over(ranges).alias("_parts"), seen(F.last, "_last", Window.unboundedPreceding, -1).alias("_carry"), seen(F.first, "_first", 1, Window.unboundedFollowing).alias("_next"))
+    seen = lambda c, way: F.last(c, ignorenulls=True).over(ranges.orderBy(way).rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  a row a range and key
+    per = per.select("_part", *by, F.count(F.lit(1)).over(ranges).alias("_parts"), seen("_last", F.col("_part").asc()).alias("_carry"), seen("_first", F.col("_part").desc()).alias("_next"))
     per = per.filter("_parts > 1").drop("_parts")  # fewer than twice as many as ranges
-    inside = Window.partitionBy("_part", *by).orderBy("_at", "_kind")
+    inside = Window.partitionBy("_part", *by)
     found = dealt.withColumns({
-        "_b": F.last("_r", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        "_a": F.first("_r", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
+        "_b": F.last("_r", ignorenulls=True).over(inside.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)),
+        # from the far end, as a frame of all that follows is read anew for every row
+        "_a": F.last("_r", ignorenulls=True).over(inside.orderBy(F.col("_at").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, -1)),
     }).filter("_kind = 1")
     out = _joined(found, F.broadcast(per), ["_part", *by])
     placed = lambda *cs: F.when(F.col("_at").isNotNull(), F.coalesce(*cs))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,13 @@ def test_filled_takes_the_last_value_over_ranges(spark):
         for r in own:
             last = r[2] if r[2] is not None else last
             assert got[r[3]] == last
+
+
+def test_nearest_reads_no_range_again_for_each_row(spark):
+    df = spark.createDataFrame([(None, i, 0.5, i) for i in range(2000)], ROWS)
+    out = R.nearest(df, df.filter("id % 200 = 100"), "o", ["id"])
+    # a frame from beside a row to its key's end is read anew for every row
+    plan = out._jdf.queryExecution().analyzed().toString().lower()
+    assert "rowframe, unboundedpreceding" in plan and not re.search(r"rowframe, (?!unboundedpreceding)[^,]*, unboundedfollowing", plan)
+    got = {r.id: r.nearest.id for r in out.collect()}
+    assert all(got[i] == min(range(100, 2000, 200), key=lambda x: (abs(x - i), x)) for i in range(2000))
