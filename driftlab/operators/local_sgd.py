@@ -1,7 +1,7 @@
 """An instrumented trainer of linear heads: local steps in every partition, parameters averaged after each epoch.
 
-An epoch is one Spark job. Its rows are dealt anew to a fixed number of workers by a seeded hash, sorted by another one, and
-each worker takes AdamW steps over minibatches of what comes; it never holds more than a batch. Workers tell the loss of every
+An epoch is a chain of Spark jobs, one for each segment of its rows. They are dealt anew to a fixed number of workers by a seeded hash, sorted by another
+one, and each worker takes AdamW steps over minibatches of what comes; it never holds more than a batch, and goes on in the next segment with what it held. Workers tell the loss of every
 step and, every so many steps, their parameters; Spark averages the workers' last parameters (by their rows) for the next
 epoch, and scores the validation rows with the averaged ones in between. Results depend on the number of workers and the
 seed, and on Spark's partitions but for the rounding of sums. With one worker it is plain minibatch training.
@@ -12,6 +12,7 @@ trainer that skips rows in silence is worse than one that stops.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +21,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlab.operators import frames
-from driftlab.operators import metrics as M
+from driftlab.operators import frames, scoring
 from driftlab.sources.files import checkpoint_folder
 
 BETAS, EPSILON = (0.9, 0.999), 1e-8
 TRAILING = 100
+SEGMENT_MB = 96  # of rows that a worker's task reads and sorts
+BLOCK_MB, TILES = 256, 4  # of a view's validation rows that a task holds, and the tasks that share its heads
 _TOLD = "kind string, epoch int, worker int, k long, n long, loss double, params array<double>"
 
 
@@ -65,69 +67,133 @@ class AdamW:
         return np.concatenate([self.p, self.m, self.v]).tolist()
 
 
-def dealt(rows: DataFrame, key: str, epoch: int, workers: int, seed: int) -> DataFrame:
-    """rows with _w, the worker, in the order in which it takes them."""
+def _drawn(rows: DataFrame, key: str, epoch: int, workers: int, seed: int) -> DataFrame:
+    """rows with _w, the worker, and _o, the order in which it takes them."""
     draw = lambda k: F.xxhash64(F.lit(f"{seed}:{epoch}:{k}"), F.col(key))
-    rows = rows.withColumns({"_w": F.pmod(draw("worker"), F.lit(workers)).cast("int"), "_o": draw("order")})
-    return rows.repartition(workers, "_w").sortWithinPartitions("_w", "_o", key)
+    return rows.withColumns({"_w": F.pmod(draw("worker"), F.lit(workers)).cast("int"), "_o": draw("order")})
 
 
-def _epoch(rows: DataFrame, key: str, epoch: int, state: np.ndarray, steps: int, scale, o: dict) -> DataFrame:
-    mean, std = scale
-    every, batch = o["eval_every"], o["batch"]
-
-    def run(batches):
-        import pyarrow as pa
-
-        def told(out):
-            columns = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], ["kind", "epoch", "worker", "k", "n", "loss", "params"])
+def _ordered(rows: DataFrame, key: str, workers: int) -> DataFrame:
+    return rows.repartitionById(workers, "_w").sortWithinPartitions("_w", "_o", key)  # a task a worker
 
-        now, head, k, seen, xs, ys, held = None, None, 0, 0, [], [], 0
 
-        def take():
-            nonlocal k, seen, xs, ys, held
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            loss = head.step(x[:batch], y[:batch], o["positive"])
-            n = min(batch, len(y))
-            k, seen, xs, ys, held = k + 1, seen + n, [x[batch:]], [y[batch:]], held - n
-            out = [("loss", epoch, now, k, n, loss, None)]
-            if (steps + k) % every == 0 or steps + k == 1:
-                out.append(("snap", epoch, now, k, seen, None, head.p.tolist()))
-            return told(out)
+def dealt(rows: DataFrame, key: str, epoch: int, workers: int, seed: int) -> DataFrame:
+    """rows with _w, the worker, in the order in which it takes them."""
+    return _ordered(_drawn(rows, key, epoch, workers, seed), key, workers)
+
+
+def _segments(rows: DataFrame, key: str, epoch: int, o: dict) -> list[DataFrame]:
+    """The epoch's rows in pieces that follow each other in every worker's order; more than one are written first, each apart."""
+    drawn, n = _drawn(rows, key, epoch, o["workers"], o["seed"]), o.get("segments", 1)
+    if n == 1:
+        return [drawn]
+    spark, path, schema = rows.sparkSession, checkpoint_folder(rows.sparkSession, f"dealt-{epoch}"), drawn.schema
+    drawn = drawn.withColumn("_seg", F.least(F.floor((F.col("_o") / 2.0**64 + 0.5) * n), F.lit(n - 1)).cast("int"))
+    drawn.withColumn("_id", F.col("_seg") * o["workers"] + F.col("_w")).repartitionById(n * o["workers"], "_id").drop("_id").sortWithinPartitions("_seg").write.partitionBy("_seg").parquet(path)
+    every = spark.read.schema(schema.add("_seg", "integer")).parquet(path)
+    return [every.filter(F.col("_seg") == i).drop("_seg") for i in range(n)]
+
+
+def _vectors(b, at: int, scale) -> np.ndarray:
+    """The standardized vectors of a batch whose columns from ``at`` are x, y and, where views are to be made of x, view and seed."""
+    (mean, std), x = scale, b.column(at)
+    if x.null_count or b.column(at + 1).null_count or (x.value_lengths().to_numpy(zero_copy_only=False) != len(mean)).any():
+        raise ValueError("a row without a whole vector or without a label")
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+    if not np.isfinite(x).all():
+        raise ValueError("a row without a whole vector or without a label")
+    if b.num_columns > at + 2:
+        if b.column(at + 3).null_count:
+            raise ValueError("a row without a path")
+        names, seeds = b.column(at + 2).dictionary_encode(), b.column(at + 3).to_numpy(zero_copy_only=False)
+        which, made = names.indices.to_numpy(zero_copy_only=False), np.empty(x.shape)
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            own = which == i
+            made[own] = scoring.view_matrix(x[own], name, seeds[own])
+        x = made
+    return (x - mean) / std
+
+
+class Worker:
+    """A worker on its way through an epoch: its parameters, and the rows of a batch that is not whole yet. What it tells are rows of _TOLD."""
+
+    def __init__(self, name: int, epoch: int, steps: int, o: dict, state: np.ndarray, k: int = 0, seen: int = 0, held: np.ndarray | None = None):
+        self.name, self.epoch, self.steps, self.o, self.k, self.seen = name, epoch, steps, o, k, seen
+        self.head = AdamW(state, steps + k, o["rate"], o["decay"])
+        held = np.empty((0, len(self.head.p))) if held is None else held  # vectors, then the label
+        self.x, self.y = held[:, :-1], held[:, -1]
+
+    def _step(self, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        loss = self.head.step(x, y, self.o["positive"])
+        self.k, self.seen = self.k + 1, self.seen + len(y)
+        out = [("loss", self.epoch, self.name, self.k, len(y), loss, None)]
+        if (self.steps + self.k) % self.o["eval_every"] == 0 or self.steps + self.k == 1:
+            out.append(("snap", self.epoch, self.name, self.k, self.seen, None, self.head.p.tolist()))
+        return out
+
+    def take(self, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        x, y, batch = np.concatenate([self.x, x]), np.concatenate([self.y, y]), self.o["batch"]
+        whole = len(y) // batch * batch
+        self.x, self.y = x[whole:], y[whole:]
+        return [r for i in range(0, whole, batch) for r in self._step(x[i : i + batch], y[i : i + batch])]
+
+    def pause(self) -> list[tuple]:
+        """All that the worker needs to go on: its state, then less than a batch of rows."""
+        return [("pause", self.epoch, self.name, self.k, self.seen, None, self.head.state() + np.column_stack([self.x, self.y]).ravel().tolist())]
+
+    def end(self) -> list[tuple]:
+        out = self._step(self.x, self.y) if len(self.y) else []
+        return [*out, ("end", self.epoch, self.name, self.k, self.seen, None, self.head.state())]
 
-        def end():
-            return told([("end", epoch, now, k, seen, None, head.state())])
 
-        for b in batches:
-            w = b.column(0).to_numpy()
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if b.column(1).null_count or b.column(2).null_count or len(flat) != b.num_rows * len(mean) or not np.isfinite(flat).all():
-                raise ValueError("a row without a whole vector or without a label")
-            x, y = (flat.reshape(b.num_rows, -1) - mean) / std, b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            cuts = [0, *(np.flatnonzero(np.diff(w)) + 1), len(w)]
-            for i, j in zip(cuts, cuts[1:]):
-                if i == j:
-                    continue
-                if w[i] != now:
-                    if now is not None:
-                        if held:
-                            yield take()
-                        yield end()
-                    now, head, k, seen, xs, ys, held = int(w[i]), AdamW(state, steps, o["rate"], o["decay"]), 0, 0, [], [], 0
-                xs.append(x[i:j])
-                ys.append(y[i:j])
-                held += j - i
-                while held >= batch:
-                    yield take()
-        if now is not None:
-            if held:
-                yield take()
-            yield end()
-
-    spark, path = rows.sparkSession, checkpoint_folder(rows.sparkSession, f"sgd-{epoch}")
-    dealt(rows, key, epoch, o["workers"], o["seed"]).select("_w", "x", "y").mapInArrow(run, _TOLD).write.parquet(path)
-    return spark.read.schema(_TOLD).parquet(path)
+def _epoch(rows: DataFrame, key: str, epoch: int, state: np.ndarray, steps: int, scale, o: dict) -> DataFrame:
+    """What the workers tell of an epoch. Its segments are jobs of their own, so that a task reads and sorts one of a bounded size; a worker goes on where it paused."""
+    spark, paths, paused = rows.sparkSession, [], {}
+    made = [c for c in ("view", "seed") if "seed" in rows.columns]
+    resumed = lambda w, paused: Worker(w, epoch, steps, o, *paused.get(w, (state,)))
+
+    def job(paused, last):
+        def run(batches):
+            import pyarrow as pa
+
+            def told(out):
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["kind", "epoch", "worker", "k", "n", "loss", "params"])
+
+            now = None
+            for b in batches:
+                w = b.column(0).to_numpy()
+                x, y = _vectors(b, 1, scale), b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                cuts = [0, *(np.flatnonzero(np.diff(w)) + 1), len(w)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i == j:
+                        continue
+                    if now is None or w[i] != now.name:
+                        if now is not None:
+                            yield told(now.end() if last else now.pause())
+                        now = resumed(int(w[i]), paused)
+                    if out := now.take(x[i:j], y[i:j]):
+                        yield told(out)
+            if now is not None:
+                yield told(now.end() if last else now.pause())
+
+        return run
+
+    segments = _segments(rows, key, epoch, o)
+    for i, part in enumerate(segments):
+        last = i == len(segments) - 1
+        paths.append(checkpoint_folder(spark, f"sgd-{epoch}-{i}"))
+        _ordered(part, key, o["workers"]).select("_w", "x", "y", *made).mapInArrow(job(paused, last), _TOLD).write.parquet(paths[-1])
+        if len(segments) > 1:
+            size = 3 * (len(scale[0]) + 1)
+            for r in spark.read.schema(_TOLD).parquet(paths[-1]).filter("kind IN ('pause', 'end')").collect():  # a row a worker
+                paused.pop(r["worker"], None)
+                if r["kind"] == "pause":
+                    p = np.array(r["params"])
+                    paused[r["worker"]] = p[:size], r["k"], r["n"], p[size:].reshape(-1, size // 3)
+    out = spark.read.schema(_TOLD).parquet(*paths).filter("kind <> 'pause'")
+    late = [r for w in sorted(paused) for r in resumed(w, paused).end()]  # workers without a row in the last segment
+    return out.unionByName(spark.createDataFrame(late, _TOLD)) if late else out
 
 
 def _averaged(told: DataFrame, kind: str) -> dict[int, np.ndarray]:
@@ -142,24 +208,53 @@ def _averaged(told: DataFrame, kind: str) -> dict[int, np.ndarray]:
 
 
 def _validated(val: DataFrame, heads: dict[int, np.ndarray], scale) -> DataFrame:
-    """(k, auc_clean, auc_robust): of each head, over the clean view and the mean over the others. val: view, y, x."""
-    mean, std = scale
-    ks = sorted(heads)
+    """(k, auc_clean, auc_robust): of each head, over the clean view and the mean over the others. val: view, y, x, and seed where views are to be made.
+
+    An AUC counts pairs, so a view's rows go in blocks and a tile counts the pairs of one block's positives and another's negatives, for a share of the
+    heads. Rows travel to tiles, and neither scores nor vectors of views do; a tile holds at most BLOCK_MB of each. A view in one block goes to TILES
+    tiles whatever the number of heads; one of more blocks to as many as it has pairs of blocks. The scores themselves are heads times rows.
+    """
+    val = val.withColumn("y", F.col("y").cast("int")).filter("y IN (0, 1)")
+    per = val.groupBy("view").agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
+    per = val.sparkSession.createDataFrame(per.collect(), per.schema)  # a row a view
+    sizes = {r["view"]: r["n_pos"] + r["n_neg"] for r in per.collect()}
+    ks, names, d = sorted(heads), sorted(sizes), len(scale[0])
     p = np.array([heads[k] for k in ks])
+    blocks = max(1, -(-max(sizes.values(), default=0) * 8 * d // int(BLOCK_MB * 1e6)))
+    shares = max(1, min(len(ks), -(-TILES // blocks**2)))
 
     def run(batches):
         import pyarrow as pa
 
+        tiles: dict[int, tuple[list, list]] = {}
         for b in batches:
-            x = (b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) - mean) / std
-            s = np.round(1.0 / (1.0 + np.exp(-(x @ p[:, :-1].T + p[:, -1]))), 9)
-            for j, k in enumerate(ks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int64)), b.column(0), b.column(1), pa.array(np.ascontiguousarray(s[:, j]))], ["k", "view", "y", "p"])
-
-    scored = M.distinct_scores(val.select("view", F.col("y").cast("int").alias("y"), "x").mapInArrow(run, "k long, view string, y int, p double"), ["k", "view"])
-    path, schema = checkpoint_folder(val.sparkSession, "validated"), scored.schema
-    scored.write.parquet(path)
-    each = M.auc_of_counts(val.sparkSession.read.schema(schema).parquet(path), ["k", "view"])
+            tile, z, y = b.column(0).to_numpy(), _vectors(b, 1, scale), b.column(2).to_numpy()
+            for t in np.unique(tile).tolist():
+                held = tiles.setdefault(t, ([], []))
+                for c in (0, 1):
+                    held[c].append(z[(tile == t) & (y == c)])
+        for t in sorted(tiles):
+            z = [np.concatenate(part) for part in tiles.pop(t)]
+            share, out = t // blocks**2 % shares, []
+            for i in range(share, len(ks), shares):
+                # nine digits of a score, as a whole number
+                neg, pos = (np.sort(np.rint(np.round(1.0 / (1.0 + np.exp(-(x @ p[i, :-1] + p[i, -1]))), 9) * 1e9).astype(np.int32)) for x in z)
+                out.append(int(np.searchsorted(neg, pos, "left").sum() + np.searchsorted(neg, pos, "right").sum()))
+            own = ks[share::shares]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([names[t // (shares * blocks**2)]] * len(own)), pa.array(out, pa.int64())], ["k", "view", "s"])
+
+    place = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("view")) if names else F.lit(0)
+    made = [c for c in ("view", "seed") if "seed" in val.columns]
+    dealt = val.withColumns({"_block": F.pmod(F.monotonically_increasing_id(), F.lit(blocks)), "_v": place})
+    dealt = dealt.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(shares * blocks - 1))))
+    other = F.col("_e") % blocks
+    pair = F.when(F.col("y") == 1, F.col("_block") * blocks + other).otherwise(other * blocks + F.col("_block"))
+    tile = (F.col("_v") * shares + F.floor(F.col("_e") / blocks)) * blocks**2 + pair
+    dealt = dealt.withColumn("_tile", tile.cast("int")).repartitionById(max(1, len(names) * shares * blocks**2), "_tile")
+    path, kinds = checkpoint_folder(val.sparkSession, "validated"), "k long, view string, s long"
+    dealt.select("_tile", "x", "y", *made).mapInArrow(run, kinds).write.parquet(path)
+    each = val.sparkSession.read.schema(kinds).parquet(path).groupBy("k", "view").agg(F.sum("s").alias("s")).join(F.broadcast(per), "view")
+    each = each.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("s") / (2.0 * F.col("n_pos") * F.col("n_neg"))))
     return each.groupBy("k").agg(F.avg(F.when(F.col("view") == "clean", F.col("auc"))).alias("auc_clean"), F.avg(F.when(F.col("view") != "clean", F.col("auc"))).alias("auc_robust"))
 
 
@@ -174,12 +269,15 @@ class Run:
 def train(rows: DataFrame, key: str, val: DataFrame | None = None, clean: DataFrame | None = None, workers: int = 4, batch: int = 128, epochs: int = 2, rate: float = 1e-3, weight_decay: float = 0.0, seed: int = 0, eval_every: int = 50) -> Run:
     """Trains on rows (key, x, y), whose scaler comes from ``clean`` (rows if None); key tells rows apart. val: view, y, x.
 
+    Rows and val that have seed too, as from views.named_views, hold the clean vector: their views are made where they are needed.
     eval_every counts the steps of all workers together.
     """
     spark = rows.sparkSession
     scale = scaler(rows if clean is None else clean)
     c = rows.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"), F.count(F.lit(1)).alias("all")).first()
     o = {"workers": workers, "batch": batch, "rate": rate, "decay": weight_decay, "seed": seed, "eval_every": max(1, eval_every // workers), "positive": c["n"] / max(1, c["p"])}
+    wide = len(scale[0]) * (4 if dict(rows.dtypes)["x"] == "array<float>" else 8) + 64
+    o["segments"] = max(1, math.ceil(c["all"] * wide / (workers * SEGMENT_MB * 1e6)))
     state, steps, told, points = np.zeros(3 * (len(scale[0]) + 1)), 0, None, None
     for epoch in range(1, epochs + 1):
         part = _epoch(rows, key, epoch, state, steps, scale, o)

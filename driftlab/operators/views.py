@@ -127,3 +127,10 @@ def expand_views(rows: DataFrame, names=None, vector: str = "x", path: str = "pa
     made = [F.struct(F.lit(n).alias("view"), F.lit(order[n]).alias("ord"), F.lit("chain" if is_chain(n) else "single").alias("kind"), apply_view(F.col(vector), n, F.col(path)).alias(vector)) for n in select_views(names, scored_only)]
     rest = [c for c in rows.columns if c != vector]
     return rows.select(*rest, F.explode(F.array(*made)).alias("v")).select(*rest, "v.*")
+
+
+def named_views(rows: DataFrame, names=None, vector: str = "x", path: str = "path", scored_only: bool = True) -> DataFrame:
+    """rows times views: columns view and seed beside the vector as it is, for those who make the views where they need them (scoring.view_matrix)."""
+    seed = lambda n: V.path_seed(F.col(path), F.lit(n)) if "stochastic" in view_spec(n) else F.lit(0).cast("long")
+    made = [F.struct(F.lit(n).alias("view"), seed(n).alias("seed")) for n in select_views(names, scored_only)]
+    return rows.select(*rows.columns, F.explode(F.array(*made)).alias("v")).select(*rows.columns, "v.*")

@@ -11,7 +11,6 @@ from driftlab.operators import selection as S
 from driftlab.plans import data
 from driftlab.plans.robustness import GRID
 from driftlab.plans.sql_views import auc_sql, scores_cte
-from driftlab.sources.files import checkpoint_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,17 +33,14 @@ def query(sql: str | None = None):
 
 
 def _views_of(rows, names, scored_only: bool):
-    out = views.expand_views(rows, names, scored_only=scored_only).select(F.concat_ws("::", "path", "view").alias("key"), "view", "y", "x")
-    path, schema = checkpoint_folder(rows.sparkSession, "learned"), out.schema
-    out.write.parquet(path)  # read in every epoch
-    return rows.sparkSession.read.schema(schema).parquet(path)
+    return views.named_views(rows, names, scored_only=scored_only).select(F.concat_ws("::", "path", "view").alias("key"), "view", "seed", "y", "x")
 
 
 def _run(spark, sf_dir, epochs: int, validate: bool) -> local_sgd.Run:
-    e = data.embeddings(spark, sf_dir)
+    stored = data.table(spark, sf_dir, "embeddings").schema["embedding"].dataType  # rows travel as they are stored
+    e = data.embeddings(spark, sf_dir).withColumn("x", F.col("x").cast(stored))
     learn, val = e.filter("tier <> 'val'"), e.filter("tier = 'val'")
-    rows = _views_of(learn, LEARNED, False)
-    return local_sgd.train(rows, "key", _views_of(val, None, True) if validate else None, clean=learn, epochs=epochs, eval_every=50, **STEPS)
+    return local_sgd.train(_views_of(learn, LEARNED, False), "key", _views_of(val, None, True) if validate else None, clean=learn.withColumn("x", F.col("x").cast("array<double>")), epochs=epochs, eval_every=50, **STEPS)
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlab.operators import local_sgd as L
+from driftlab.operators import views
 
 ROWS = "id long, y int, x array<double>"
 
@@ -87,3 +88,26 @@ def test_rows_of_no_use_raise(spark):
     for row in ((1, 1, None), (1, None, [0.0] * 5), (1, 1, [0.0] * 4 + [None]), (1, 1, [0.0] * 4)):
         with pytest.raises(Exception):
             L.train(made(spark, 20).unionByName(spark.createDataFrame([row], ROWS)), "id", clean=made(spark, 20), epochs=1)
+
+
+def test_segments_and_tiles_change_nothing(spark, monkeypatch):
+    df = made(spark, 700).withColumn("path", F.concat(F.lit("v/"), F.col("id")))
+    names = ["clean", "noise_sigma0.05", "jpeg_q30"]
+    key = F.concat_ws("::", "path", "view").alias("key")
+    kinds = {m.__name__: m(df, names).select(key, "view", "y", "x", *(["seed"] if m is views.named_views else [])) for m in (views.expand_views, views.named_views)}
+    train = lambda m, workers=3: L.train(kinds[m].drop("view") if m == "expand_views" else kinds[m], "key", kinds[m].drop("key"), clean=df, workers=workers, batch=32, epochs=2, rate=0.05, eval_every=12)
+    shown = lambda run: (sorted(run.steps.collect()), sorted(run.curve.collect()), run.head)
+    close = lambda a, b: all(x == pytest.approx(y, abs=3e-6) for u, v in zip(a[:2], b[:2], strict=True) for x, y in zip(u, v, strict=True)) and all(a[2][k] == pytest.approx(b[2][k]) for k in b[2])
+    whole = shown(train("expand_views"))
+    assert sum(r.n for r in whole[0]) == 4200
+    assert close(shown(train("named_views")), whole)  # views made by the trainer
+    counts, ordered = [], L._ordered
+    monkeypatch.setattr(L, "_ordered", lambda rows, *a: counts.append(rows.count()) or ordered(rows, *a))
+    monkeypatch.setattr(L, "SEGMENT_MB", 2100 * (8 * 5 + 64) / 3 / 1e6 / 5.5)
+    monkeypatch.setattr(L, "BLOCK_MB", 300 * 8 * 5 / 1e6)  # three blocks
+    assert close(shown(train("named_views")), whole)
+    assert len(counts) == 12 and sum(counts) == 4200 and max(counts) < 500  # no job has many more rows than a sixth of an epoch
+    # with so many segments that workers are missing in some, the last too
+    monkeypatch.setattr(L, "_ordered", ordered)
+    few = lambda mb: (monkeypatch.setattr(L, "SEGMENT_MB", mb), sorted(L.train(made(spark, 12), "id", workers=4, batch=2, epochs=1).steps.collect()))[1]
+    assert few(12 * (8 * 5 + 64) / 4 / 1e6 / 8) == few(1)
