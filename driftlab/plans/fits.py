@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from driftlab.operators import calibration as C
@@ -11,6 +13,7 @@ from driftlab.operators import selection as S
 from driftlab.plans import data
 from driftlab.plans.robustness import GRID
 from driftlab.plans.sql_views import auc_sql, scores_cte
+from driftlab.sources.files import checkpoint_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -190,6 +193,7 @@ def stem_fingerprints(spark, sf_dir):
 # --- probes with size and shape controlled -----------------------------------------------------------
 
 _PROBES = {"vowels": "[^aeiou]", "marks": "[^.,;:!?]", "capitals": "[^A-Z]", "digits": "[^0-9]"}
+_COUNTED = {"vowels": "aeiou", "marks": ".,;:!?", "capitals": string.ascii_uppercase, "digits": string.digits}  # what these leave
 _D = (
     "WITH d AS (SELECT doc_id, l.quality AS y, length(bin(length(text))) AS size, (20 * len(string_split(text, ' '))) // length(text) AS shape, lang, "
     + ", ".join(f"length(regexp_replace(text, '{c}', '', 'g')) / length(text)::DOUBLE AS {k}" for k, c in _PROBES.items())
@@ -198,10 +202,15 @@ _D = (
 
 
 def _probes(spark, sf_dir):
+    """Sizes, strata and shares of each text, written once: the texts are long, what is read of them several times is not."""
     d = data.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(data.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id").filter(F.length("text") > 0)
     n = F.length("text")
-    shares = [(F.length(F.regexp_replace("text", c, "")) / n).alias(k) for k, c in _PROBES.items()]
-    return d.select("doc_id", "y", F.length(F.bin(n)).alias("size"), F.floor(20 * F.size(F.split("text", " ")) / n).cast("long").alias("shape"), "lang", *shares)
+    count = lambda chars: n - F.length(F.translate("text", chars, ""))  # noqa: E731  how many of these a text has
+    shares = [(count(chars) / n).alias(k) for k, chars in _COUNTED.items()]
+    made = d.select("doc_id", "y", F.length(F.bin(n)).alias("size"), F.floor(20 * (count(" ") + 1) / n).cast("long").alias("shape"), "lang", *shares)
+    path, schema = checkpoint_folder(spark, "probes"), made.schema
+    made.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 @query(_D + ", k AS (SELECT sum(n_pos) AS p, sum(n_neg) AS n FROM st WHERE n_pos > 0 AND n_neg > 0), w AS (SELECT d.*, CASE WHEN n_pos > 0 AND n_neg > 0 THEN CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE n_pos / n_neg::DOUBLE * (k.n / k.p::DOUBLE) END ELSE 0.0::DOUBLE END AS weight FROM d JOIN st USING (size, shape, lang), k), g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS probe, round({k}, 12) AS p, y, weight FROM w" for k in _PROBES) + "), c AS (SELECT probe, p, sum((y = 1)::INT::DOUBLE) AS a, sum((y = 0)::INT::DOUBLE) AS b, sum(CASE WHEN y = 1 THEN weight ELSE 0.0 END) AS wa, sum(CASE WHEN y = 0 THEN weight ELSE 0.0 END) AS wb FROM g GROUP BY ALL), r AS (SELECT *, sum(b) OVER o - b AS below, sum(wb) OVER o - wb AS wbelow FROM c WINDOW o AS (PARTITION BY probe ORDER BY p)) SELECT probe, round(sum(a * (2 * below + b)) / (2 * sum(a) * sum(b)), 6) AS auc_before, round(sum(wa * (2 * wbelow + wb)) / (2 * sum(wa) * sum(wb)), 6) AS auc_after FROM r GROUP BY probe")

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 
 import pytest
 
 from driftlab.operators import matching as W
 from driftlab.operators import merkle as K
+from driftlab.plans import fits
 
 ROWS = "path string, label int"
 COLUMNS = ["path", "label"]
@@ -87,3 +89,18 @@ def test_without_rows_or_a_class(spark):
     kind = "y int, size int, v double"
     assert W.weigh(spark.createDataFrame([], kind), ["size"]).count() == 0
     assert [x.weight for x in W.weigh(spark.createDataFrame([(1, 1, 0.5)], kind), ["size"]).collect()] == [0.0]
+
+
+def test_probes_read_the_texts_once(spark, tmp_path):
+    texts = ["A b, c!", "ÄÖ é 12  3 ", "  ", "x", "", None, "\U0001f600a\n.E", "aeiou AEIOU.,;:!?0123456789"]
+    spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = fits._probes(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in out.inputFiles())
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(got) == [i for i, t in enumerate(texts) if t]
+    for i, r in got.items():
+        t = texts[i]
+        assert (r.size, r["shape"]) == (len(bin(len(t))) - 2, 20 * len(t.split(" ")) // len(t))
+        for k, c in fits._PROBES.items():
+            assert r[k] == len(re.sub(c, "", t)) / len(t)
