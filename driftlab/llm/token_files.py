@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -39,10 +40,11 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 BLOCK, PERCENTILE = 256, 0.9
 SEGMENT, SEGMENTS_A_FILE = 1 << 18, 12
 CACHED_WORDS, CACHED_BYTES = 500_000, 40  # of a generation of words (but for one piece's), and of a word
-PIECE = 1 << 16
+PIECE = 1 << 22
 HEADER = struct.Struct("<4sQIQQQQ")
 STREAM = struct.Struct("<QI")
 BLOCK_HEAD = np.dtype([("least", "<i8"), ("width", "u1"), ("exceptions", "<u2")])
+EXCEPTION = 10  # bytes of a place and of higher bits
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 KEEPS_CASE = (b"<|", b"\xcc", b"\xcd")  # special tokens; marks that join capitals and small letters differently
 TAILS = b".,;:!?&%#$*()"  # punctuation that may follow letters as a piece of its own: not the apostrophe, nor what special tokens hold
@@ -71,6 +73,8 @@ def _in_eights(width: int, block: int) -> np.dtype | None:
 def _to_bytes(off: np.ndarray, width: int) -> np.ndarray:
     """Rows of values packed at a width, lowest bits first."""
     rows, block = off.shape
+    if width in (8, 16, 32):
+        return off.astype(_lane(width)).view(np.uint8)
     kind = _in_eights(width, block)
     if kind is None:
         lane = _lane(width)
@@ -87,6 +91,8 @@ def _to_bytes(off: np.ndarray, width: int) -> np.ndarray:
 
 def _from_bytes(packed: np.ndarray, width: int, block: int) -> np.ndarray:
     rows = len(packed)
+    if width in (8, 16, 32):
+        return packed.view(_lane(width)).reshape(rows, block)
     kind = _in_eights(width, block)
     if kind is None:
         lane = _lane(width)
@@ -119,6 +125,10 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     at = min(block - 1, int(percentile * block))
     width = _bit_length(np.partition(off, at, axis=1)[:, at].astype(np.uint64))
     over = (off >> np.minimum(width, most - 1).astype(kind)[:, None] > 0) & (width < most)[:, None]
+    widest = _bit_length(off.max(axis=1).astype(np.uint64))
+    whole = (block * widest + 7) // 8 < (block * width + 7) // 8 + EXCEPTION * over.sum(axis=1)
+    width = np.where(whole, widest, width)
+    over[whole] = False
     body: list[bytes] = [b""] * blocks
     for w in np.unique(width):  # all blocks of a width at once
         own = np.flatnonzero(width == w)
@@ -155,7 +165,7 @@ def unpack(data: memoryview, at: int = 0, first: int = 0, last: int | None = Non
         return (block * h["width"].astype(np.int64) + 7) // 8
 
     tail = head(blocks - 1)
-    end = int(starts[-1]) + BLOCK_HEAD.itemsize + int(sizes(tail)) + 10 * int(tail["exceptions"])
+    end = int(starts[-1]) + BLOCK_HEAD.itemsize + int(sizes(tail)) + EXCEPTION * int(tail["exceptions"])
     lo, hi = first // block, -(-last // block)
     if first >= last:
         return np.zeros(0, np.int64), end
@@ -219,17 +229,18 @@ def ids_at(content: bytes, first: int, last: int) -> np.ndarray:
 class Words:
     """Texts to tokens, through words that are kept with their tokens (little-endian 32-bit integers) in two generations.
 
-    A word is what stands between ASCII white space, in UTF-8. Letters before punctuation are a piece of their own, whose case
-    doesn't matter; those not met before are tokenised in one go, as each piece ends with a token that ends words.
+    A word is what stands between ASCII white space, in UTF-8. Arrow cuts a lot of texts into words and numbers the different
+    ones, so that the table is asked once a lot for each, and their tokens are laid out by those numbers. Letters before
+    punctuation are a piece of their own, whose case doesn't matter; the vocabulary's model takes those not met before as they
+    are, without looking for pieces in them, and each ends with a token that ends words.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # pieces are cut already: their tokeniser looks for white space alone
-        self.pieces.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model = Tokenizer.from_file(path)
+        self.pairs = self.model.model  # the tokeniser without normal form and search for pieces
+        self.as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.new, self.old = {}, {}
         ends = [i for t, i in self.model.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
@@ -246,71 +257,106 @@ class Words:
             while at < len(text):
                 cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
                 to = cut.start() if cut else len(text)
-                lot.append((i, text[at:to].split()))
+                lot.append((i, text[at:to]))
                 size += to - at
                 at = to
                 if size >= PIECE:
                     self._look_up(lot, out)
                     lot, size = [], 0
-        self._look_up(lot, out)
-        return [b"".join(x) for x in out]
+        if lot:
+            self._look_up(lot, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-    def _look_up(self, lot: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        words = list(set().union(*(w for _, w in lot)))
-        known = dict(zip(words, map(self.new.get, words)))  # the large table is asked once a lot for each word
-        known |= self._learn([w for w, t in known.items() if t is None])
-        for i, own in lot:
-            out[i].append(b"".join(map(known.__getitem__, own)))
+    def _look_up(self, lot: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        own = pc.ascii_split_whitespace(pa.array([t for _, t in lot], pa.binary()).view(pa.string()))
+        numbered = own.values.dictionary_encode()
+        words = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.new.get, words))
+        if None in found:
+            places = [i for i, t in enumerate(found) if t is None]
+            known = self._learn([words[i] for i in places])
+            for i in places:
+                found[i] = known[words[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = numbered.indices.to_numpy()
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        at = np.repeat((np.cumsum(sizes) - sizes)[number] - ends + counts, counts)
+        at += np.arange(len(at))
+        data = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        to = [0, *(4 * ends[own.offsets.to_numpy()[1:] - 1]).tolist()]  # a text has a word at least, be it empty
+        for (i, _), a, b in zip(lot, to, to[1:]):
+            out[i].append(data[a:b])
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The tokens of words that the new generation doesn't have, which it then has but for long ones."""
-        known, whole, rest, need, cut, old = {}, [], set(), set(), [], self.old
+        known, old, new = {}, self.old, self.new
+        if old:
+            known = {w: t for w, t in zip(words, map(old.get, words)) if t is not None}
+            words = [w for w in words if w not in known]
+        plain = [w for w in words if w.isalpha() and w.islower()]  # ASCII letters
+        known |= zip(plain, self._pieces(b" ".join(plain).decode().split()))
+        whole, cut, pieces, tails, other = [], [], [], [], []  # flat lists: tuples would set off the collector of cycles
         for w in words:
-            t = old.get(w)
-            if t is not None:
-                known[w] = t
+            if w in known:
                 continue
             letters = w.rstrip(TAILS)
-            if letters.isalpha():  # ASCII letters
-                piece = letters if letters.islower() else letters.lower()
+            if letters.isalpha():
+                piece = letters.lower()
             else:
                 text = letters.decode("utf-8", "replace")
                 if not text.isalpha() or WHOLE.search(text):
                     whole.append(w)
                     continue
                 piece = text.lower().encode()
-            if piece == w:
-                rest.add(w)
-            else:
-                tail = w[len(letters) :]
-                need.add(piece)
-                if tail:
-                    need.add(tail)
-                cut.append((w, piece, tail))
-        for p in need - rest:
-            t = self.new.get(p) or old.get(p)
-            if t is None:
-                rest.add(p)
-            else:
-                known[p] = t
-        rest = list(rest)
-        if rest:
-            ids = np.array(self._ids([b" ".join(rest)], self.pieces)[0], "<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(last) != len(rest):
-                raise ValueError("the vocabulary doesn't end each word with a token of its own")
-            data = ids.tobytes()
-            known |= {p: data[4 * a : 4 * b] for p, a, b in zip(rest, [0, *last], last)}
-        for w, piece, tail in cut:
-            known[w] = known[piece] + known[tail] if tail else known[piece]
+                if piece == w:
+                    other.append(w)
+                    continue
+            cut.append(w)
+            pieces.append(piece)
+            tails.append(w[len(letters) :])
+        known |= zip(other, self._pieces(self._letters(other)))
+        need = set()
+        for p in pieces:
+            if p not in known:
+                t = new.get(p) or old.get(p)
+                if t is None:
+                    need.add(p)
+                else:
+                    known[p] = t
+        need = list(need)
+        known |= zip(need, self._pieces(self._letters(need)))
+        whole += {t for t in tails if t and t not in known}
         known |= {w: np.array(i, "<u4").tobytes() for w, i in zip(whole, self._ids(whole) if whole else ())}
-        if len(self.new) + len(known) > CACHED_WORDS:
-            self.new, self.old = {}, self.new
-        self.new.update((w, t) for w, t in known.items() if len(w) <= CACHED_BYTES)
+        for w, p, t in zip(cut, pieces, tails):
+            known[w] = known[p] + known[t] if t else known[p]
+        if len(new) + len(known) > CACHED_WORDS:
+            self.new, self.old = {}, new
+        self.new.update(known if max(map(len, known), default=0) <= CACHED_BYTES else {w: t for w, t in known.items() if len(w) <= CACHED_BYTES})
         return known
 
-    def _ids(self, texts: list[bytes], model=None) -> list[list[int]]:
-        return [e.ids for e in (model or self.model).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    def _letters(self, pieces: list[bytes]) -> list[str]:
+        """Pieces in normal form, as the vocabulary writes their bytes; it writes a blank as a letter that is none of theirs."""
+        if not pieces:
+            return []
+        (text, _), = self.as_letters.pre_tokenize_str(unicodedata.normalize("NFC", b" ".join(pieces).decode()).lower())
+        (blank, _), = self.as_letters.pre_tokenize_str(" ")
+        return text.split(blank)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The tokens of pieces that are in normal form."""
+        ids = np.array([t.id for p in pieces for t in self.pairs.tokenize(p)], "<u4")
+        last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(last) != len(pieces):
+            raise ValueError("the vocabulary doesn't end each word with a token of its own")
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *last], last)]
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
 
 @functools.cache

@@ -83,6 +83,42 @@ def test_pieces_and_generations_give_the_same_tokens(monkeypatch):
     assert small.tokens(whole) == [small.tokens([t])[0] for t in whole] == want == all_words().tokens(whole)
 
 
+def test_the_table_is_asked_once_a_lot_for_each_word():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    vocabulary = [f"wo{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500)]
+    text = " ".join(random.Random(1).choices(vocabulary, k=100_000))  # half a megabyte
+    words = T.Words(T.vocabulary_path())
+    want = words.tokens([text.encode()])
+    words.new = Counted(words.new)
+    assert words.tokens([text.encode()]) == want and words.new.asked <= 2 * len(vocabulary)
+
+
+def test_every_letter_that_pieces_may_have(model):
+    letters = [chr(i) for i in range(0x80, 0x530) if chr(i).isalpha()]
+    texts = [f"{w}{tail}" for x in letters for w in (x, f"a{x}", f"{x}b{x}") for tail in ("", ",")]
+    got = T.Words(T.vocabulary_path()).tokens([t.encode() for t in texts])
+    assert [np.frombuffer(t, "<u4").tolist() for t in got] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_that_are_not_utf8_keep_their_tokens(model):
+    broken = [b"abc \xff\xfe d\xe9f, ok", b"\xc3", b"", b" \t", b"x\x80y z"]
+    got = T.Words(T.vocabulary_path()).tokens(broken)
+    assert [np.frombuffer(t, "<u4").tolist() for t in got] == [model.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+
+
+def test_many_large_values_widen_a_block():
+    values = np.arange(256) * 120 % 30_000
+    values[::12] += 34_000  # 22 exceptions of ten bytes each take more than a bit a value
+    data = T.pack(values)
+    assert len(data) == 12 + 8 + 11 + 256 * 16 // 8 and T.unpack(memoryview(data))[0].tolist() == values.tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 60), st.integers(-(2**63), 2**63 - 1)), max_size=700), st.integers(0, 700), st.integers(0, 700), st.sampled_from([7, 64, 256]))
 def test_streams_round_trip_and_open_anywhere(values, a, b, block):
