@@ -40,7 +40,7 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 BLOCK, PERCENTILE = 256, 0.9
 SEGMENT, SEGMENTS_A_FILE = 1 << 18, 12
 CACHED_WORDS, CACHED_BYTES = 500_000, 40  # of a generation of words (but for one piece's), and of a word
-PIECE = 1 << 22
+PIECE = 1 << 21
 HEADER = struct.Struct("<4sQIQQQQ")
 STREAM = struct.Struct("<QI")
 BLOCK_HEAD = np.dtype([("least", "<i8"), ("width", "u1"), ("exceptions", "<u2")])
